@@ -133,6 +133,7 @@ def depletion_by(lines: DataFrame, items: DataFrame, keys: Sequence) -> DataFram
         F.sum(boxed).alias("_cases"),
         F.sum(each).alias("_each"),
         F.count(F.lit(1)).alias("lines"),
+        F.min("sale_date").alias("first_sale"),
         F.max("sale_date").alias("last_sale"),
     )
     units = F.col("_cases") * F.coalesce("units_per_case", F.lit(DEFAULT_UNITS_PER_CASE))

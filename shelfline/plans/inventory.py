@@ -346,6 +346,7 @@ CI = ["ci_80_lower", "ci_80_upper", "ci_95_lower", "ci_95_upper"]
     "Q16_damped_trend_forecast",
     _forecast_sql("distributor_code", f"SELECT distributor_code, week_start, CAST(qty_depleted AS DOUBLE) AS v FROM ({DIST_WEEKS})"),
     rounded=["forecast", *CI],
+    digits=7,
 )
 def _(t):
     return fc.damped_trend_forecast(

@@ -98,8 +98,9 @@ WHERE TRY_CAST(qty AS BIGINT) > 0 AND s.item_code NOT LIKE '99Z%' AND s.item_cod
 SELECT 'S' || c_custkey AS vip_id, c_name AS store_name, 'City ' || (c_custkey % 97) AS city, {STATE} AS state,
   CASE WHEN c_acctbal >= 500 THEN substr(c_mktsegment, 1, 2) || (c_nationkey % 5) END AS chain_code,
   CASE WHEN c_acctbal >= 500 THEN c_mktsegment || ' ' || (c_nationkey % 5) END AS chain_name,
+  lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0') AS zip, c_mktsegment AS class_of_trade_name,
   CASE WHEN c_custkey % 3 = 0 THEN 'On-Premise' ELSE 'Off-Premise' END AS channel_type,
-  'A' || c_custkey AS sf_account_id,
+  'A' || c_custkey AS sf_account_id, c_name AS sf_account_name,
   CASE WHEN c_custkey % 11 <> 0 THEN 'Owner ' || (c_custkey % 6) END AS sf_owner_name,
   CASE WHEN c_acctbal < 9000 THEN c_nationkey * CAST(0.5 AS DOUBLE) + 25 END AS google_latitude,
   c_nationkey * CAST(2.0 AS DOUBLE) - 120 AS google_longitude

@@ -24,6 +24,7 @@ def local_session(cores: int | str = 8, app: str = "shelfline") -> SparkSession:
         .appName(app)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
     )
     for key, value in ADAPTIVE_SETTINGS.items():

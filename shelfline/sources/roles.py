@@ -287,8 +287,11 @@ def door(t: Tables) -> DataFrame:
         _state("n_nationkey", "n_regionkey").alias("state"),
         F.when(in_chain, F.concat(F.substring("c_mktsegment", 1, 2), chain)).alias("chain_code"),
         F.when(in_chain, F.concat_ws(" ", "c_mktsegment", chain)).alias("chain_name"),
+        F.lpad((F.col("c_custkey") % 100000).cast(S), 5, "0").alias("zip"),
+        F.col("c_mktsegment").alias("class_of_trade_name"),
         F.when(F.col("c_custkey") % 3 == 0, "On-Premise").otherwise("Off-Premise").alias("channel_type"),
         _code("A", "c_custkey").alias("sf_account_id"),
+        F.col("c_name").alias("sf_account_name"),
         F.when(
             F.col("c_custkey") % 11 != 0,
             F.concat(F.lit("Owner "), (F.col("c_custkey") % 6).cast(S)),
