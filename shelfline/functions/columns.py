@@ -32,16 +32,26 @@ def money_sum(c: str | Column) -> Column:
     return F.sum(cents) / F.lit(100.0)
 
 
+#: A few dozen units in the last place: enough to carry a quotient that binary
+#: representation left just below a decimal tie over the tie, and nothing else.
+TIE_NUDGE = 1 + 1e-14
+
+
+def half_up(c: str | Column, digits: int) -> Column:
+    """Round half away from zero the way the exact decimal value would."""
+    return F.round(col(c) * F.lit(TIE_NUDGE), digits)
+
+
 def ratio(num: str | Column, den: str | Column, digits: int | None = None) -> Column:
     """``num / den`` that is NULL for a zero or NULL denominator."""
     out = F.try_divide(col(num).cast("double"), col(den).cast("double"))
-    return out if digits is None else F.round(out, digits)
+    return out if digits is None else half_up(out, digits)
 
 
 def percent(num: str | Column, den: str | Column, digits: int | None = None) -> Column:
     """``100 * num / den`` with the same guard."""
     out = F.try_divide(F.lit(100.0) * col(num), col(den).cast("double"))
-    return out if digits is None else F.round(out, digits)
+    return out if digits is None else half_up(out, digits)
 
 
 def growth_percent(current: str | Column, prior: str | Column, missing=0.0) -> Column:

@@ -7,8 +7,8 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from shelfline.functions.columns import half_up
 from shelfline.plans.role_sql import ROLE_SQL
 from shelfline.sources.roles import Tables
 
@@ -40,7 +40,7 @@ def query(name: str, sql: str | None = None, rounded: Sequence[str] = (), digits
 
         def stable(tables: Tables) -> DataFrame:
             df = build(tables)
-            return df.withColumns({c: F.round(c, digits) for c in rounded}) if rounded else df
+            return df.withColumns({c: half_up(c, digits) for c in rounded}) if rounded else df
 
         QUERIES[name] = Query(name, stable, _check_sql(sql, rounded, digits) if sql else None)
         return build
@@ -50,7 +50,7 @@ def query(name: str, sql: str | None = None, rounded: Sequence[str] = (), digits
 
 def _check_sql(sql: str, rounded: Sequence[str], digits: int) -> str:
     if rounded:
-        replaced = ", ".join(f'round("{c}", {digits}) AS "{c}"' for c in rounded)
+        replaced = ", ".join(f'round("{c}" * (1 + 1e-14), {digits}) AS "{c}"' for c in rounded)
         sql = f"SELECT * REPLACE ({replaced}) FROM ({sql.strip()})"
     return with_roles(sql)
 
