@@ -7,7 +7,7 @@ operators only ever see roles, so a user with real sources swaps this module.
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -498,3 +498,49 @@ def profile_page(t: Tables) -> DataFrame:
     )
     tag = F.when(F.col("page_id") % 3 == 0, exact).when(F.col("page_id") % 3 == 1, short).otherwise("")
     return t.pages.select("page_id", "url", F.concat("html", tag).alias("html"))
+
+
+SHEET_WEEKS = [date(2001, 4, 2) + timedelta(weeks=i) for i in range(13)]
+SHEET_LABELS = {
+    "1-URGENT": "Redemption on H1 Rebate Q2",
+    "2-HIGH": "Submission of",
+    "3-MEDIUM": "",
+    "4-NOT SPECIFIED": "LinkedIn Followers",
+    "5-LOW": "Unknown Metric",
+    "F": "Active Door Count",
+    "O": "Influencer Posts",
+    "P": "Retail Revenue",
+    "0": "Tentpole Events",
+    "1": "tentpole events (final)",
+}
+
+
+def metric_sheet(t: Tables) -> DataFrame:
+    """Manual metric sheet: all text, one column per week, one row per label.
+
+    Weekly order counts by priority, status and customer parity play the metrics;
+    two labels mean the same metric, one is blank, one unknown, one header no date.
+    """
+    codes = F.array("o_orderpriority", "o_orderstatus", (F.col("o_custkey") % 2).cast(S))
+    day = F.col("o_orderdate").cast("date")
+    first, last = SHEET_WEEKS[0], SHEET_WEEKS[-1] + timedelta(days=6)
+    orders = t.orders.filter(day.between(F.lit(first), F.lit(last)))
+    coded = orders.select(F.trunc(day, "week").alias("week"), F.explode(codes).alias("code"))
+    money = lambda n: F.concat(F.lit("$"), F.format_number(n * 100, 0))
+    count = lambda w: F.count_if(F.col("week") == F.lit(w))
+    cell = lambda n: F.when(n % 5 == 0, "0").when(n % 7 == 0, "").otherwise(money(n))
+    header = lambda w: f"{w.month}/{w.day}"
+    rows = coded.groupBy("code").agg(
+        F.count(F.lit(1)).alias("total"), *[count(w).alias(header(w)) for w in SHEET_WEEKS]
+    )
+    total = F.col("total")
+    return rows.select(
+        lookup("code", SHEET_LABELS).alias("METRIC"),
+        F.lit("TEAM").alias("OWNER"),
+        F.lit("100").alias("TARGET"),
+        F.when(F.col("code") == "2-HIGH", "n/a").otherwise(money(total)).alias("Current Total"),
+        F.lit("12%").alias("% TO TARGET"),
+        *[cell(F.col(f"`{header(w)}`")).alias(header(w)) for w in SHEET_WEEKS],
+        F.lit("$5").alias("13/40"),
+        F.lpad(lookup("code", {c: i for i, c in enumerate(SHEET_LABELS)}).cast(S), 2, "0").alias("position"),
+    )
