@@ -52,39 +52,31 @@ def _units_where(flag: str | Column) -> Column:
 def door_facts(lines: DataFrame, items: DataFrame, as_of: date) -> DataFrame:
     """Volume, points of distribution and order dates per door.
 
-    Lines first collapse to door x item x window flags; items become rows, so a
-    point of distribution is a row with sales and no distinct count is needed.
+    Lines first collapse to door x item with the units of every window side by side;
+    items become rows, so a point of distribution is a row with sales and no distinct
+    count is needed.
     """
     day = F.col("sale_date")
     after = lambda n: day > F.lit(days_before(as_of, n))
-    flagged = lines.filter(day <= F.lit(as_of)).withColumns(
-        {
-            "l30": after(30),
-            "p30": after(60) & ~after(30),
-            "l90": after(90),
-            "p90": after(180) & ~after(90),
-            "ytd": day >= F.lit(date(as_of.year, 1, 1)),
-        }
-    )
-    flags = ["l30", "p30", "l90", "p90", "ytd"]
-    grain = depletion_by(flagged, items, ["acct_code", *flags])
-    per_item = grain.groupBy("acct_code", "item_code").agg(
-        F.sum("units").alias("lifetime"),
-        *[_units_where(f).alias(f) for f in flags],
-        F.min("first_sale").alias("first_sale"),
-        F.max("last_sale").alias("last_sale"),
-    )
+    windows = {
+        "ytd": day >= F.lit(date(as_of.year, 1, 1)),
+        "l30": after(30),
+        "p30": after(60) & ~after(30),
+        "l90": after(90),
+        "p90": after(180) & ~after(90),
+    }
+    grain = depletion_by(lines.filter(day <= F.lit(as_of)), items, ["acct_code"], windows)
     pods = lambda c: F.count_if(F.col(c) > 0)
-    return per_item.groupBy(F.col("acct_code").alias("vip_id")).agg(
+    return grain.groupBy(F.col("acct_code").alias("vip_id")).agg(
         F.min("first_sale").alias("first_order_date"),
         F.max("last_sale").alias("most_recent_order_date"),
-        F.sum("lifetime").alias("qty_lifetime"),
+        F.sum("units").alias("qty_lifetime"),
         F.sum("ytd").alias("qty_ytd"),
         F.sum("l30").alias("qty_last_30_days"),
         F.sum("p30").alias("qty_previous_30_days"),
         F.sum("l90").alias("qty_last_90_days"),
         F.sum("p90").alias("qty_previous_90_days"),
-        pods("lifetime").alias("pod_lifetime"),
+        pods("units").alias("pod_lifetime"),
         pods("ytd").alias("pod_ytd"),
         pods("l30").alias("pod_last_30"),
         pods("p30").alias("pod_previous_30"),
@@ -166,9 +158,11 @@ def universe_totals(lines: DataFrame, items: DataFrame) -> DataFrame:
         "ytd": day >= year,
         "py_ytd": (day >= prior_year) & (day <= prior_end),
     }
-    flagged = dated.filter(day >= F.least(prior_year, F.date_sub(end, 180))).withColumns(windows)
-    grain = depletion_by(flagged, items, ["acct_code", *windows])
-    per_door = grain.groupBy("acct_code").agg(*[_units_where(w).alias(w) for w in windows])
+    recent = dated.filter(day >= F.least(prior_year, F.date_sub(end, 180)))
+    # The conditions become columns first: an aggregate cannot hold the sub-query.
+    flagged = recent.withColumns({f"in_{w}": condition for w, condition in windows.items()})
+    grain = depletion_by(flagged, items, ["acct_code"], {w: F.col(f"in_{w}") for w in windows})
+    per_door = grain.groupBy("acct_code").agg(*[F.sum(w).alias(w) for w in windows])
     return per_door.agg(
         *[zero_if_null(F.sum(w)).cast("double").alias(f"{w}_volume") for w in windows],
         *[F.count_if(F.col(w) > 0).alias(f"{w}_active_doors") for w in windows],

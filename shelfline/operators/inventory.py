@@ -6,7 +6,7 @@ Units are individual bottles, cans or shots; case quantities are multiplied out.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -95,15 +95,16 @@ def product_family(desc: Column, units: Column) -> Column:
     )
 
 
-def sell_through_lines(raw: DataFrame, since: date | None = None) -> DataFrame:
-    """Typed positive product sales; unparsable quantities and dates drop out.
+def parse_sell_through(raw: DataFrame, since: date | None = None) -> DataFrame:
+    """Text sell-through as typed lines; unparsable quantities and dates become NULL.
 
-    ``yyyyMMdd`` text sorts like the date, so ``since`` is also applied to the text,
-    where the scan can use it.
+    Parsing per row hides the date from the scan, so this belongs in the job that
+    loads the facts. ``yyyyMMdd`` text sorts like the date: ``since`` is applied to
+    the text, where the scan can use it.
     """
     if since is not None:
         raw = raw.filter(F.col("invoice_date") >= since.strftime("%Y%m%d"))
-    typed = raw.select(
+    return raw.select(
         "dist_code",
         "item_code",
         "acct_code",
@@ -111,34 +112,54 @@ def sell_through_lines(raw: DataFrame, since: date | None = None) -> DataFrame:
         F.col("qty").try_cast("bigint").alias("qty"),
         F.try_to_date("invoice_date", "yyyyMMdd").alias("sale_date"),
     )
-    product = ~F.col("item_code").like(ADJUSTMENT_ITEM_PATTERN) & (
-        F.col("item_code") != PLACEHOLDER_ITEM
-    )
+
+
+def product_sales(typed: DataFrame) -> DataFrame:
+    """Positive, dated sales of real products."""
+    item = F.col("item_code")
+    product = ~item.like(ADJUSTMENT_ITEM_PATTERN) & (item != PLACEHOLDER_ITEM)
     return typed.filter((F.col("qty") > 0) & product & F.col("sale_date").isNotNull())
 
 
+def sell_through_lines(raw: DataFrame, since: date | None = None) -> DataFrame:
+    """Both steps for a text source."""
+    return product_sales(parse_sell_through(raw, since))
+
+
 def trailing(lines: DataFrame, day: str, as_of: date, days: int) -> DataFrame:
     return lines.filter(day_range(day, days_before(as_of, days), as_of))
 
 
-def depletion_by(lines: DataFrame, items: DataFrame, keys: Sequence) -> DataFrame:
-    """Sell-through pre-aggregated to ``keys`` x item, then converted to units.
+def depletion_by(
+    lines: DataFrame, items: DataFrame, keys: Sequence, windows: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Sell-through pre-aggregated to ``keys`` x item, then converted to ``units``.
 
     Lines collapse before the item look-up, so a best-seller that owns a third of the
-    lines reaches the join as at most one row per key.
+    lines reaches the join as at most one row per key. ``windows`` adds the units of
+    the lines that meet each condition, from the same pass.
     """
-    each = F.when(F.col("uom") == UOM_EACH, F.col("qty"))
-    boxed = F.when(F.col("uom") == UOM_EACH, F.lit(0)).otherwise(F.col("qty"))
-    summed = lines.groupBy(*keys, "item_code").agg(
-        F.sum(boxed).alias("_cases"),
-        F.sum(each).alias("_each"),
+    each = F.col("uom") == UOM_EACH
+    conditions = {"units": None, **(windows or {})}
+
+    def summed(condition: Column | None, own: Column) -> Column:
+        wanted = own if condition is None else condition & own
+        return F.sum(F.when(wanted, F.col("qty")))
+
+    grouped = lines.groupBy(*keys, "item_code").agg(
+        *[summed(w, ~F.coalesce(each, F.lit(False))).alias(f"_{n}_boxed") for n, w in conditions.items()],
+        *[summed(w, F.coalesce(each, F.lit(False))).alias(f"_{n}_each") for n, w in conditions.items()],
         F.count(F.lit(1)).alias("lines"),
         F.min("sale_date").alias("first_sale"),
         F.max("sale_date").alias("last_sale"),
     )
-    units = F.col("_cases") * F.coalesce("units_per_case", F.lit(DEFAULT_UNITS_PER_CASE))
-    joined = summed.join(items, "item_code", "left")
-    return joined.withColumn("units", units + zero_if_null("_each")).drop("_cases", "_each")
+    size = F.coalesce("units_per_case", F.lit(DEFAULT_UNITS_PER_CASE))
+    joined = grouped.join(items, "item_code", "left")
+    units = {
+        n: zero_if_null(f"_{n}_boxed") * size + zero_if_null(f"_{n}_each") for n in conditions
+    }
+    spent = [f"_{n}_{part}" for n in conditions for part in ("boxed", "each")]
+    return joined.withColumns(units).drop(*spent)
 
 
 def units_by_measure(lines: DataFrame, items: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ SALES_START = date(2000, 8, 1)
 
 
 def sold_lines(t: Tables, since: date | None = None) -> DataFrame:
-    return inv.sell_through_lines(roles.sell_through_raw(t, since), since)
+    return inv.product_sales(roles.sell_through(t, since))
 
 
 def items(t: Tables) -> DataFrame:

@@ -185,7 +185,7 @@ LEFT JOIN item_now ON item = item_code"""
 FROM sold WHERE sale_date IS NOT NULL GROUP BY uom""",
 )
 def _(t):
-    return inv.units_by_measure(inputs.sold_lines(t), inputs.items(t))
+    return inv.units_by_measure(inv.sell_through_lines(roles.sell_through_raw(t)), inputs.items(t))
 
 
 @query("Q02_distributor_order_totals", ORDER_TOTALS)

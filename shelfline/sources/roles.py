@@ -249,12 +249,14 @@ def credit_memo(t: Tables) -> DataFrame:
 
 # -- sell-through ------------------------------------------------------------
 
-def sell_through_raw(t: Tables, since: date | None = None) -> DataFrame:
-    """Distributor sell-through as delivered: every field is text."""
+def _sold(t: Tables, since: date | None) -> DataFrame:
     lines = _on_or_after(t.lineitem, "l_shipdate", since)
-    sold = lines.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+def _sold_keys() -> list[Column]:
     last_line = F.col("l_linenumber") == 7
-    return sold.select(
+    return [
         _code("D", "l_suppkey").alias("dist_code"),
         F.when(last_line & (F.col("l_tax") == 0), "99Z1")
         .when(last_line & (F.col("l_discount") == 0), "XXXXXX")
@@ -265,6 +267,14 @@ def sell_through_raw(t: Tables, since: date | None = None) -> DataFrame:
         .when(F.col("l_returnflag") == "N", "B")
         .when(F.col("l_linestatus") == "F", "X")
         .alias("uom"),
+    ]
+
+
+def sell_through_raw(t: Tables, since: date | None = None) -> DataFrame:
+    """Distributor sell-through as delivered: every field is text, some unusable."""
+    last_line = F.col("l_linenumber") == 7
+    return _sold(t, since).select(
+        *_sold_keys(),
         F.when(last_line & (F.col("l_tax") == 0.08), "abc")
         .when(last_line & (F.col("l_tax") == 0.07), "-3")
         .otherwise(F.col("l_quantity").cast("bigint").cast(S))
@@ -275,6 +285,20 @@ def sell_through_raw(t: Tables, since: date | None = None) -> DataFrame:
     )
 
 
+def sell_through(t: Tables, since: date | None = None) -> DataFrame:
+    """The same facts loaded with types: what parsing the text yields, with the date
+    as a column the scan can filter on."""
+    last_line = F.col("l_linenumber") == 7
+    return _sold(t, since).select(
+        *_sold_keys(),
+        F.when(last_line & (F.col("l_tax") == 0.08), None)
+        .when(last_line & (F.col("l_tax") == 0.07), -3)
+        .otherwise(F.col("l_quantity").cast("bigint"))
+        .alias("qty"),
+        F.when(~(last_line & (F.col("l_tax") == 0.06)), F.col("l_shipdate").cast("date")).alias("sale_date"),
+    )
+
+
 def door(t: Tables) -> DataFrame:
     """Outlet attributes; outlets without a chain are independents."""
     located = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
