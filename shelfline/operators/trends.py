@@ -156,7 +156,7 @@ def phrase_rows(texts: DataFrame, text: str, *keep: str) -> DataFrame:
     triples = worded.select(*keep, F.inline(shifted).alias("a", "b", "c")).filter("b IS NOT NULL")
     pair = F.concat_ws(" ", "a", "b")
     triple = F.when(F.col("c").isNotNull(), F.concat_ws(" ", "a", "b", "c"))
-    return triples.select(*keep, F.explode(F.array_compact(F.array(pair, triple))).alias("ngram"))
+    return triples.select(*keep, F.stack(F.lit(2), pair, triple).alias("ngram")).filter("ngram IS NOT NULL")
 
 
 def emerging_phrases(

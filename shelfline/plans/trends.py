@@ -9,7 +9,7 @@ from shelfline.operators import trends as tr
 from shelfline.plans.accounts import SHEET_CTES, _kpi_sql, _sheet, scorecard_kpis
 from shelfline.plans.inputs import EVENTS_AS_OF as TODAY
 from shelfline.plans.registry import query
-from shelfline.sources import roles
+from shelfline.sources import files, roles
 
 FLAVORS, BRANDS = ["flavor", "ingredient"], ["brand"]
 EVERYTHING = ["brand", "ingredient", "flavor", "category"]
@@ -111,7 +111,8 @@ ORDER BY growth_ratio DESC, ngram LIMIT 10""",
 )
 def _(t):
     known = t.benchmark.select(F.array_join(F.slice(tr.words("text"), 1, 2), " ").alias("phrase"))
-    return tr.emerging_phrases(roles.text_mention(t), known, TODAY, days=14)
+    texts = files.use_all_cores(roles.text_mention(t))
+    return tr.emerging_phrases(texts, known, TODAY, days=14)
 
 
 @query(
