@@ -281,8 +281,9 @@ def _reconciled(order_totals: DataFrame, distributors: DataFrame, depletion: Dat
     joined = ordered.join(keyed, F.col("account_id") == F.col("match_id"), "full")
     joined = joined.withColumn("has_orders", F.coalesce("has_orders", F.lit(False)))
 
-    # Accounts without a code get their own window key, so they spread out.
-    code_key = Window.partitionBy(F.coalesce("code", "account_id"))
+    # Accounts without a code get a key of their own, so they spread out.
+    uncoded = F.when(F.col("code").isNull(), F.coalesce("account_id", "distributor_name"))
+    code_key = Window.partitionBy("code", uncoded)
     joined = joined.withColumn("covered", F.max("has_orders").over(code_key))
 
     sold = depletion.withColumnRenamed("distributor_code", "sold_code")

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+#: Call sites in error messages cost several driver round trips per column
+#: expression; building a plan takes longer than running it with them on. This one
+#: must be set before the session starts.
+STATIC_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 #: Runtime re-planning is what keeps look-up joins safe: a dimension is only
 #: broadcast when its measured size is under the threshold, and a hot join key
 #: is split across tasks even when the join feeds another aggregation.
-ADAPTIVE_SETTINGS = {
+RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    "spark.sql.dataFrameQueryContext.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -27,7 +33,7 @@ def local_session(cores: int | str = 8, app: str = "shelfline") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
     )
-    for key, value in ADAPTIVE_SETTINGS.items():
+    for key, value in {**RUNTIME_SETTINGS, **STATIC_SETTINGS}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -36,6 +42,6 @@ def local_session(cores: int | str = 8, app: str = "shelfline") -> SparkSession:
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to a session somebody else created."""
-    for key, value in ADAPTIVE_SETTINGS.items():
+    for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
     return spark
