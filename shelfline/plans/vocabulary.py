@@ -91,13 +91,10 @@ def _(t):
     return t.spark.read.option("header", True).schema(counts.schema).csv(path)
 
 
-@query(
-    "S07_empty_fallback",
-    "SELECT r_regionkey, r_name FROM region",
-)
+@query("S07_empty_fallback", "SELECT o_orderkey, o_orderstatus FROM orders")
 def _(t):
-    schema = T.StructType([T.StructField("r_regionkey", T.IntegerType()), T.StructField("r_name", T.StringType())])
-    present = files.scan_or_empty(t.spark, f"{t.folder}/region.parquet", schema)
+    schema = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_orderstatus", T.StringType())])
+    present = files.scan_or_empty(t.spark, f"{t.folder}/orders.parquet", schema)
     absent = files.scan_or_empty(t.spark, f"{t.folder}/no_such_table.parquet", schema)
     return present.unionByName(absent)
 
