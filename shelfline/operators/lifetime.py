@@ -44,6 +44,8 @@ PLATFORM_COLUMNS = {
     "Shopify": ("shopify_revenue", "shopify_orders"),
 }
 AMOUNT = "decimal(18,4)"
+# Rank error of the approximate median is at most 1 / accuracy of the customers.
+MEDIAN_ACCURACY = 100_000
 
 
 # -- orders of both platforms ----------------------------------------------------
@@ -194,7 +196,7 @@ def lifetime_summary(selected: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_customers"),
         money_sum("revenue").alias("total_revenue"),
         F.round(money_sum("revenue") / F.count("revenue"), 2).alias("avg_ltv"),
-        F.round(F.percentile_approx("revenue", 0.5, 10000), 2).alias("median_ltv"),
+        F.round(F.percentile_approx("revenue", 0.5, MEDIAN_ACCURACY), 2).alias("median_ltv"),
         F.round(F.avg("orders"), 1).alias("avg_orders"),
         F.count_if(F.col("orders") > 1).alias("repeat_customers"),
         F.count_if(legacy & web).alias("cross_platform"),
