@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import decontaminate, simhash, token_counts
+from shelfline.llm import ann, decontaminate, language, mixing, quality_gam, secret_scan, simhash, token_counts, url_lists, warc_zip
 from shelfline.llm.common import table
+from shelfline.sources.storage import scratch_path
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -84,3 +85,108 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = token_counts.token_counts(table(spark, folder, "documents").select("doc_id", "text"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op6_secret_scan")
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_example"
+    )
+
+
+@query("op7_source_mixing")
+def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(table(spark, folder, "documents"))
+
+
+@query("op1_nearest_neighbours")
+def op1_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query(
+    "op3_warc_packages",
+    sql="""
+    WITH p AS (
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+        FROM pages
+    ),
+    o AS (SELECT payload_digest, max(page_id) AS original FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN original <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN original <> page_id THEN original END AS refers_to
+    FROM p LEFT JOIN o USING (payload_digest)
+    """,
+)
+def op3_warc_packages(spark: SparkSession, folder: str) -> DataFrame:
+    packages = scratch_path(spark, "packages")
+    warc_zip.write_packages(table(spark, folder, "pages"), packages)
+    read = warc_zip.read_packages(spark, packages, payload=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_gam.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query(
+    "op9_url_lists",
+    sql="""
+    WITH page AS (
+        SELECT page_id, url, timestamp '2024-01-01 00:00:00' + to_seconds((page_id * 7919) % 2592000) AS fetched,
+               nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+               regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path
+        FROM pages
+    ),
+    part AS (SELECT *, string_split(host, '.') AS labels, string_split(path, '/') AS steps FROM page),
+    entry AS (
+        SELECT CAST(e.ts AS DATE) AS day, e.event_id AS seq, 'c' || (e.user_id % 3) AS category,
+               CASE e.event_type WHEN 'signup' THEN 'domain' WHEN 'purchase' THEN 'prefix' ELSE 'host' END AS kind,
+               CASE e.event_type
+                   WHEN 'signup' THEN array_to_string(list_slice(p.labels, greatest(len(p.labels) - 2, 1), len(p.labels)), '.')
+                   WHEN 'purchase' THEN p.host || '/' || p.steps[2]
+                   ELSE p.host END AS key,
+               CASE WHEN e.event_type = 'error' THEN 'remove' ELSE 'add' END AS action
+        FROM events e JOIN part p ON p.page_id = e.event_id % (SELECT max(page_id) + 1 FROM pages)
+    ),
+    -- the state a day ends with, valid until the next day on which the list names the key
+    daily AS (SELECT kind, key, category, day, arg_max(action, seq) AS action FROM entry WHERE key IS NOT NULL GROUP BY ALL),
+    cell AS (
+        SELECT kind, key, category, action, day AS since,
+               lead(day) OVER (PARTITION BY kind, key, category ORDER BY day) AS until
+        FROM daily
+    ),
+    answer AS (
+        SELECT page_id, 'host' AS kind, host AS key FROM part WHERE host IS NOT NULL
+        UNION
+        SELECT page_id, 'domain', array_to_string(list_slice(labels, i, len(labels)), '.')
+        FROM (SELECT page_id, labels, unnest(range(1, greatest(len(labels) - 1, 1) + 1)) AS i FROM part WHERE host IS NOT NULL)
+        UNION
+        SELECT page_id, 'prefix', host || '/' || array_to_string(list_slice(kept, 1, i), '/')
+        FROM (SELECT page_id, host, kept, unnest(range(1, len(kept) + 1)) AS i
+              FROM (SELECT page_id, host, regexp_extract_all(path, '[^/]+') AS kept FROM part WHERE host IS NOT NULL))
+    ),
+    rule AS (
+        SELECT DISTINCT a.page_id, a.kind || ':' || a.key || ':' || c.category AS name
+        FROM answer a JOIN part USING (page_id) JOIN cell c
+          ON c.kind = a.kind AND c.key = a.key AND c.action = 'add' AND c.since <= fetched AND (c.until IS NULL OR fetched < c.until)
+    ),
+    found AS (SELECT page_id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM rule GROUP BY page_id)
+    SELECT page_id, CAST(epoch(fetched) AS BIGINT) AS fetched_at, host, CAST(coalesce(n, 0) AS BIGINT) AS n_active,
+           coalesce(names, '') AS rules, coalesce(n, 0) > 0 AS blocked
+    FROM part LEFT JOIN found USING (page_id)
+    """,
+)
+def op9_url_lists(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    judged = url_lists.evaluate(url_lists.captures_of(pages), url_lists.entries_of(table(spark, folder, "events"), pages))
+    return judged.select(
+        "page_id", F.unix_timestamp("fetched").alias("fetched_at"), "host", "n_active", F.array_join("rules", ",").alias("rules"), "blocked"
+    )
+
+
+@query("op10_language")
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))

@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -137,11 +138,11 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
     )
     tiled = grouped.join(sizes, ["at", "part"]).select("fp", "node", "at", "part", F.inline(tiles))
 
-    def task(key, frame):
+    def task(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         fp, node = frame["fp"].to_numpy().view(np.uint64), frame["node"].to_numpy()
         pairs = forest(fp, int(key[0]) // 2, distance)
-        u, v = ([p[k] for p in pairs] for k in (0, 1))
-        return frame.__class__({"a": node[u], "b": node[v]}) if pairs else frame.__class__({"a": [], "b": []}, dtype="int64")
+        u, v = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        return pd.DataFrame({"a": node[u], "b": node[v]}, dtype="int64")
 
     return tiled.groupBy("at", "part", "r", "c").applyInPandas(task, "a long, b long").distinct()
 
