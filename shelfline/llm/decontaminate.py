@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.llm.common import ascii_lower, row_key, same_row
+from shelfline.sources.storage import materialise
 
 #: What separates words: ASCII other than digits and letters.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -94,7 +95,7 @@ def hit_spans(hits: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, identity: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document row: its id, ``n_words``, ``n_hit``, sorted ``items``, ``spans``."""
-    hits = window_hits(docs, benchmark, size, identity, text)
+    hits = materialise(window_hits(docs, benchmark, size, identity, text), "hits")
     spans = (
         hit_spans(hits)
         .groupBy("__id", "__hash")
