@@ -11,7 +11,8 @@ Training rows are a bounded sample of the labelled rows, chosen by a hash of the
 the executors. Everything else works on all rows.
 
 Defined results: a null text scores like an empty one; without labels of both classes
-every score is the share of class 1 (0.5 without labels); documents with several labels
+every score is the share of class 1 (0.5 without labels) and ``keep_good`` rejects
+nothing; documents with several labels
 count once for each; repeated rows get equal scores.
 """
 
@@ -65,6 +66,10 @@ class Model:
     pair_edges: list[np.ndarray]
     pair_tables: list[np.ndarray]
 
+    @property
+    def trained(self) -> bool:
+        return bool(self.pairs)
+
     def margins(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.base)
         for f, (edges, entries) in enumerate(zip(self.edges, self.tables, strict=True)):
@@ -134,7 +139,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Model:
     x = x.reshape(-1, len(FEATURES))
     total, positive = float(weight.sum()), float((weight * y).sum())
     share = positive / total if total else 0.5
-    plain = not 0 < share < 1
+    plain = not total or not 0 < share < 1
     bound = min(max(share, 1e-6), 1 - 1e-6)
     base = float(np.log(bound / (1 - bound)))
     edges = [np.zeros(0) if plain else _edges(x[:, f], BINS) for f in range(len(FEATURES))]
@@ -226,4 +231,6 @@ def classify(docs: DataFrame, labels: DataFrame, identity: str = "doc_id", text:
 def keep_good(docs: DataFrame, labels: DataFrame, identity: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents whose score is below the threshold."""
     model = train(docs, labels, identity=identity, text=text)
+    if not model.trained:
+        return docs
     return scored(docs, model, text, "__score").where(F.col("__score") >= threshold).select(*docs.columns)
