@@ -368,17 +368,24 @@ def _status(name: str) -> Column:
 
 
 def chain_scorecard(doors: DataFrame, period: str = "Last 30d") -> DataFrame:
-    """Q73: stores, volume, states, growth and health per chain."""
-    out = doors.groupBy("chain_code", "chain_name").agg(
-        F.countDistinct("vip_id").alias("total_stores"),
-        _status("Active").alias("active_stores"),
-        _status("At Risk").alias("at_risk_stores"),
-        _status("Churned").alias("churned_stores"),
-        F.sum(VOLUME_COLUMNS[period]).alias("volume"),
-        F.sum("qty_last_30_days").alias("qty_30d"),
-        F.sum("qty_previous_30_days").alias("qty_prev_30d"),
-        F.sum("pod_last_30").alias("pod_30"),
-        F.countDistinct("state").alias("states"),
+    """Q73: stores, volume, states, growth and health per chain. A store is in one state."""
+    chain = ["chain_code", "chain_name"]
+    sums = {
+        "volume": VOLUME_COLUMNS[period],
+        "qty_30d": "qty_last_30_days",
+        "qty_prev_30d": "qty_previous_30_days",
+        "pod_30": "pod_last_30",
+    }
+    counts = {"active_stores": "Active", "at_risk_stores": "At Risk", "churned_stores": "Churned"}
+    # One row per store, then per state: distinct counts become row counts.
+    per_store = doors.groupBy(*chain, "state", "vip_id").agg(
+        *[_status(s).alias(c) for c, s in counts.items()], *[F.sum(s).alias(c) for c, s in sums.items()]
+    )
+    per_state = per_store.groupBy(*chain, "state").agg(
+        F.count("vip_id").alias("total_stores"), *[F.sum(c).alias(c) for c in [*counts, *sums]]
+    )
+    out = per_state.groupBy(*chain).agg(
+        *[F.sum(c).alias(c) for c in ["total_stores", *counts, *sums]], F.count("state").alias("states")
     )
     stores = F.col("total_stores")
     health = (
@@ -490,14 +497,19 @@ def store_map(doors: DataFrame, period: str = "Last 30d") -> DataFrame:
 # -- SKU reports -------------------------------------------------------------------------
 
 def sku_summary(skus: DataFrame) -> DataFrame:
-    """Q76: reach, volume and growth per SKU."""
-    out = skus.groupBy("item_code", "item_name").agg(
-        F.countDistinct("vip_id").alias("doors"),
-        F.sum("ttm_current").alias("case_equiv_ttm"),
-        F.sum("ttm_prior").alias("case_equiv_prior"),
-        F.sum("total_units_all_time").alias("raw_units"),
-        F.countDistinct("chain_code").alias("chains"),
-        F.countDistinct("store_state").alias("states"),
+    """Q76: reach, volume and growth per SKU. A door has one chain and one state."""
+    sku = ["item_code", "item_name"]
+    sums = {"case_equiv_ttm": "ttm_current", "case_equiv_prior": "ttm_prior", "raw_units": "total_units_all_time"}
+    # Fold to doors, then to pairs of chain and state: the sets left are small.
+    per_door = skus.groupBy(*sku, "chain_code", "store_state", "vip_id").agg(*[F.sum(s).alias(c) for c, s in sums.items()])
+    per_place = per_door.groupBy(*sku, "chain_code", "store_state").agg(
+        F.count("vip_id").alias("doors"), *[F.sum(c).alias(c) for c in sums]
+    )
+    out = per_place.groupBy(*sku).agg(
+        F.sum("doors").alias("doors"),
+        *[F.sum(c).alias(c) for c in sums],
+        F.size(F.collect_set("chain_code")).cast("long").alias("chains"),
+        F.size(F.collect_set("store_state")).cast("long").alias("states"),
     )
     return out.withColumn("growth_pct", growth_percent("case_equiv_ttm", "case_equiv_prior"))
 

@@ -59,25 +59,29 @@ def series_stats(df: DataFrame, order: str, value: str, by: Sequence[str] = ())
 
 # -- stock-out risk ------------------------------------------------------------
 
-def trend_key() -> Column:
-    """Distributor code to look a health row's trend up by: the first code of its
-    list, else the row's own code (the row key is an account id)."""
-    first = F.trim(F.get(F.split("vip_codes", ","), 0))
-    return F.coalesce(first, F.col("distributor_code"))
+def trend_codes() -> Column:
+    """Distributor codes whose series make up a health row's trend: those of its list,
+    else the row's own code (the row key is an account id)."""
+    listed = F.transform(F.split(F.coalesce("vip_codes", "distributor_code"), ","), lambda c: F.trim(c))
+    return F.array_distinct(F.filter(listed, lambda c: c != ""))
 
 
 def stockout_risk(
-    health: DataFrame, trends: DataFrame, as_of: date, key: Column | None = None
+    health: DataFrame, trends: DataFrame, as_of: date, codes: Column | None = None
 ) -> DataFrame:
     """Q14: weeks to stock-out, risk score and reorder advice per health row.
 
-    Trend compares the last four weeks with the first four of the series when it
-    has at least eight weeks; variation is the sample deviation over the mean.
+    The weekly series of a row's codes are added up first. Trend compares the last
+    four weeks with the first four of the series when it has at least eight weeks;
+    variation is the sample deviation over the mean.
     """
-    stats = series_stats(trends, "week_start", "qty_depleted", ["distributor_code"])
-    stats = stats.withColumnRenamed("distributor_code", "_code")
-    key = trend_key() if key is None else key
-    joined = health.join(stats, key == F.col("_code"), "left")
+    codes = trend_codes() if codes is None else codes
+    weeks = trends.select(F.col("distributor_code").alias("_code"), "week_start", "qty_depleted")
+    rows = health.select(F.struct(*health.columns).alias("_row"), F.explode_outer(codes).alias("_code"))
+    series_of = rows.join(weeks, "_code", "left").groupBy("_row", "week_start").agg(
+        F.sum("qty_depleted").alias("qty_depleted")
+    )
+    joined = series_stats(series_of, "week_start", "qty_depleted", ["_row"]).select("_row.*", "*").drop("_row")
 
     seen = F.col("n") >= 4
     base = F.when(F.col("n") >= 8, F.col("first4")).otherwise(F.col("last4"))

@@ -105,10 +105,7 @@ def parse_sell_through(raw: DataFrame, since: date | None = None) -> DataFrame:
     if since is not None:
         raw = raw.filter(F.col("invoice_date") >= since.strftime("%Y%m%d"))
     return raw.select(
-        "dist_code",
-        "item_code",
-        "acct_code",
-        "uom",
+        *(c for c in ("dist_code", "item_code", "acct_code", "uom") if c in raw.columns),
         F.col("qty").try_cast("bigint").alias("qty"),
         F.try_to_date("invoice_date", "yyyyMMdd").alias("sale_date"),
     )
@@ -537,11 +534,12 @@ def distributor_weekly_trend(
         items,
         ["dist_code", sunday_week("sale_date").alias("week_start"), "acct_code"],
     )
-    weekly = grain.groupBy("dist_code", "week_start").agg(
-        F.sum("units").alias("qty_depleted"),
-        F.countDistinct("acct_code").alias("stores_reached"),
-        F.countDistinct("item_code").alias("skus_sold"),
-    )
+    by_week = ["dist_code", "week_start"]
+    volumes = grain.groupBy(*by_week, "item_code").agg(F.sum("units").alias("units"))
+    volumes = volumes.groupBy(*by_week).agg(F.sum("units").alias("qty_depleted"), F.count("item_code").alias("skus_sold"))
+    reached = grain.groupBy(*by_week, "acct_code").agg(F.lit(1).alias("one"))
+    reached = reached.groupBy(*by_week).agg(F.count("acct_code").alias("stores_reached"))
+    weekly = volumes.join(reached, by_week)
     real = distributors.filter(~F.col("is_parent_rollup"))
     named = weekly.join(real, F.col("dist_code") == F.col("distributor_code"))
     by = ["distributor_code"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shelfline.operators import inventory as inv
 from shelfline.sources import roles
@@ -19,8 +20,14 @@ TREND_START = AS_OF - timedelta(days=7 * WEEKS)
 SALES_START = date(2000, 8, 1)
 
 
-def sold_lines(t: Tables, since: date | None = None) -> DataFrame:
-    return inv.product_sales(roles.sell_through(t, since))
+def sold_lines(t: Tables, since: date | None = None, with_account: bool = True) -> DataFrame:
+    return inv.product_sales(roles.sell_through(t, since, with_account))
+
+
+def latest_sale(t: Tables) -> date | None:
+    """Date of the last sale: one row, read from the line items alone when the plan is
+    built, so that windows that end there reach the scan as literals."""
+    return sold_lines(t, with_account=False).agg(F.max("sale_date")).first()[0]
 
 
 def items(t: Tables) -> DataFrame:
@@ -85,7 +92,7 @@ def woi(t: Tables) -> DataFrame:
     return inv.weeks_of_inventory_by_sku(
         roles.b2b_order_line(t, WINDOW_START),
         roles.sku_map(t),
-        sold_lines(t, WINDOW_START),
+        sold_lines(t, WINDOW_START, with_account=False),
         items(t),
         roles.distributor(t),
         AS_OF,

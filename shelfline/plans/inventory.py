@@ -185,7 +185,7 @@ LEFT JOIN item_now ON item = item_code"""
 FROM sold WHERE sale_date IS NOT NULL GROUP BY uom""",
 )
 def _(t):
-    return inv.units_by_measure(inv.sell_through_lines(roles.sell_through_raw(t)), inputs.items(t))
+    return inv.units_by_measure(inv.sell_through_lines(roles.sell_through_raw(t, with_account=False)), inputs.items(t))
 
 
 @query("Q02_distributor_order_totals", ORDER_TOTALS)
@@ -195,7 +195,7 @@ def _(t):
 
 @query("Q03_all_channel_revenue", CHANNEL_REVENUE)
 def _(t):
-    return inv.all_channel_revenue(roles.b2b_order_line(t, WINDOW_START), AS_OF, DAYS)
+    return inv.all_channel_revenue(roles.b2b_order_line(t, WINDOW_START, with_customer=False), AS_OF, DAYS)
 
 
 @query("Q04_distributor_depletion", DEPLETION)
@@ -256,14 +256,17 @@ STATS = """count(*) AS n, avg(v) AS mean, avg(v) FILTER (WHERE up <= 4) AS first
   stddev_samp(v) AS sd_samp, stddev_pop(v) AS sd_pop, max(week_start) AS last_time"""
 
 RISK_CTES = f"""{HEALTH_CTES}, trend_rows AS ({DIST_WEEKS}),
-stats AS (SELECT code, {STATS} FROM (
-  SELECT distributor_code AS code, week_start, CAST(qty_depleted AS DOUBLE) AS v,
-    row_number() OVER (PARTITION BY distributor_code ORDER BY week_start) AS up,
-    row_number() OVER (PARTITION BY distributor_code ORDER BY week_start DESC) AS down FROM trend_rows) GROUP BY code),
+listed AS (SELECT DISTINCT row_code, trim(c) AS c FROM (
+  SELECT distributor_code AS row_code, unnest(string_split(coalesce(vip_codes, distributor_code), ',')) AS c FROM health)),
+added AS (SELECT row_code, week_start, CAST(sum(qty_depleted) AS DOUBLE) AS v
+  FROM listed JOIN trend_rows ON c = distributor_code GROUP BY ALL),
+stats AS (SELECT row_code AS code, {STATS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY row_code ORDER BY week_start) AS up,
+    row_number() OVER (PARTITION BY row_code ORDER BY week_start DESC) AS down FROM added) GROUP BY row_code),
 r1 AS (SELECT h.*, CASE WHEN n >= 8 AND first4 > 0 THEN (last4 - first4) / first4
     ELSE 0 END AS trend,
   CASE WHEN n >= 4 AND mean > 0 THEN sd_samp / mean ELSE 0.2 END AS cv
-  FROM health h LEFT JOIN stats ON coalesce(trim(split_part(vip_codes, ',', 1)), distributor_code) = code),
+  FROM health h LEFT JOIN stats ON h.distributor_code = code),
 r2 AS (SELECT *, CASE WHEN weekly_depletion_rate > 0 THEN weekly_depletion_rate * (1 + trend * 0.5) ELSE 0 END AS adj FROM r1),
 r3 AS (SELECT *, CASE WHEN adj > 0 AND total_qty_ordered > 0 THEN total_qty_ordered / adj
     WHEN weeks_of_inventory > 0 THEN weeks_of_inventory END AS w FROM r2),
@@ -390,7 +393,7 @@ def _(t):
 
     periods = ["MTD", "QTD", "YTD", "30d", "60d", "90d", "180d"]
     return inv.period_totals(
-        inputs.sold_lines(t, date(2001, 1, 1)), "sale_date", "qty", AS_OF, periods
+        inputs.sold_lines(t, date(2001, 1, 1), with_account=False), "sale_date", "qty", AS_OF, periods
     )
 
 

@@ -19,7 +19,7 @@ ORDERS_CTES = """legacy AS (SELECT order_id, lower(trim(billing_email)) AS email
 web AS (SELECT id AS order_id, lower(trim(email)) AS email, created_at AS ordered_at, total_price AS total,
     'shopify' AS source, financial_status IN ('refunded', 'partially_refunded') AS refunded
   FROM web_order WHERE financial_status IN ('paid', 'partially_refunded', 'refunded') AND cancelled_at IS NULL
-    AND trim(email) <> ''),
+    AND trim(email) <> '' AND CAST(created_at AS DATE) >= DATE '1998-06-01'),
 dupes AS (SELECT DISTINCT l.order_id FROM legacy l JOIN web w ON l.email = w.email
     AND CAST(l.ordered_at AS DATE) = CAST(w.ordered_at AS DATE) AND abs(l.total - w.total) < 1.00
   WHERE l.ordered_at >= TIMESTAMP '1998-06-01' AND l.ordered_at < TIMESTAMP '1998-12-01'),
@@ -62,7 +62,7 @@ def _legacy(t):
 
 
 def _web(t):
-    return ltv.web_orders(roles.web_order(t))
+    return ltv.web_orders(roles.web_order(t, roles.WEB_START))
 
 
 def _orders(t):
@@ -153,11 +153,12 @@ def _(t):
   CAST(sum(total) AS DOUBLE) AS revenue FROM legacy_order WHERE status IN ('completed', 'refunded')
   AND date_created >= TIMESTAMP '1996-01-01' GROUP BY 1
 UNION ALL SELECT CAST(date_trunc('month', created_at) AS DATE), 'Shopify', count(*), CAST(sum(total_price) AS DOUBLE)
-FROM web_order WHERE financial_status IN ('paid', 'partially_refunded', 'refunded') AND cancelled_at IS NULL GROUP BY 1""",
+FROM web_order WHERE financial_status IN ('paid', 'partially_refunded', 'refunded') AND cancelled_at IS NULL
+  AND CAST(created_at AS DATE) >= DATE '1998-06-01' GROUP BY 1""",
 )
 def _(t):
     return ltv.monthly_platform_revenue(
-        roles.legacy_order(t), roles.web_order(t), start=date(1996, 1, 1)
+        roles.legacy_order(t), roles.web_order(t, roles.WEB_START), start=date(1996, 1, 1)
     )
 
 

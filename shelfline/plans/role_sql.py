@@ -121,7 +121,7 @@ SELECT CAST(o_orderkey AS VARCHAR) AS id, {PLACED} AS created_at,
   CASE WHEN o_custkey % 13 <> 0 THEN ' ' || chr(CAST(97 + o_custkey % 25 AS INTEGER)) || 'x' ELSE '' END AS province_code,
   CASE WHEN o_custkey % 10 = 0 THEN 'CA' ELSE 'US' END AS country_code,
   CAST(timezone('America/Los_Angeles', timezone('UTC', {PLACED})) AS DATE) AS local_day
-FROM orders WHERE o_orderdate >= DATE '1998-06-01'""",
+FROM orders""",
     "web_line": f"""
 SELECT CAST(o_orderkey AS VARCHAR) AS id,
   CAST(timezone('America/Los_Angeles', timezone('UTC', {PLACED})) AS DATE) AS local_day,
@@ -129,7 +129,7 @@ SELECT CAST(o_orderkey AS VARCHAR) AS id,
   CAST(l_quantity AS BIGINT) AS quantity, CAST(p_retailprice AS DECIMAL(18,2)) AS price,
   CASE WHEN l_discount > 0 THEN CAST(floor(l_extendedprice * l_discount) AS DECIMAL(18,2)) ELSE 0 END AS total_discount
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey
-WHERE o_orderdate >= DATE '1998-06-01' AND l_linenumber <> 7 AND NOT (l_linenumber = 6 AND l_tax = 0.08)""",
+WHERE l_linenumber <> 7 AND NOT (l_linenumber = 6 AND l_tax = 0.08)""",
     "legacy_order": f"""
 SELECT CAST(o_orderkey AS VARCHAR) AS order_id,
   CASE WHEN o_orderpriority = '1-URGENT' THEN ' ' || upper('cust' || o_custkey || '@example.com') || ' '

@@ -93,7 +93,8 @@ def _(t):
     return tr.staying_power(_mentions(t), TODAY)
 
 
-DICTIONARY = r"array_to_string(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')[1:2], ' ')"
+DICTIONARY = r"""SELECT array_to_string(l[i:i + k - 1], ' ') FROM (SELECT l, unnest(range(1, len(l) + 1)) AS i
+  FROM (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS l FROM benchmark)), (SELECT unnest([2, 3]) AS k) WHERE i + k - 1 <= len(l)"""
 
 
 @query(
@@ -105,14 +106,14 @@ g AS (SELECT recent, array_to_string(l[i:i + k - 1], ' ') AS ngram
   FROM (SELECT recent, l, unnest(range(1, len(l) + 1)) AS i FROM w), (SELECT unnest([2, 3]) AS k) WHERE i + k - 1 <= len(l)),
 c AS (SELECT ngram, count(*) FILTER (WHERE recent) AS f_recent, count(*) FILTER (WHERE NOT recent) AS f_prior FROM g GROUP BY 1)
 SELECT *, (f_recent + 1) / (f_prior + 1) AS growth_ratio FROM c WHERE f_recent >= 5
-  AND ngram NOT IN (SELECT {DICTIONARY} FROM benchmark)
+  AND ngram NOT IN ({DICTIONARY})
 ORDER BY growth_ratio DESC, ngram LIMIT 10""",
     rounded=["growth_ratio"],
 )
 def _(t):
-    known = t.benchmark.select(F.array_join(F.slice(tr.words("text"), 1, 2), " ").alias("phrase"))
-    texts = files.use_all_cores(roles.text_mention(t))
-    return tr.emerging_phrases(texts, known, TODAY, days=14)
+    # The dictionary is an input of its own: every phrase of the benchmark texts.
+    known = tr.phrase_rows(t.benchmark, "text").select(F.col("ngram").alias("phrase"))
+    return tr.emerging_phrases(roles.text_mention(t), known, TODAY, days=14)
 
 
 @query(
@@ -239,7 +240,7 @@ def _(t):
 def _code_accounts(t):
     states = roles.distributor_state(t).withColumnRenamed("distributor_id", "code")
     names = roles.distributor(t).selectExpr("distributor_code AS code", "distributor_name AS account_name")
-    sold = roles.sell_through_raw(t).select(F.col("dist_code").alias("code")).distinct()
+    sold = roles.sell_through_raw(t, with_account=False).select(F.col("dist_code").alias("code")).distinct()
     return sold.join(names, "code", "left").join(states, "code", "left")
 
 

@@ -15,16 +15,6 @@ def scan(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -
     return df.select(*columns) if columns else df
 
 
-def use_all_cores(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer partitions than the cluster has cores.
-
-    For CPU-heavy work on a small or badly split input; a large input already has
-    many more partitions than cores and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)

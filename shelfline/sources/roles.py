@@ -200,18 +200,20 @@ def _order_status() -> Column:
     )
 
 
-def _order_lines(t: Tables, since: date | None) -> DataFrame:
+def _order_lines(t: Tables, since: date | None, with_customer: bool = True) -> DataFrame:
     orders = _on_or_after(t.orders, "o_orderdate", since)
     lines = t.lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return lines.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return lines.join(t.customer, F.col("o_custkey") == F.col("c_custkey")) if with_customer else lines
 
 
-def b2b_order_line(t: Tables, since: date | None = None) -> DataFrame:
-    return _order_lines(t, since).select(
+def b2b_order_line(t: Tables, since: date | None = None, with_customer: bool = True) -> DataFrame:
+    """Order lines; ``with_customer`` adds the customer's name and type at the price of
+    a join. Every order has its customer, so both forms have the same lines."""
+    customer = [F.col("c_name").alias("customer_name"), lookup("c_mktsegment", ACCOUNT_TYPE).alias("account_type")]
+    return _order_lines(t, since, with_customer).select(
         F.col("o_orderkey").cast(S).alias("order_id"),
         _code("A", "o_custkey").alias("account_id"),
-        F.col("c_name").alias("customer_name"),
-        lookup("c_mktsegment", ACCOUNT_TYPE).alias("account_type"),
+        *(customer if with_customer else []),
         _order_status().alias("order_status"),
         lookup("o_orderpriority", PRICEBOOK).alias("pricebook_name"),
         _code("I", "l_partkey").alias("sku"),
@@ -270,12 +272,12 @@ def credit_memo(t: Tables) -> DataFrame:
 
 # -- sell-through ------------------------------------------------------------
 
-def _sold(t: Tables, since: date | None) -> DataFrame:
+def _sold(t: Tables, since: date | None, with_account: bool) -> DataFrame:
     lines = _on_or_after(t.lineitem, "l_shipdate", since)
-    return lines.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")) if with_account else lines
 
 
-def _sold_keys() -> list[Column]:
+def _sold_keys(with_account: bool) -> list[Column]:
     last_line = F.col("l_linenumber") == 7
     return [
         _code("D", "l_suppkey").alias("dist_code"),
@@ -283,7 +285,7 @@ def _sold_keys() -> list[Column]:
         .when(last_line & (F.col("l_discount") == 0), "XXXXXX")
         .otherwise(_code("I", "l_partkey"))
         .alias("item_code"),
-        _code("S", "o_custkey").alias("acct_code"),
+        *([_code("S", "o_custkey").alias("acct_code")] if with_account else []),
         F.when(F.col("l_returnflag") == "A", "C")
         .when(F.col("l_returnflag") == "N", "B")
         .when(F.col("l_linestatus") == "F", "X")
@@ -291,11 +293,14 @@ def _sold_keys() -> list[Column]:
     ]
 
 
-def sell_through_raw(t: Tables, since: date | None = None) -> DataFrame:
-    """Distributor sell-through as delivered: every field is text, some unusable."""
+def sell_through_raw(t: Tables, since: date | None = None, with_account: bool = True) -> DataFrame:
+    """Distributor sell-through as delivered: every field is text, some unusable.
+
+    The outlet (``acct_code``) stands on the order: without it no join is needed.
+    Every line has its order, so both forms have the same lines."""
     last_line = F.col("l_linenumber") == 7
-    return _sold(t, since).select(
-        *_sold_keys(),
+    return _sold(t, since, with_account).select(
+        *_sold_keys(with_account),
         F.when(last_line & (F.col("l_tax") == 0.08), "abc")
         .when(last_line & (F.col("l_tax") == 0.07), "-3")
         .otherwise(F.col("l_quantity").cast("bigint").cast(S))
@@ -306,12 +311,12 @@ def sell_through_raw(t: Tables, since: date | None = None) -> DataFrame:
     )
 
 
-def sell_through(t: Tables, since: date | None = None) -> DataFrame:
+def sell_through(t: Tables, since: date | None = None, with_account: bool = True) -> DataFrame:
     """The same facts loaded with types: what parsing the text yields, with the date
     as a column the scan can filter on."""
     last_line = F.col("l_linenumber") == 7
-    return _sold(t, since).select(
-        *_sold_keys(),
+    return _sold(t, since, with_account).select(
+        *_sold_keys(with_account),
         F.when(last_line & (F.col("l_tax") == 0.08), None)
         .when(last_line & (F.col("l_tax") == 0.07), -3)
         .otherwise(F.col("l_quantity").cast("bigint"))
@@ -361,7 +366,7 @@ def _cents(c: Column) -> Column:
     return c.cast("decimal(18,2)")
 
 
-def web_order(t: Tables, since: date = WEB_START) -> DataFrame:
+def web_order(t: Tables, since: date | None = None) -> DataFrame:
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     price = F.col("o_totalprice")
     discount = F.floor(price / 10)
@@ -372,7 +377,7 @@ def web_order(t: Tables, since: date = WEB_START) -> DataFrame:
         .alias("province_code"),
         F.when(F.col("o_custkey") % 10 == 0, "CA").otherwise("US").alias("country_code"),
     )
-    return _on_or_after(t.orders, "o_orderdate", max(since, WEB_START)).select(
+    return _on_or_after(t.orders, "o_orderdate", since).select(
         F.col("o_orderkey").cast(S).alias("id"),
         _placed_at().alias("created_at"),
         F.when(
@@ -392,13 +397,13 @@ def web_order(t: Tables, since: date = WEB_START) -> DataFrame:
     )
 
 
-def web_order_items(t: Tables, since: date = WEB_START) -> DataFrame:
+def web_order_items(t: Tables, since: date | None = None) -> DataFrame:
     """Order documents with a JSON item array.
 
     One document per order line (plus a protection item), so that building the
     JSON needs no per-order collection; an order id may repeat.
     """
-    orders = _on_or_after(t.orders, "o_orderdate", max(since, WEB_START))
+    orders = _on_or_after(t.orders, "o_orderdate", since)
     sold = t.lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     sold = sold.join(t.part, F.col("l_partkey") == F.col("p_partkey"), "left")
     discount = F.floor(F.col("l_extendedprice") * F.col("l_discount")).cast(S)
@@ -565,6 +570,8 @@ def metric_sheet(t: Tables) -> DataFrame:
 
     Weekly order counts by priority, status and customer parity play the metrics;
     two labels mean the same metric, one is blank, one unknown, one header no date.
+    The sheet is one quarter wide, as such sheets are: "Current Total" counts the
+    orders of its thirteen weeks and no others.
     """
     codes = F.array("o_orderpriority", "o_orderstatus", (F.col("o_custkey") % 2).cast(S))
     day = F.col("o_orderdate").cast("date")
