@@ -142,26 +142,28 @@ def chain_doors(sheet: DataFrame) -> DataFrame:
     return sheet.filter(F.col("chain_code").isNotNull() & (F.col("chain_code") != ""))
 
 
-def universe_totals(lines: DataFrame, items: DataFrame) -> DataFrame:
-    """Q68: volume and active doors of four windows that end at the latest sale.
+def universe_since(end: date) -> date:
+    """First day that the universe totals up to ``end`` look at."""
+    return min(date(end.year - 1, 1, 1), days_before(end, 180))
 
-    The prior-year window is the year to date shifted by twelve months.
+
+def universe_totals(lines: DataFrame, items: DataFrame, end: date) -> DataFrame:
+    """Q68: volume and active doors of four windows that end at ``end``, the latest sale.
+
+    The prior-year window is the year to date shifted by twelve months. All bounds are
+    literals, so they reach the scan.
     """
-    anchor = lines.agg(F.max("sale_date").alias("d")).select("d").scalar()
-    dated = lines.withColumn("_anchor", anchor)
-    day, end = F.col("sale_date"), F.col("_anchor")
-    year = F.trunc(end, "year")
-    prior_end, prior_year = F.add_months(end, -12), F.add_months(year, -12)
+    day = F.col("sale_date")
+    after = lambda n: day > F.lit(days_before(end, n))
+    until = F.add_months(F.lit(end), -12)
     windows = {
-        "l90d": day > F.date_sub(end, 90),
-        "prior_90d": (day > F.date_sub(end, 180)) & (day <= F.date_sub(end, 90)),
-        "ytd": day >= year,
-        "py_ytd": (day >= prior_year) & (day <= prior_end),
+        "l90d": after(90),
+        "prior_90d": after(180) & ~after(90),
+        "ytd": day >= F.lit(date(end.year, 1, 1)),
+        "py_ytd": (day >= F.lit(date(end.year - 1, 1, 1))) & (day <= until),
     }
-    recent = dated.filter(day >= F.least(prior_year, F.date_sub(end, 180)))
-    # The conditions become columns first: an aggregate cannot hold the sub-query.
-    flagged = recent.withColumns({f"in_{w}": condition for w, condition in windows.items()})
-    grain = depletion_by(flagged, items, ["acct_code"], {w: F.col(f"in_{w}") for w in windows})
+    recent = lines.filter(day >= F.lit(universe_since(end)))
+    grain = depletion_by(recent, items, ["acct_code"], windows)
     per_door = grain.groupBy("acct_code").agg(*[F.sum(w).alias(w) for w in windows])
     return per_door.agg(
         *[zero_if_null(F.sum(w)).cast("double").alias(f"{w}_volume") for w in windows],
@@ -310,9 +312,19 @@ def scorecard(
     if universe is not None and chain is None:
         names = ["l90d_volume", "prior_90d_volume", "l90d_active_doors", "prior_90d_active_doors"]
         base = base.withColumn("_u", universe.select(F.struct(*names)).scalar())
-        replaced = zip(["depl", "depl_p", "active", "active_p"], names)
-        usable = lambda n: F.when(F.col(f"_u.{n}") != 0, F.col(f"_u.{n}").cast("double"))
-        base = base.withColumns({c: F.coalesce(usable(n), F.col(c)) for c, n in replaced})
+        base = _replaced(base, [f"_u.{n}" for n in names])
+    return _kpi_rows(base)
+
+
+def _replaced(base: DataFrame, universe: Sequence[str]) -> DataFrame:
+    """Volume and active doors of both periods replaced by non-zero universe figures."""
+    usable = lambda n: F.when(F.col(n) != 0, F.col(n).cast("double"))
+    own = ["depl", "depl_p", "active", "active_p"]
+    return base.withColumns({c: F.coalesce(usable(n), F.col(c)) for c, n in zip(own, universe)})
+
+
+def _kpi_rows(base: DataFrame) -> DataFrame:
+    """One row per KPI from the one row of sums."""
     or_zero = lambda a, b: F.coalesce(ratio(a, b), F.lit(0.0))
     share = lambda a, b: or_zero(a, b) * 100
     # Reorder rate stays on the fact sheet's own active doors.
@@ -338,6 +350,75 @@ def scorecard(
     return kept.select(F.inline(F.array(*rows)))
 
 
+def scorecard_since(as_of: date, end: date | None = None) -> date:
+    """First day that a scorecard for ``as_of`` (universe totals up to ``end``) looks at."""
+    first = min(days_before(as_of, 180), trailing_months(as_of)[6])
+    return first if end is None else min(first, days_before(end, 180))
+
+
+def scorecard_of_lines(
+    lines: DataFrame, items: DataFrame, doors: DataFrame, as_of: date, end: date | None = None, chain: str | None = None
+) -> DataFrame:
+    """Q71 from the sell-through itself: the same KPIs as ``scorecard`` gives on the
+    fact sheet, the SKU table and the universe totals, from one pass over the lines.
+
+    Lines fold to outlet x item with every window side by side, then to outlets;
+    ``end`` is the latest sale, where the universe windows end (None: no universe).
+    A chain filters the outlets, and only outlets of chains count for SKUs.
+    """
+    day = F.col("sale_date")
+    months = trailing_months(as_of)
+    seen = day <= F.lit(as_of)
+    between = lambda far, near, last: (day > F.lit(days_before(last, far))) & (day <= F.lit(days_before(last, near)))
+    windows = {
+        "l30": between(30, 0, as_of),
+        "p30": between(60, 30, as_of),
+        "l90": between(90, 0, as_of),
+        "p90": between(180, 90, as_of),
+        "m_now": seen & (day >= F.lit(months[9])),
+        "m_before": seen & (day >= F.lit(months[6])) & (day < F.lit(months[9])),
+    }
+    if end is not None:
+        windows |= {"u90": between(90, 0, end), "u180": between(180, 90, end)}
+    recent = lines.filter(day >= F.lit(scorecard_since(as_of, end)))
+    grain = depletion_by(recent, items, ["acct_code"], windows)
+    sums = [w for w in windows if not w.startswith("m_")]
+    per_outlet = grain.groupBy("acct_code").agg(
+        *[F.sum(w).alias(w) for w in sums],
+        F.count_if(F.col("m_now") > 0).alias("skus_now"),
+        F.count_if(F.col("m_before") > 0).alias("skus_before"),
+    )
+    known = doors.select(F.col("vip_id").alias("acct_code"), "channel_type", "chain_name", "chain_code", F.lit(True).alias("known"))
+    if chain is not None:
+        known = known.filter((F.col("chain_name") == chain) & F.col("chain_code").isNotNull())
+    located = per_outlet.join(known, "acct_code", "left" if chain is None else "inner")
+    is_door, in_chain = F.col("known").isNotNull(), F.col("chain_code").isNotNull()
+    has = lambda w: is_door & (F.col(w) > 0)
+    off = F.col("channel_type") == "Off-Premise"
+    again_before = zero_if_null("p90") - zero_if_null("p30") > 0
+    mean = lambda c: F.coalesce(F.avg(F.when(in_chain & (F.col(c) > 0), F.col(c))), F.lit(0.0))
+    total = lambda w: zero_if_null(F.sum(F.when(is_door, F.col(w)))).cast("double")
+    universe = {"u_now": "u90", "u_before": "u180"} if end is not None else {}
+    base = located.agg(
+        total("l90").alias("depl"),
+        total("p90").alias("depl_p"),
+        F.count_if(has("l90")).cast("double").alias("active"),
+        F.count_if(has("p90")).cast("double").alias("active_p"),
+        F.count_if(has("l90")).alias("ids"),
+        F.count_if(has("p90")).alias("ids_p"),
+        F.count_if(has("l90") & off).alias("off"),
+        F.count_if(has("p90") & off).alias("off_p"),
+        F.count_if(has("l30") & has("p30")).alias("again"),
+        F.count_if(has("p30") & again_before).alias("again_p"),
+        F.struct(mean("skus_now").alias("skus"), mean("skus_before").alias("skus_p")).alias("_s"),
+        *[zero_if_null(F.sum(w)).cast("double").alias(n) for n, w in universe.items()],
+        *[F.count_if(F.col(w) > 0).alias(f"{n}_doors") for n, w in universe.items()],
+    )
+    if universe:
+        base = _replaced(base, ["u_now", "u_before", "u_now_doors", "u_before_doors"])
+    return _kpi_rows(base)
+
+
 def variance(kpis: DataFrame) -> DataFrame:
     """Q72: change, percent change, sign class and bar proportions of each KPI."""
     now, before = F.col("current"), F.col("prior")

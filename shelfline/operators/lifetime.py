@@ -22,7 +22,6 @@ from shelfline.functions.dates import (
     quarter_label,
     shift_months,
 )
-from shelfline.functions.joins import members_of
 from shelfline.functions.windows import running_total
 
 # Fixed values.
@@ -108,11 +107,13 @@ def _nearby_amounts(web: DataFrame) -> DataFrame:
     )
 
 
-def _flag_duplicates(legacy: DataFrame, web: DataFrame) -> DataFrame:
-    keyed = lambda df: df.withColumns(
-        {"day": F.col("ordered_at").cast("date"), "bucket": F.floor("total").cast("bigint")}
-    )
-    joined = keyed(legacy).join(_nearby_amounts(keyed(web)), ["email", "day", "bucket"], "left")
+def _flag_duplicates(legacy: DataFrame, web: DataFrame, window: Column) -> DataFrame:
+    """``legacy`` with ``is_duplicate``: one pass over it, in which orders outside the
+    window have no day to match on."""
+    placed = F.col("ordered_at").cast("date")
+    keyed = lambda df, day: df.withColumns({"day": day, "bucket": F.floor("total").cast("bigint")})
+    nearby = _nearby_amounts(keyed(web.filter(window), placed))
+    joined = keyed(legacy, F.when(window, placed)).join(nearby, ["email", "day", "bucket"], "left")
     near = (
         F.col("same")
         | (F.col("above") - F.col("total") < 1)
@@ -131,20 +132,15 @@ def overlap_duplicates(legacy: DataFrame, web: DataFrame, start: date, end: date
     """Q87: legacy orders of the overlap window that the web platform holds too: same
     address, same day, totals less than 1.00 apart."""
     window = _in_overlap(start, end)
-    flagged = _flag_duplicates(legacy.filter(window), web.filter(window))
+    flagged = _flag_duplicates(legacy.filter(window), web, window)
     return flagged.filter("is_duplicate").select("order_id").distinct()
 
 
 def deduplicated_orders(legacy: DataFrame, web: DataFrame, start: date, end: date) -> DataFrame:
-    """Q87: all orders without those duplicates.
-
-    Only the overlap window is shuffled; legacy orders outside it pass straight on.
-    """
-    window = _in_overlap(start, end)
-    checked = _flag_duplicates(legacy.filter(window), web.filter(window))
-    fresh = checked.filter("NOT is_duplicate").drop("is_duplicate")
-    outside = legacy.filter(~F.coalesce(window, F.lit(False)))
-    return outside.unionByName(fresh).unionByName(web)
+    """Q87: all orders without those duplicates: each platform is read once, and the
+    web platform once more for the amounts of the overlap window."""
+    checked = _flag_duplicates(legacy, web, _in_overlap(start, end))
+    return checked.filter("NOT is_duplicate").drop("is_duplicate").unionByName(web)
 
 
 # -- customers ---------------------------------------------------------------------
@@ -359,27 +355,32 @@ def mature_lifetime_value(cohorts: DataFrame, horizon: int, as_of: date) -> Data
     )
 
 
-def cohort_grid(cohorts: DataFrame, value: str) -> DataFrame:
-    """Every cohort with every observed age; cells without a row are 0, and ``size``
-    is the cohort's customer count at age 0 (NULL if it has none).
+def cohort_grid(cohorts: DataFrame, value: str, newest: int | None = None) -> DataFrame:
+    """Every cohort (or the ``newest`` ones) with every observed age; cells without a
+    row are 0, and ``size`` is the cohort's customer count at age 0 (NULL if it has none).
 
-    The ages come in as one small array (at most the maximum age), so the spine is an
-    explode rather than a cross join.
+    A cohort folds to one row with its cells by age (at most the maximum age). The ages
+    of all cohorts and the newest come from windows over these few rows, so the cohort
+    table is computed once.
     """
-    ages = cohorts.agg(F.sort_array(F.collect_set("months_since_first")).alias("a"))
     age = F.col("months_since_first")
-    sizes = cohorts.groupBy("cohort").agg(
-        F.sum(F.when(age == 0, F.col("customers"))).alias("size")
+    cells = cohorts.groupBy("cohort", age).agg(
+        F.sum(value).alias("value"), F.sum(F.when(age == 0, F.col("customers"))).alias("size")
+    )
+    folded = cells.groupBy("cohort").agg(
+        F.max("size").alias("size"), F.map_from_entries(F.collect_list(F.struct("months_since_first", "value"))).alias("cells")
     )
-    spine = sizes.select("cohort", "size", F.explode(ages.scalar()).alias("months_since_first"))
-    cells = cohorts.groupBy("cohort", "months_since_first").agg(F.sum(value).alias("value"))
-    filled = spine.join(cells, ["cohort", "months_since_first"], "left")
-    return filled.withColumn("value", F.coalesce("value", F.lit(0)))
+    everyone = Window.partitionBy()
+    ages = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_keys("cells")).over(everyone))))
+    ranked = folded.withColumns({"ages": ages, "rank": F.row_number().over(everyone.orderBy(F.col("cohort").desc()))})
+    if newest is not None:
+        ranked = ranked.filter(F.col("rank") <= newest)
+    spread = ranked.select("cohort", "size", "cells", F.explode("ages").alias("months_since_first"))
+    filled = F.coalesce(F.try_element_at("cells", age), F.lit(0))
+    return spread.select("cohort", "size", "months_since_first", filled.alias("value"))
 
 
-def cumulative_value(cohorts: DataFrame, as_of: date) -> DataFrame:
-    """Q92: cumulative revenue per customer by age; cells after the last complete
-    month are NULL because the cohort has not lived through them."""
+def _cumulative(cohorts: DataFrame, as_of: date) -> DataFrame:
     grid = cohort_grid(cohorts, "revenue")
     total = running_total("value", "months_since_first", ["cohort"])
     began = F.to_date(F.concat("cohort", F.lit("-01")))
@@ -387,19 +388,23 @@ def cumulative_value(cohorts: DataFrame, as_of: date) -> DataFrame:
     baked = month <= F.lit(shift_months(month_floor(as_of), -1))
     per_customer = total / F.col("size")
     return grid.select(
-        "cohort", "months_since_first", F.when(baked, per_customer).alias("cumulative_per_customer")
+        "cohort", "size", "months_since_first", F.when(baked, per_customer).alias("cumulative_per_customer")
     )
 
 
+def cumulative_value(cohorts: DataFrame, as_of: date) -> DataFrame:
+    """Q92: cumulative revenue per customer by age; cells after the last complete
+    month are NULL because the cohort has not lived through them."""
+    return _cumulative(cohorts, as_of).drop("size")
+
+
 def cumulative_matrix(
     cohorts: DataFrame, as_of: date, max_age: int = MAX_COHORT_AGE, min_size: int | None = MIN_COHORT_SIZE
 ) -> DataFrame:
     """Q92: the same with one column per age, small cohorts left out."""
-    long = cumulative_value(cohorts, as_of)
+    long = _cumulative(cohorts, as_of)
     if min_size is not None:
-        age0 = F.col("months_since_first") == 0
-        large = cohorts.filter(age0).groupBy("cohort").agg(F.sum("customers").alias("n"))
-        long = long.join(large.filter(F.col("n") > min_size), "cohort", "left_semi")
+        long = long.filter(F.col("size") > min_size)
     ages = list(range(max_age + 1))
     wide = long.groupBy("cohort").pivot("months_since_first", ages).agg(
         F.first("cumulative_per_customer")
@@ -417,7 +422,6 @@ def retention(cohorts: DataFrame, min_size: int = MIN_COHORT_SIZE) -> DataFrame:
 
 def recent_cohort_curves(cohorts: DataFrame, n: int = 12) -> DataFrame:
     """Q94: cumulative sum of the per-month averages of the ``n`` newest cohorts."""
-    newest = cohorts.select("cohort").distinct().orderBy(F.col("cohort").desc()).limit(n)
-    grid = members_of(cohort_grid(cohorts, "revenue_per_customer"), newest, "cohort")
+    grid = cohort_grid(cohorts, "revenue_per_customer", newest=n)
     total = running_total("value", "months_since_first", ["cohort"])
     return grid.select("cohort", "months_since_first", total.alias("cumulative_revenue"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from shelfline.functions.dates import month_column, trailing_months
 from shelfline.operators import accounts as acc
-from shelfline.plans.inputs import AS_OF, items, sold_lines
+from shelfline.plans.inputs import AS_OF, items, latest_sale, sold_lines
 from shelfline.plans.registry import query
 from shelfline.sources import roles
 
@@ -95,7 +95,8 @@ def _skus(t):
 
 
 def _universe(t):
-    return acc.universe_totals(sold_lines(t), items(t))
+    end = latest_sale(t) or AS_OF
+    return acc.universe_totals(sold_lines(t, acc.universe_since(end)), items(t), end)
 
 
 @query(
@@ -156,8 +157,10 @@ UNION ALL SELECT 5, 'Off-Premise Buying %', 'Off-Prem / Total (L90D)', off / act
 UNION ALL SELECT 6, 'Reorder Rate', 'Doors ordering 2x+ (L90D)', again / act * 100, again_p / act_p * 100 FROM u"""
 
 
-def scorecard_kpis(t):
-    return acc.scorecard(_sheet(t), _skus(t), MONTHS, _universe(t))
+def scorecard_kpis(t, chain=None):
+    end = None if chain else latest_sale(t)
+    lines = sold_lines(t, acc.scorecard_since(AS_OF, end))
+    return acc.scorecard_of_lines(lines, items(t), roles.door(t), AS_OF, end, chain)
 
 
 @query("Q71_scorecard", _kpi_sql(None), rounded=["current", "prior"])
@@ -167,7 +170,7 @@ def _(t):
 
 @query("Q71_scorecard_chain", _kpi_sql("BUILDING 1"), rounded=["current", "prior"])
 def _(t):
-    return acc.scorecard(_chain_doors(t), _skus(t), MONTHS, None, "BUILDING 1")
+    return scorecard_kpis(t, "BUILDING 1")
 
 
 @query(
