@@ -23,7 +23,8 @@ def col(c: str | Column) -> Column:
 # -- exact sums and guarded ratios ------------------------------------------
 
 def money_sum(c: str | Column) -> Column:
-    """Exact sum of cent amounts.
+    """Exact sum of a column declared in whole cents; other amounts are summed as
+    decimals of their own scale instead.
 
     Adding doubles depends on partition order; adding whole cents as BIGINT does
     not, and stays a primitive in generated code (a decimal sum would not).
@@ -32,14 +33,13 @@ def money_sum(c: str | Column) -> Column:
     return F.sum(cents) / F.lit(100.0)
 
 
-#: A few dozen units in the last place: enough to carry a quotient that binary
-#: representation left just below a decimal tie over the tie, and nothing else.
-TIE_NUDGE = 1 + 1e-14
+#: Decimal places kept beyond the rounded one.
+SPARE_DIGITS = 3
 
 
 def half_up(c: str | Column, digits: int) -> Column:
-    """Round half away from zero the way the exact decimal value would."""
-    return F.round(col(c) * F.lit(TIE_NUDGE), digits)
+    """Round half away from zero on decimals, where a tie is a tie."""
+    return F.round(col(c).cast(f"decimal(38,{digits + SPARE_DIGITS})"), digits).cast("double")
 
 
 def ratio(num: str | Column, den: str | Column, digits: int | None = None) -> Column:

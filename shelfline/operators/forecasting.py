@@ -81,6 +81,9 @@ def stockout_risk(
     series_of = rows.join(weeks, "_code", "left").groupBy("_row", "week_start").agg(
         F.sum("qty_depleted").alias("qty_depleted")
     )
+    # A code without a series adds no week; a row without any keeps one empty week.
+    any_week = F.max("week_start").over(Window.partitionBy("_row"))
+    series_of = series_of.withColumn("_any", any_week).filter("week_start IS NOT NULL OR _any IS NULL").drop("_any")
     joined = series_stats(series_of, "week_start", "qty_depleted", ["_row"]).select("_row.*", "*").drop("_row")
 
     seen = F.col("n") >= 4
@@ -134,6 +137,12 @@ def stockout_risk(
     )
 
 
+def stockout_timeline(risk: DataFrame, n: int = 15) -> DataFrame:
+    """Q14: the rows with a predicted date, soonest first."""
+    dated = risk.filter("predicted_stockout_date IS NOT NULL")
+    return dated.orderBy("weeks_until_stockout", "distributor_code").limit(n)
+
+
 def inventory_projection(risk: DataFrame, as_of: date, weeks: int = 12) -> DataFrame:
     """Q15: inventory per distributor and future week at the adjusted rate."""
     rate = F.coalesce("adjusted_weekly_rate", F.lit(0.0))

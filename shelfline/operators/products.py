@@ -40,11 +40,24 @@ FLAVOR_RULES = [
     (["variety"], "Variety Pack"),
     (["original"], "Original"),
 ]
+# The same rules with "12oz" before "2oz" and "cranberry" before "berry".
 SPECIFIC_FIRST_FAMILY_RULES = [
-    FAMILY_RULES[i] for i in (2, 3, 0, 1, 4)
+    (["12oz", "12 oz"], "12oz Seltzers"),
+    (["16oz", "16 oz"], "16oz Seltzers"),
+    (["shot", "2oz", "2 oz"], "Shots"),
+    (["750ml", "750 ml", "bottle"], "Bottles"),
+    (["seltzer"], "Seltzers"),
 ]
 SPECIFIC_FIRST_FLAVOR_RULES = [
-    FLAVOR_RULES[i] for i in (7, 8, 0, 1, 2, 3, 4, 5, 6, 9, 10)
+    (["cranberry", "crnbry"], "Cranberry"),
+    (["berry"], "Berry"),
+    (["citrus"], "Citrus"),
+    (["tropical"], "Tropical"),
+    (["spicy lime", "spicylime"], "Spicy Lime"),
+    (["lemonade"], "Lemonade"),
+    (["cherry"], "Cherry"),
+    (["variety"], "Variety Pack"),
+    (["original"], "Original"),
 ]
 LEVELS = ["family", "potency", "flavor", "product_name"]
 

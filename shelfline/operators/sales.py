@@ -465,6 +465,11 @@ def revenue_by_type(accounts: DataFrame) -> DataFrame:
     return typed.groupBy("account_type").agg(money_sum("revenue").alias("revenue"))
 
 
+def top_products(products: DataFrame, n: int = 8) -> DataFrame:
+    """Q44: largest products by revenue."""
+    return products.orderBy(F.col("revenue").desc(), "product_name", "sku").limit(n)
+
+
 def top_states(states: DataFrame, n: int = 15) -> DataFrame:
     """Q57: largest states by revenue."""
     return states.orderBy(F.col("revenue").desc(), "state").limit(n)

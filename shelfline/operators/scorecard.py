@@ -31,19 +31,7 @@ class Metric:
     series: bool = False
 
 
-# Default registry.
-METRICS = [
-    Metric("retail_revenue", "Retail Revenue", "ALL", 9_000_000, "currency", "auto", "max", True),
-    Metric("dtc_revenue", "DTC Revenue", "ALL", 3_000_000, "currency", "auto", "sum", True),
-    Metric("active_doors", "Active Door Count", "ALL", 9_000, "number", "auto", "latest"),
-    Metric("rebate_redemption", "Redemption on H1 Rebate", "TRADE", 9_128, "currency", "sheet", "sum"),
-    Metric("rebate_submissions", "Submission of Redemptions", "TRADE", 2_403, "number", "sheet", "sum"),
-    Metric("linkedin_followers", "LinkedIn Followers", "SOCIAL", 10_000, "number", "auto", "latest"),
-    Metric("instagram_followers", "Instagram Followers", "SOCIAL", 77_000, "number", "auto", "latest"),
-    Metric("influencer_posts", "Influencer Posts", "SOCIAL", 250, "number", "sheet", "latest"),
-    Metric("tentpole_events", "Tentpole Events", "EVENTS", 5, "number", "sheet", "sum"),
-    Metric("partner_events", "Partner Events", "EVENTS", 5, "number", "sheet", "sum"),
-]
+# Sheet layout, bands, channel codes and the default audience patterns.
 SHEET_FIXED = ["METRIC", "OWNER", "TARGET", "Current Total", "% TO TARGET"]
 GREEN_FROM, YELLOW_FROM = 80, 50
 WEB_CHANNEL = "shopify"
@@ -80,10 +68,11 @@ def cumulative_weeks(weeks: DataFrame) -> DataFrame:
     return weeks.select("week_start", total.alias("cumulative_revenue"))
 
 
-def follower_counts(pages: DataFrame) -> DataFrame:
-    """Q66: audience counts in page texts, exact and abbreviated; NULL without a match."""
-    exact = F.regexp_extract("html", EXACT_COUNT, 1)
-    short = F.regexp_extract("html", SHORT_COUNT, 1)
+def follower_counts(pages: DataFrame, exact_pattern: str = EXACT_COUNT, short_pattern: str = SHORT_COUNT) -> DataFrame:
+    """Q66: audience counts in page texts, exact and abbreviated; NULL without a match.
+    The first group of each pattern is the count."""
+    exact = F.regexp_extract("html", exact_pattern, 1)
+    short = F.regexp_extract("html", short_pattern, 1)
     return pages.select(
         "page_id",
         "url",
@@ -94,7 +83,7 @@ def follower_counts(pages: DataFrame) -> DataFrame:
 
 # -- the sheet -------------------------------------------------------------------------
 
-def metric_key(label: str | Column, metrics: Sequence[Metric] = METRICS) -> Column:
+def metric_key(label: str | Column, metrics: Sequence[Metric]) -> Column:
     """First metric whose name contains the label or is contained in it.
 
     A blank label matches nothing. The registry is a short list, so the match is one
@@ -118,7 +107,7 @@ def header_date(header: str, year: int) -> date | None:
         return None
 
 
-def matched_rows(sheet: DataFrame, metrics: Sequence[Metric] = METRICS, position: str | None = None) -> DataFrame:
+def matched_rows(sheet: DataFrame, metrics: Sequence[Metric], position: str | None = None) -> DataFrame:
     """Sheet rows with their metric key; of several rows for one key the last counts."""
     keyed = sheet.withColumns(
         {
@@ -130,7 +119,7 @@ def matched_rows(sheet: DataFrame, metrics: Sequence[Metric] = METRICS, position
 
 
 def sheet_values(
-    sheet: DataFrame, year: int, metrics: Sequence[Metric] = METRICS, position: str | None = None
+    sheet: DataFrame, year: int, metrics: Sequence[Metric], position: str | None = None
 ) -> DataFrame:
     """Q63: wide sheet to (key, week, value); blank, ``0`` and non-numeric cells drop."""
     dates = {c: header_date(c, year) for c in sheet.columns[len(SHEET_FIXED):]}
@@ -146,7 +135,7 @@ def sheet_values(
 
 
 def sheet_totals(
-    sheet: DataFrame, metrics: Sequence[Metric] = METRICS, position: str | None = None
+    sheet: DataFrame, metrics: Sequence[Metric], position: str | None = None
 ) -> DataFrame:
     """Q63: the sheet's own total per metric."""
     rows = matched_rows(sheet, metrics, position)
@@ -162,7 +151,7 @@ def current_week(schedule: Sequence[date], as_of: date) -> date:
     return past[-1] if past else min(schedule)
 
 
-def registry_frame(spark: SparkSession, metrics: Sequence[Metric] = METRICS) -> DataFrame:
+def registry_frame(spark: SparkSession, metrics: Sequence[Metric]) -> DataFrame:
     rows = [(m.key, m.name, m.owner, float(m.target), m.format, m.source, m.roll, m.series) for m in metrics]
     return spark.createDataFrame(
         rows,
@@ -177,7 +166,7 @@ def metric_grid(
     sheet: DataFrame,
     schedule: Sequence[date],
     as_of: date,
-    metrics: Sequence[Metric] = METRICS,
+    metrics: Sequence[Metric],
 ) -> DataFrame:
     """Q65: one value per metric and week, live before sheet.
 

@@ -39,6 +39,16 @@ def _sorted(rows, columns):
     return sorted(tuple(_cell(r[i]) for i in order) for r in rows), sorted(columns)
 
 
+def compare_all(queries, spark, folder: str, at_once: int = 8) -> dict[str, dict]:
+    """``compare`` for many queries; most of their time is planning, so several run at once."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    con = connect(folder)
+    with ThreadPoolExecutor(at_once) as pool:
+        results = pool.map(lambda q: compare(q, spark, con, folder), queries)
+        return {r["name"]: r for r in results}
+
+
 def compare(query, spark, con, folder: str) -> dict:
     """Rows, types and values of both sides; ``problem`` is None when equal."""
     started = time.time()
@@ -49,7 +59,8 @@ def compare(query, spark, con, folder: str) -> dict:
     result = {"name": query.name, "rows": len(rows), "seconds": round(seconds, 2), "problem": None}
     if query.sql is None:
         return result
-    cursor = con.execute(query.sql)
+    cursor = con.cursor()
+    cursor.execute(query.sql)
     names = [d[0] for d in cursor.description]
     duck_types = {d[0]: str(d[1]) for d in cursor.description}
     expected = cursor.fetchall()

@@ -225,6 +225,12 @@ def _(t):
     return inputs.products(t)
 
 
+@query("Q08_without_rollups", PRODUCTS.replace("WHERE", "WHERE NOT is_parent_rollup AND"))
+def _(t):
+    lines = inputs.sold_lines(t, inputs.WINDOW_START)
+    return inv.product_depletion(lines, inputs.items(t), roles.distributor(t), AS_OF, inputs.DAYS, exclude_rollups=True)
+
+
 @query("Q09_state_depletion", STATES)
 def _(t):
     return inputs.states(t)
@@ -294,6 +300,17 @@ def _(t):
     return _risk(t)
 
 
+@query(
+    "Q14_stockout_timeline",
+    f"""WITH {RISK_CTES} SELECT * FROM risk WHERE predicted_stockout_date IS NOT NULL
+ORDER BY weeks_until_stockout, distributor_code LIMIT 15""",
+    rounded=RISK_ROUNDED,
+    digits=4,
+)
+def _(t):
+    return fc.stockout_timeline(_risk(t))
+
+
 PROJECTION = """SELECT distributor_code, distributor_name, CAST(DATE '2001-08-01' + 7 * i AS DATE) AS forecast_week,
   i AS week_number, adjusted_weekly_rate AS projected_depletion,
   greatest(0, qty_ordered_period - i * adjusted_weekly_rate) AS projected_inventory,

@@ -38,7 +38,7 @@ FROM all_orders GROUP BY email)"""
 def _cohorts_sql(orders: str) -> str:
     return f"""SELECT strftime(cohort_month, '%Y-%m') AS cohort, msf AS months_since_first,
   count(DISTINCT email) AS customers, count(*) AS orders, CAST(sum(total) AS DOUBLE) AS revenue,
-  round(CAST(sum(total) AS DOUBLE) / count(DISTINCT email) * (1 + 1e-14), 2) AS revenue_per_customer
+  CAST(round(CAST(CAST(sum(total) AS DOUBLE) / count(DISTINCT email) AS DECIMAL(38,5)), 2) AS DOUBLE) AS revenue_per_customer
 FROM (SELECT o.*, cohort_month,
     CAST(datediff('month', cohort_month, CAST(ordered_at AS DATE)) AS INTEGER) AS msf
   FROM {orders} o JOIN (SELECT email, CAST(date_trunc('month', min(ordered_at)) AS DATE) AS cohort_month

@@ -32,8 +32,12 @@ def _web(t):
     return sc.weekly_web_revenue(roles.d2c_order(t, START), START, END)
 
 
+# Counts that real pages hold: the number of their tracker, and a version in the text.
+TRACKER, VERSION = r"track\(([\d,]+)\)", r"(?i)version ([\d,.]*\d[KMB]?)"
+
+
 def _counts(t):
-    return sc.follower_counts(roles.profile_page(t))
+    return sc.follower_counts(t.pages, TRACKER, VERSION)
 
 
 @query("Q61_weekly_retail_revenue", RETAIL)
@@ -46,10 +50,10 @@ def _(t):
     return _web(t)
 
 
-KEY = """CASE WHEN label = '' THEN NULL WHEN label = 'Redemption on H1 Rebate Q2' THEN 'rebate_redemption'
-  WHEN label = 'Submission of' THEN 'rebate_submissions' WHEN label = 'LinkedIn Followers' THEN 'linkedin_followers'
-  WHEN label = 'Active Door Count' THEN 'active_doors' WHEN label = 'Influencer Posts' THEN 'influencer_posts'
-  WHEN label = 'Retail Revenue' THEN 'retail_revenue' WHEN lower(label) LIKE '%tentpole events%' THEN 'tentpole_events' END"""
+KEY = """CASE WHEN label = '' THEN NULL WHEN label = 'Coupon Returns Spring' THEN 'coupon_returns'
+  WHEN label = 'Samples' THEN 'samples_sent' WHEN label = 'Newsletter Readers' THEN 'newsletter_readers'
+  WHEN label = 'Open Outlets' THEN 'open_outlets' WHEN label = 'Blog Articles' THEN 'blog_articles'
+  WHEN label = 'Store Revenue' THEN 'store_revenue' WHEN lower(label) LIKE '%trade fairs%' THEN 'trade_fairs' END"""
 KEYED = f"""(SELECT * FROM (SELECT *, max(position) OVER (PARTITION BY key) AS last_position
   FROM (SELECT *, {KEY} AS key FROM sheet_cell) WHERE key IS NOT NULL) WHERE position = last_position)"""
 VALUES = f"""SELECT key, week, TRY_CAST(trim(replace(replace(cell, '$', ''), ',', '')) AS DOUBLE) AS value
@@ -59,12 +63,12 @@ TOTALS = f"""SELECT DISTINCT key, CAST(total * 100 AS DOUBLE) AS sheet_total FRO
 
 @query("Q63_sheet_values", VALUES)
 def _(t):
-    return sc.sheet_values(roles.metric_sheet(t), YEAR, position="position")
+    return sc.sheet_values(roles.metric_sheet(t), YEAR, roles.METRICS, position="position")
 
 
 @query("Q63_sheet_totals", TOTALS)
 def _(t):
-    return sc.sheet_totals(roles.metric_sheet(t), position="position")
+    return sc.sheet_totals(roles.metric_sheet(t), roles.METRICS, position="position")
 
 
 @query("Q64_cumulative_revenue", CUMULATIVE)
@@ -72,11 +76,11 @@ def _(t):
     return sc.cumulative_weeks(_retail(t))
 
 
-EXACT = r"""TRY_CAST(replace(regexp_extract(html, '(?i)content="[^"]*?([\d,]+)\s+followers?\s+on\s+LinkedIn', 1), ',', '') AS BIGINT)"""
-SHORT_TEXT = r"""upper(replace(regexp_extract(html, '(?i)([\d,.]+[KMB]?)\s+Followers', 1), ',', ''))"""
+EXACT = r"""TRY_CAST(replace(regexp_extract(html, 'track\(([\d,]+)\)', 1), ',', '') AS BIGINT)"""
+SHORT_TEXT = r"""upper(replace(regexp_extract(html, '(?i)version ([\d,.]*\d[KMB]?)', 1), ',', ''))"""
 COUNTS = rf"""SELECT page_id, url, exact_count, CAST(floor(TRY_CAST(regexp_extract(raw, '^([\d.]+)', 1) AS DECIMAL(20,6))
   * CASE right(raw, 1) WHEN 'K' THEN 1000 WHEN 'M' THEN 1000000 WHEN 'B' THEN 1000000000 ELSE 1 END) AS BIGINT) AS abbreviated_count
-FROM (SELECT page_id, url, {EXACT} AS exact_count, {SHORT_TEXT} AS raw FROM profile_page)"""
+FROM (SELECT page_id, url, {EXACT} AS exact_count, {SHORT_TEXT} AS raw FROM pages)"""
 
 
 @query("Q66_follower_counts", COUNTS)
@@ -85,27 +89,27 @@ def _(t):
 
 
 GRID = f"""SELECT coalesce(l.key, s.key) AS key, coalesce(l.week, s.week) AS week, coalesce(live, value) AS value
-FROM (SELECT 'retail_revenue' AS key, week_start AS week, cumulative_revenue AS live FROM ({CUMULATIVE})
-  UNION ALL SELECT 'dtc_revenue', week_start, revenue FROM ({WEB})
-  UNION ALL SELECT 'active_doors', DATE '2001-06-18', CAST(n AS DOUBLE) FROM (
+FROM (SELECT 'store_revenue' AS key, week_start AS week, cumulative_revenue AS live FROM ({CUMULATIVE})
+  UNION ALL SELECT 'web_revenue', week_start, revenue FROM ({WEB})
+  UNION ALL SELECT 'open_outlets', DATE '2001-06-18', CAST(n AS DOUBLE) FROM (
     SELECT count(DISTINCT vip_id) AS n FROM sheet WHERE days_since_last_order <= 90)
-  UNION ALL SELECT 'instagram_followers', DATE '2001-06-18', CAST(n AS DOUBLE) FROM (
-    SELECT max(abbreviated_count) AS n FROM ({COUNTS}))) l
+  UNION ALL SELECT 'page_trackers', DATE '2001-06-18', CAST(n AS DOUBLE) FROM (
+    SELECT max(exact_count) AS n FROM ({COUNTS}))) l
 FULL JOIN ({VALUES}) s ON l.key = s.key AND l.week = s.week
-WHERE coalesce(l.key, s.key) NOT IN ('retail_revenue', 'dtc_revenue') OR coalesce(l.week, s.week) >= DATE '2001-04-02'"""
+WHERE coalesce(l.key, s.key) NOT IN ('store_revenue', 'web_revenue') OR coalesce(l.week, s.week) >= DATE '2001-04-02'"""
 
 
 def _grid(t):
     live = (
         sc.cumulative_weeks(_retail(t))
-        .selectExpr("'retail_revenue' AS key", "week_start AS week", "cumulative_revenue AS value")
-        .unionByName(_web(t).selectExpr("'dtc_revenue' AS key", "week_start AS week", "revenue AS value"))
+        .selectExpr("'store_revenue' AS key", "week_start AS week", "cumulative_revenue AS value")
+        .unionByName(_web(t).selectExpr("'web_revenue' AS key", "week_start AS week", "revenue AS value"))
     )
-    doors = acc.active_doors(_sheet(t)).selectExpr("'active_doors' AS key", "active_doors AS value")
-    social = _counts(t).agg(F.max("abbreviated_count").alias("value"))
-    snapshots = doors.unionByName(social.selectExpr("'instagram_followers' AS key", "value"))
-    written = sc.sheet_values(roles.metric_sheet(t), YEAR, position="position")
-    return sc.metric_grid(live, snapshots, written, roles.SHEET_WEEKS, TODAY)
+    doors = acc.active_doors(_sheet(t)).selectExpr("'open_outlets' AS key", "active_doors AS value")
+    social = _counts(t).agg(F.max("exact_count").alias("value"))
+    snapshots = doors.unionByName(social.selectExpr("'page_trackers' AS key", "value"))
+    written = sc.sheet_values(roles.metric_sheet(t), YEAR, roles.METRICS, position="position")
+    return sc.metric_grid(live, snapshots, written, roles.SHEET_WEEKS, TODAY, roles.METRICS)
 
 
 @query("Q65_metric_grid", f"WITH {SHEET_CTES} {GRID}")
@@ -116,7 +120,7 @@ def _(t):
 REGISTRY_SQL = " UNION ALL ".join(
     f"SELECT '{m.key}' AS key, '{m.name}' AS name, '{m.owner}' AS owner, '{m.source}' AS source, "
     f"CAST({m.target} AS DOUBLE) AS target, '{m.roll}' AS roll"
-    for m in sc.METRICS
+    for m in roles.METRICS
 )
 
 
@@ -134,6 +138,6 @@ FROM (SELECT *, CASE WHEN value IS NOT NULL AND target > 0 THEN value / target *
     digits=2,
 )
 def _(t):
-    registry = sc.registry_frame(t.spark)
-    totals = sc.sheet_totals(roles.metric_sheet(t), position="position")
+    registry = sc.registry_frame(t.spark, roles.METRICS)
+    totals = sc.sheet_totals(roles.metric_sheet(t), roles.METRICS, position="position")
     return sc.metric_scorecard(registry, _grid(t), totals, TODAY)

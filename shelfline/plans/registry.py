@@ -50,7 +50,8 @@ def query(name: str, sql: str | None = None, rounded: Sequence[str] = (), digits
 
 def _check_sql(sql: str, rounded: Sequence[str], digits: int) -> str:
     if rounded:
-        replaced = ", ".join(f'round("{c}" * (1 + 1e-14), {digits}) AS "{c}"' for c in rounded)
+        exact = 'CAST(round(TRY_CAST("{0}" AS DECIMAL(38,{1})), {2}) AS DOUBLE) AS "{0}"'
+        replaced = ", ".join(exact.format(c, digits + 3, digits) for c in rounded)
         sql = f"SELECT * REPLACE ({replaced}) FROM ({sql.strip()})"
     return with_roles(sql)
 

@@ -188,21 +188,14 @@ SELECT lang AS entity_name, source AS source_engine, 'https://example.org/d/' ||
   source || ' ' || doc_id AS title, text AS snippet,
   TIMESTAMP '2024-01-31' - to_days(CAST(doc_id % 28 AS INTEGER)) AS harvested_at
 FROM documents""",
-    "profile_page": """
-SELECT page_id, url, html || CASE page_id % 3
-  WHEN 0 THEN ' <meta content="' || format('{:,}', length(html)) || ' followers on LinkedIn">'
-  WHEN 1 THEN ' <meta content="' || CAST(CAST(floor(length(html) / 100) AS BIGINT) // 10 AS VARCHAR) || '.'
-    || CAST(CAST(floor(length(html) / 100) AS BIGINT) % 10 AS VARCHAR) || 'K Followers">'
-  ELSE '' END AS html
-FROM pages""",
     "sheet_cell": """
 SELECT code, label, position, week, total,
   CASE WHEN n % 5 = 0 THEN '0' WHEN n % 7 = 0 THEN '' ELSE '$' || format('{:,}', n * 100) END AS cell
 FROM (
   SELECT l.code, label, position, w.week, count(o.code) FILTER (WHERE o.week = w.week) AS n, count(o.code) AS total
   FROM (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW', 'F', 'O', 'P', '0', '1']) AS code,
-      unnest(['Redemption on H1 Rebate Q2', 'Submission of', '', 'LinkedIn Followers', 'Unknown Metric', 'Active Door Count',
-        'Influencer Posts', 'Retail Revenue', 'Tentpole Events', 'tentpole events (final)']) AS label,
+      unnest(['Coupon Returns Spring', 'Samples', '', 'Newsletter Readers', 'Unlisted Metric', 'Open Outlets',
+        'Blog Articles', 'Store Revenue', 'Trade Fairs', 'trade fairs (final)']) AS label,
       unnest(range(0, 10)) AS position) l
     CROSS JOIN (SELECT CAST(unnest(range(DATE '2001-04-02', DATE '2001-07-02', INTERVAL 7 DAY)) AS DATE) AS week) w
     JOIN (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS week,

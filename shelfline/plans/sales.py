@@ -134,6 +134,14 @@ def _(t):
     return sales.web_products(_documents(t), START, END, net=True)
 
 
+@query(
+    "Q44_top_web_products",
+    f"SELECT * FROM ({_web_products_sql('quantity * price - total_discount')}) ORDER BY revenue DESC, product_name, sku LIMIT 8",
+)
+def _(t):
+    return sales.top_products(sales.web_products(_documents(t), START, END, net=True))
+
+
 @query("Q45_b2b_by_state", B2B_STATE)
 def _(t):
     return sales.b2b_by_state(_lines(t), roles.account(t), START, END)
@@ -145,6 +153,11 @@ def _web_state_sql(column: str) -> str:
 FROM web_order WHERE local_day {RANGE} AND trim(province_code) <> '' AND country_code = 'US' GROUP BY 1"""
 
 
+@query("Q45_top_web_states", f"SELECT * FROM ({_web_state_sql(NET)}) ORDER BY revenue DESC, state LIMIT 15")
+def _(t):
+    return sales.top_states(sales.web_by_state(_web(t), START, END, net=True))
+
+
 @query("Q45_web_by_state", _web_state_sql(NET))
 def _(t):
     return sales.web_by_state(_web(t), START, END, net=True)
@@ -233,10 +246,13 @@ def _(t):
 
 @query(
     "Q50_lost_credits",
-    f"""SELECT * FROM ({CREDITS_DAILY}) WHERE credit_date NOT IN (SELECT order_date FROM ({B2B_DAILY}))""",
+    f"""SELECT * FROM ({CREDITS_DAILY}) WHERE credit_date NOT IN (SELECT order_date FROM b2b_norm
+  WHERE {LIVE} AND order_date {RANGE} AND account_type = 'Key Account' AND product_code LIKE 'I1%')""",
 )
 def _(t):
-    daily = sales.b2b_daily(_lines(t), START, END)
+    # Key-account sales of one item range: there are days without any.
+    lines = _lines(t).filter("account_type = 'Key Account' AND product_code LIKE 'I1%'")
+    daily = sales.b2b_daily(lines, START, END)
     credits = sales.credits_daily(roles.credit_memo(t), START, END)
     return sales.lost_credits(daily, credits, "order_date", "credit_date")
 
@@ -321,6 +337,28 @@ def _(t):
     return prod.with_hierarchy(named)
 
 
+SPECIFIC = f"""CASE WHEN {_has('12oz', '12 oz')} THEN '12oz Seltzers' WHEN {_has('16oz', '16 oz')} THEN '16oz Seltzers'
+    WHEN {_has('shot', '2oz', '2 oz')} THEN 'Shots' WHEN {_has('750ml', '750 ml', 'bottle')} THEN 'Bottles'
+    WHEN {_has('seltzer')} THEN 'Seltzers' ELSE 'Other' END AS family,
+  CASE WHEN {_has('25mg')} THEN '25mg' WHEN {_has('10mg')} THEN '10mg' WHEN {_has('5mg')} THEN '5mg'
+    WHEN {_has('2mg')} THEN '2mg' ELSE 'Unknown' END AS potency,
+  CASE WHEN {_has('cranberry', 'crnbry')} THEN 'Cranberry' WHEN {_has('berry')} THEN 'Berry' WHEN {_has('citrus')} THEN 'Citrus'
+    WHEN {_has('tropical')} THEN 'Tropical' WHEN {_has('spicy lime', 'spicylime')} THEN 'Spicy Lime'
+    WHEN {_has('lemonade')} THEN 'Lemonade' WHEN {_has('cherry')} THEN 'Cherry' WHEN {_has('variety')} THEN 'Variety Pack'
+    WHEN {_has('original')} THEN 'Original' ELSE 'Unknown' END AS flavor"""
+
+
+@query(
+    "Q52_specific_first_hierarchy",
+    f"""SELECT supplier_item, "desc" AS product_name, {SPECIFIC} FROM (SELECT *, "desc" AS product_name FROM item)""",
+)
+def _(t):
+    named = roles.item(t).selectExpr("supplier_item", "`desc` AS product_name")
+    return prod.with_hierarchy(
+        named, family_rules=prod.SPECIFIC_FIRST_FAMILY_RULES, flavor_rules=prod.SPECIFIC_FIRST_FLAVOR_RULES
+    )
+
+
 COMBINE_DAILY = """SELECT coalesce(b.order_date, w.order_date) AS order_date,
   coalesce(b.day_of_week, w.day_of_week) AS day_of_week, coalesce(b.revenue, 0) AS revenue_b2b,
   coalesce(w.revenue, 0) AS revenue_b2c, round(coalesce(b.revenue, 0) + coalesce(w.revenue, 0), 2) AS revenue

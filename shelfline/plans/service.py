@@ -38,7 +38,7 @@ def _(t):
 
 DAILY_FULFILMENT = """SELECT order_date, count(DISTINCT order_id) AS orders_placed,
   count(*) FILTER (WHERE fulfillment_status = 'shipped') AS orders_shipped,
-  round(100.0 * count(*) FILTER (WHERE fulfillment_status = 'shipped') / count(*) * (1 + 1e-14), 1) AS fulfillment_rate
+  CAST(round(CAST(100.0 * count(*) FILTER (WHERE fulfillment_status = 'shipped') / count(*) AS DECIMAL(38,4)), 1) AS DOUBLE) AS fulfillment_rate
 FROM shipment GROUP BY 1"""
 
 
@@ -55,7 +55,7 @@ def _(t):
 
 CARRIERS = """SELECT CAST(date_trunc('month', order_date) AS DATE) AS order_month,
   coalesce(shipment_carrier, order_carrier) AS carrier_code, count(DISTINCT order_id) AS order_count,
-  round(avg(shipment_cost) * (1 + 1e-14), 4) AS avg_shipping_cost FROM shipment GROUP BY 1, 2"""
+  CAST(round(CAST(avg(shipment_cost) AS DECIMAL(38,7)), 4) AS DOUBLE) AS avg_shipping_cost FROM shipment GROUP BY 1, 2"""
 
 
 @query("Q29_carrier_months", f"SELECT * FROM ({CARRIERS}) WHERE order_month >= DATE '2023-10-01'")

@@ -456,16 +456,16 @@ def _(t):
 
 @query(
     "J17_substring_match",
-    """SELECT DISTINCT position, label, CASE code WHEN '1-URGENT' THEN 'rebate_redemption' WHEN '2-HIGH' THEN 'rebate_submissions'
-  WHEN '4-NOT SPECIFIED' THEN 'linkedin_followers' WHEN 'F' THEN 'active_doors' WHEN 'O' THEN 'influencer_posts'
-  WHEN 'P' THEN 'retail_revenue' WHEN '0' THEN 'tentpole_events' WHEN '1' THEN 'tentpole_events' END AS key FROM sheet_cell""",
+    """SELECT DISTINCT position, label, CASE code WHEN '1-URGENT' THEN 'coupon_returns' WHEN '2-HIGH' THEN 'samples_sent'
+  WHEN '4-NOT SPECIFIED' THEN 'newsletter_readers' WHEN 'F' THEN 'open_outlets' WHEN 'O' THEN 'blog_articles'
+  WHEN 'P' THEN 'store_revenue' WHEN '0' THEN 'trade_fairs' WHEN '1' THEN 'trade_fairs' END AS key FROM sheet_cell""",
 )
 def _(t):
     sheet = roles.metric_sheet(t)
     return sheet.select(
         F.col("position").cast("bigint").alias("position"),
         F.col("METRIC").alias("label"),
-        sc.metric_key("METRIC").alias("key"),
+        sc.metric_key("METRIC", roles.METRICS).alias("key"),
     )
 
 

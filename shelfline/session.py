@@ -1,4 +1,4 @@
-"""Session settings the operators are tuned for."""
+"""Session settings the operators are tuned for; whoever starts the session applies them."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ RUNTIME_SETTINGS = {
 }
 
 
-def local_session(cores: int | str = 8, app: str = "shelfline") -> SparkSession:
+def local_session(cores: int | str = 8, app: str = "shelfline", extra: dict[str, str] | None = None) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -33,15 +33,8 @@ def local_session(cores: int | str = 8, app: str = "shelfline") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
     )
-    for key, value in {**RUNTIME_SETTINGS, **STATIC_SETTINGS}.items():
+    for key, value in {**RUNTIME_SETTINGS, **STATIC_SETTINGS, **(extra or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings to a session somebody else created."""
-    for key, value in RUNTIME_SETTINGS.items():
-        spark.conf.set(key, value)
-    return spark

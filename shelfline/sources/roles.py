@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.functions.columns import lookup
+from shelfline.operators.scorecard import Metric
 
 S = "string"
 
@@ -534,34 +535,32 @@ def text_mention(t: Tables) -> DataFrame:
     )
 
 
-# -- pages and sheets ---------------------------------------------------------
-
-def profile_page(t: Tables) -> DataFrame:
-    """Pages with the two kinds of audience meta tags appended; the counts come
-    from the page length."""
-    size = F.length("html")
-    exact = F.concat(F.lit(' <meta content="'), F.format_number(size, 0), F.lit(' followers on LinkedIn">'))
-    short = F.concat(
-        F.lit(' <meta content="'),
-        (F.floor(size / 100) / F.lit(10.0)).cast("decimal(18,1)").cast(S),
-        F.lit('K Followers">'),
-    )
-    tag = F.when(F.col("page_id") % 3 == 0, exact).when(F.col("page_id") % 3 == 1, short).otherwise("")
-    return t.pages.select("page_id", "url", F.concat("html", tag).alias("html"))
-
+# -- sheets ---------------------------------------------------------
 
 SHEET_WEEKS = [date(2001, 4, 2) + timedelta(weeks=i) for i in range(13)]
+# The metrics of the sheet that the test tables play, and its row labels.
+METRICS = [
+    Metric("store_revenue", "Store Revenue", "SALES", 500_000_000, "currency", "auto", "max", True),
+    Metric("web_revenue", "Web Revenue", "SALES", 60_000_000, "currency", "auto", "sum", True),
+    Metric("open_outlets", "Open Outlets", "SALES", 1_200, "number", "auto", "latest"),
+    Metric("coupon_returns", "Coupon Returns", "PROMO", 20_000, "currency", "sheet", "sum"),
+    Metric("samples_sent", "Samples Sent", "PROMO", 30_000, "number", "sheet", "sum"),
+    Metric("newsletter_readers", "Newsletter Readers", "MEDIA", 5_000, "number", "auto", "latest"),
+    Metric("page_trackers", "Page Trackers", "MEDIA", 200, "number", "auto", "latest"),
+    Metric("blog_articles", "Blog Articles", "MEDIA", 4_000, "number", "sheet", "latest"),
+    Metric("trade_fairs", "Trade Fairs", "EVENTS", 40_000, "number", "sheet", "sum"),
+]
 SHEET_LABELS = {
-    "1-URGENT": "Redemption on H1 Rebate Q2",
-    "2-HIGH": "Submission of",
+    "1-URGENT": "Coupon Returns Spring",
+    "2-HIGH": "Samples",
     "3-MEDIUM": "",
-    "4-NOT SPECIFIED": "LinkedIn Followers",
-    "5-LOW": "Unknown Metric",
-    "F": "Active Door Count",
-    "O": "Influencer Posts",
-    "P": "Retail Revenue",
-    "0": "Tentpole Events",
-    "1": "tentpole events (final)",
+    "4-NOT SPECIFIED": "Newsletter Readers",
+    "5-LOW": "Unlisted Metric",
+    "F": "Open Outlets",
+    "O": "Blog Articles",
+    "P": "Store Revenue",
+    "0": "Trade Fairs",
+    "1": "trade fairs (final)",
 }
 
 

@@ -12,8 +12,9 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, "shelfline-tests")
+def spark(tmp_path_factory):
+    shared = {"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))}
+    session = local_session(8, "shelfline-tests", shared)
     yield session
     session.stop()
 

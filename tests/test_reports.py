@@ -9,55 +9,64 @@ from shelfline.operators import scorecard as sc
 from shelfline.operators import trends as tr
 
 TODAY = date(2024, 1, 31)
+METRICS = [
+    sc.Metric("store_revenue", "Store Revenue", "A", 100, "currency", "auto", "max", True),
+    sc.Metric("web_revenue", "Web Revenue", "A", 100, "currency", "auto", "sum", True),
+    sc.Metric("open_outlets", "Open Outlets", "A", 10, "number", "auto", "latest"),
+    sc.Metric("newsletter_readers", "Newsletter Readers", "B", 10, "number", "auto", "latest"),
+    sc.Metric("blog_articles", "Blog Articles", "B", 250, "number", "sheet", "latest"),
+    sc.Metric("trade_fairs", "Trade Fairs", "C", 5, "number", "sheet", "sum"),
+    sc.Metric("samples_sent", "Samples Sent", "C", 5, "number", "sheet", "sum"),
+]
 
 
 def test_sheet_parsing(spark):
     columns = [*sc.SHEET_FIXED, "1/1", "1/8", "13/40", "note", "position"]
     data = [
-        ("Retail Revenue (est)", "x", "1", "$1,234", "12%", "$1,234", "0", "7", "z", "1"),
-        ("linkedin", "x", "1", "n/a", "", "12%", "0.0", "7", "z", "2"),
+        ("Store Revenue (est)", "x", "1", "$1,234", "12%", "$1,234", "0", "7", "z", "1"),
+        ("newsletter", "x", "1", "n/a", "", "12%", "0.0", "7", "z", "2"),
         ("", "x", "1", "5", "", "5", "5", "7", "z", "3"),
         ("Nothing we know", "x", "1", "5", "", "5", "5", "7", "z", "4"),
-        ("Partner Events", "x", "1", "5", "", "1", "2", "7", "z", "5"),
-        ("PARTNER EVENTS", "x", "1", "6", "", "3", "", "7", "z", "6"),
+        ("Samples Sent", "x", "1", "5", "", "1", "2", "7", "z", "5"),
+        ("SAMPLES SENT", "x", "1", "6", "", "3", "", "7", "z", "6"),
     ]
     sheet = spark.createDataFrame(data, ", ".join(f"`{x}` string" for x in columns))
-    values = {(r["key"], r["week"]): r["value"] for r in sc.sheet_values(sheet, 2024, position="position").collect()}
+    values = {(r["key"], r["week"]): r["value"] for r in sc.sheet_values(sheet, 2024, METRICS, position="position").collect()}
     assert values == {
-        ("retail_revenue", date(2024, 1, 1)): 1234.0,
-        ("linkedin_followers", date(2024, 1, 8)): 0.0,
-        ("partner_events", date(2024, 1, 1)): 3.0,
+        ("store_revenue", date(2024, 1, 1)): 1234.0,
+        ("newsletter_readers", date(2024, 1, 8)): 0.0,
+        ("samples_sent", date(2024, 1, 1)): 3.0,
     }
-    totals = {r["key"]: r["sheet_total"] for r in sc.sheet_totals(sheet, position="position").collect()}
-    assert totals == {"retail_revenue": 1234.0, "partner_events": 6.0}
+    totals = {r["key"]: r["sheet_total"] for r in sc.sheet_totals(sheet, METRICS, position="position").collect()}
+    assert totals == {"store_revenue": 1234.0, "samples_sent": 6.0}
 
 
 def test_grid_prefers_live_and_cards_follow_their_rule(spark):
     schedule = [date(2024, 1, 1), date(2024, 1, 8), date(2024, 1, 15)]
     pair = "key string, week date, value double"
     live = spark.createDataFrame(
-        [("retail_revenue", date(2024, 1, 1), 10.0), ("retail_revenue", date(2023, 12, 25), 99.0)], pair
+        [("store_revenue", date(2024, 1, 1), 10.0), ("store_revenue", date(2023, 12, 25), 99.0)], pair
     )
     written = spark.createDataFrame(
-        [("retail_revenue", date(2024, 1, 1), 1.0), ("retail_revenue", date(2024, 1, 8), 20.0),
-         ("active_doors", date(2024, 1, 3), 5.0), ("tentpole_events", date(2024, 1, 1), 2.0),
-         ("tentpole_events", date(2024, 1, 8), 2.0), ("tentpole_events", date(2024, 2, 8), 50.0)],
+        [("store_revenue", date(2024, 1, 1), 1.0), ("store_revenue", date(2024, 1, 8), 20.0),
+         ("open_outlets", date(2024, 1, 3), 5.0), ("trade_fairs", date(2024, 1, 1), 2.0),
+         ("trade_fairs", date(2024, 1, 8), 2.0), ("trade_fairs", date(2024, 2, 8), 50.0)],
         pair,
     )
-    now = spark.createDataFrame([("active_doors", 8.0), ("instagram_followers", 0.0)], "key string, value double")
+    now = spark.createDataFrame([("open_outlets", 8.0), ("page_trackers", 0.0)], "key string, value double")
     as_of = date(2024, 1, 10)
-    grid = sc.metric_grid(live, now, written, schedule, as_of)
+    grid = sc.metric_grid(live, now, written, schedule, as_of, METRICS)
     cells = {(r["key"], r["week"]): r["value"] for r in grid.collect()}
-    assert cells[("retail_revenue", date(2024, 1, 1))] == 10.0
-    assert ("retail_revenue", date(2023, 12, 25)) not in cells
-    assert cells[("active_doors", date(2024, 1, 8))] == 8.0
-    totals = spark.createDataFrame([("influencer_posts", 200.0)], "key string, sheet_total double")
-    card = {r["key"]: r for r in sc.metric_scorecard(sc.registry_frame(spark), grid, totals, as_of).collect()}
-    assert card["retail_revenue"]["value"] == 20.0
-    assert card["active_doors"]["value"] == 8.0
-    assert (card["tentpole_events"]["value"], card["tentpole_events"]["band"]) == (4.0, "green")
-    assert card["influencer_posts"]["value"] == 200.0
-    assert card["dtc_revenue"]["value"] is None and card["dtc_revenue"]["band"] == "red"
+    assert cells[("store_revenue", date(2024, 1, 1))] == 10.0
+    assert ("store_revenue", date(2023, 12, 25)) not in cells
+    assert cells[("open_outlets", date(2024, 1, 8))] == 8.0
+    totals = spark.createDataFrame([("blog_articles", 200.0)], "key string, sheet_total double")
+    card = {r["key"]: r for r in sc.metric_scorecard(sc.registry_frame(spark, METRICS), grid, totals, as_of).collect()}
+    assert card["store_revenue"]["value"] == 20.0
+    assert card["open_outlets"]["value"] == 8.0
+    assert (card["trade_fairs"]["value"], card["trade_fairs"]["band"]) == (4.0, "green")
+    assert card["blog_articles"]["value"] == 200.0
+    assert card["web_revenue"]["value"] is None and card["web_revenue"]["band"] == "red"
 
 
 def test_follower_counts(spark):
