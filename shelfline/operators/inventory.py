@@ -357,11 +357,15 @@ def inventory_health(
     distributors: DataFrame,
     as_of: date,
     lookback_days: int = 90,
+    revenue_lines: DataFrame | None = None,
 ) -> DataFrame:
-    """Q07: order / sell-through ratio, weeks of inventory and status per account."""
+    """Q07: order / sell-through ratio, weeks of inventory and status per account.
+
+    The revenue total needs no customer: ``revenue_lines`` are the order lines
+    without that join (default: ``orders``)."""
     totals = distributor_order_totals(orders, sku_map, as_of, lookback_days)
     depletion = distributor_depletion(lines, items, as_of, lookback_days)
-    revenue = all_channel_revenue(orders, as_of, lookback_days)
+    revenue = all_channel_revenue(orders if revenue_lines is None else revenue_lines, as_of, lookback_days)
     combined = _with_rate(_reconciled(totals, distributors, depletion), lookback_days)
     sold = F.col("total_qty_depleted")
     delta = F.col("qty_ordered") - zero_if_null(sold)

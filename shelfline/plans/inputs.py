@@ -52,6 +52,7 @@ def health(t: Tables) -> DataFrame:
         roles.distributor(t),
         AS_OF,
         DAYS,
+        roles.b2b_order_line(t, WINDOW_START, with_customer=False),
     )
 
 
