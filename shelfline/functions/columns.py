@@ -135,8 +135,8 @@ def abbreviated_count(c: str | Column) -> Column:
     return F.floor(number * scale).cast("bigint")
 
 
-def pseudonym(c: str | Column, length: int = 12) -> Column:
-    """Stable identifier for an address: a prefix of its SHA-256."""
+def pseudonym(c: str | Column, length: int = 64) -> Column:
+    """Stable identifier for an address: its SHA-256, or a prefix of it for display."""
     return F.coalesce(F.substring(F.sha2(col(c), 256), 1, length), F.lit(""))
 
 

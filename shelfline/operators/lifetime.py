@@ -275,13 +275,13 @@ def repeat_rate_by_quarter(selected: DataFrame) -> DataFrame:
     )
 
 
-def top_customers(selected: DataFrame, n: int = 50) -> DataFrame:
+def top_customers(selected: DataFrame, n: int = 50, id_length: int = 12) -> DataFrame:
     """Q90: best customers; the address leaves the job only as a pseudonym."""
     legacy, web = F.col("woo_orders") > 0, F.col("shopify_orders") > 0
     platform = F.when(legacy & web, "Both").when(legacy, "Woo").otherwise("Shopify")
     best = selected.orderBy(F.col("revenue").desc(), "email").limit(n)
     return best.select(
-        pseudonym("email").alias("customer_id"),
+        pseudonym("email", id_length).alias("customer_id"),
         F.col("orders").alias("lifetime_orders"),
         F.round("revenue", 2).alias("lifetime_revenue"),
         F.col("first_order").cast("date").alias("first_order"),

@@ -193,7 +193,9 @@ def headline_mover(mentions: DataFrame, as_of: date) -> DataFrame:
     )
 
 
-def sources_for(mentions: DataFrame, entity: str, as_of: date, days: int = 14, n: int = 5) -> DataFrame:
+def sources_for(
+    mentions: DataFrame, entity: str, as_of: date, days: int = 14, n: int = 5, snippet_length: int = SNIPPET_LENGTH
+) -> DataFrame:
     """Q101: latest mentions of one entity with display title, engine and snippet."""
     kept = mentions.filter(
         (F.col("entity_name") == entity)
@@ -206,7 +208,7 @@ def sources_for(mentions: DataFrame, entity: str, as_of: date, days: int = 14, n
         F.initcap(plain).alias("engine_label"),
         "url",
         F.coalesce("title", F.lit("(no title)")).alias("title"),
-        F.substring(F.coalesce("snippet", F.lit("")), 1, SNIPPET_LENGTH).alias("snippet"),
+        F.substring(F.coalesce("snippet", F.lit("")), 1, snippet_length).alias("snippet"),
         "harvested_at",
     )
 

@@ -514,7 +514,7 @@ def _(t):
 
 @query("F17_pseudonym", "SELECT c_custkey, left(sha256(c_name), 12) AS pseudonym FROM customer")
 def _(t):
-    return t.customer.select("c_custkey", c.pseudonym("c_name").alias("pseudonym"))
+    return t.customer.select("c_custkey", c.pseudonym("c_name", 12).alias("pseudonym"))
 
 
 @query(
