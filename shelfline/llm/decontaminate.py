@@ -24,7 +24,7 @@ GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Windows that may be broadcast; a larger set is joined by a shuffle on the anchor.
-BROADCAST_WINDOWS = 1_000_000
+BROADCAST_WINDOWS = 200_000
 
 
 def words_of(text: Column) -> Column:

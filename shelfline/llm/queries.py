@@ -87,7 +87,57 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-@query("op6_secret_scan")
+ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _secret_kind(order: int, kind: str, pattern: str) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT doc_id, source, {order} AS ord, '{kind}' AS kind, regexp_extract_all(t, '{quoted}') AS m,
+               regexp_extract_all(t, '{quoted}', 1) AS v, string_split_regex(t, '{quoted}') AS p FROM d"""
+
+
+@query(
+    "op6_secret_scan",
+    sql=f"""
+    WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+    k AS (
+        {_secret_kind(0, "assign", ASSIGN)}
+        UNION ALL {_secret_kind(1, "access", "(AKIA[A-Z0-9]+)")}
+        UNION ALL {_secret_kind(2, "hex", "([0-9a-f]{24,})")}
+        UNION ALL {_secret_kind(3, "live", "([A-Za-z0-9+/_=-]{20,})")}
+    ),
+    one AS (
+        SELECT doc_id, source, ord, kind, i, length(p[i]) AS gap, length(m[i]) AS size, v[i] AS value
+        FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k)
+    ),
+    placed AS (
+        SELECT *, CAST(sum(gap + size) OVER (PARTITION BY doc_id, kind ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM one
+    ),
+    valid AS (
+        SELECT doc_id, source, ord, kind, e - size AS s, e, value FROM placed
+        WHERE length(value) >= CASE kind WHEN 'assign' THEN 6 WHEN 'hex' THEN 24 ELSE 20 END
+          AND (kind <> 'live' OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+               AND len(list_distinct(string_split(value, ''))) >= 10))
+    ),
+    held AS (SELECT value, count(DISTINCT source) + CAST(bool_or(source IS NULL) AS INTEGER) >= 5 AS example FROM valid GROUP BY value),
+    kept AS (
+        SELECT a.*, example FROM valid a JOIN held USING (value)
+        WHERE kind <> 'live' OR (NOT example AND NOT EXISTS (
+            SELECT 1 FROM valid b WHERE b.doc_id = a.doc_id AND b.kind <> 'live' AND b.s < a.e AND b.e > a.s))
+    ),
+    total AS (
+        SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+               count(*) FILTER (WHERE kind = 'hex') AS n_hex, count(*) FILTER (WHERE NOT example) AS n_live,
+               count(*) FILTER (WHERE example) AS n_example, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans,
+               string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) FILTER (WHERE kind <> 'live') AS base
+        FROM kept GROUP BY doc_id
+    )
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+           coalesce(n_example, 0) AS n_example
+    FROM documents LEFT JOIN total USING (doc_id)
+    """,
+)
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scan.scan(table(spark, folder, "documents"))
     return found.select(
