@@ -33,25 +33,30 @@ VOCABULARY = "piece_bpe_32k.model"
 TRAIN_DOCS = 8_000
 ROUNDS = 2
 START = "▁"
+#: Marks a part of a long run that does not start it; no letter.
+INSIDE = "+"
 LONGEST = 40
 #: Smoothing mass of a piece, probability of a character outside the vocabulary.
 SMOOTH, UNKNOWN = 0.05, 1e-7
 #: Distinct words a task remembers; characters of texts whose new words are scored together.
-MEMO, RUN = 150_000, 2_000_000
+MEMO, RUN = 400_000, 4_000_000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters in lower case with a word start mark, long ones in parts."""
-    out = []
-    for run in LETTERS.findall((text or "").lower()):
-        if len(run) < LONGEST:
-            out.append(START + run)
-        else:
-            marked = START + run
-            out += [marked[i : i + LONGEST] for i in range(0, len(marked), LONGEST)]
-    return out
+    """Runs of letters in lower case, long ones in parts; the parts after the first are
+    no word starts and say so by a mark."""
+    runs = LETTERS.findall((text or "").lower())
+    if len(max(runs, key=len, default="")) < LONGEST:
+        return runs
+    parts = ((run[i : i + LONGEST - 1], i) for run in runs for i in range(0, len(run), LONGEST - 1))
+    return [INSIDE + part if i else part for part, i in parts]
+
+
+def marked(word: str) -> str:
+    """The word as the vocabulary writes it: with a start mark unless it is a later part."""
+    return word[1:] if word[0] == INSIDE else START + word
 
 
 def vocabulary(path: str | None = None) -> dict[str, int]:
@@ -68,60 +73,102 @@ def vocabulary(path: str | None = None) -> dict[str, int]:
     return {p: i for i, p in enumerate(sorted(set(wanted)))}
 
 
+class Pieces:
+    """The vocabulary, found by the rolling hashes of substrings of many words at once."""
+
+    FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, numbers: dict[str, int]):
+        self.n, self.longest = len(numbers), max(map(len, numbers), default=1)
+        self.keys = np.zeros(max(self.n, 1), np.uint64)
+        for piece, number in numbers.items():
+            value = np.zeros(1, np.uint64)
+            for c in piece:
+                value = self.roll(value, np.array([ord(c)], np.uint64))
+            self.keys[number] = value[0]
+        if len(np.unique(self.keys)) < self.n:
+            raise ValueError("two pieces have the same hash")
+        # Open addressing at a load of an eighth at most.
+        self.bits = np.uint64(max(self.n * 8, 16).bit_length())
+        self.table = np.full(1 << int(self.bits), -1, np.int32)
+        for number in range(self.n):
+            slot = int(self.slot(self.keys[number : number + 1])[0])
+            while self.table[slot] >= 0:
+                slot = (slot + 1) % len(self.table)
+            self.table[slot] = number
+
+    def roll(self, value: np.ndarray, char: np.ndarray) -> np.ndarray:
+        mixed = (value + char + np.uint64(1)) * self.FACTOR
+        return mixed ^ (mixed >> np.uint64(29))
+
+    def slot(self, value: np.ndarray) -> np.ndarray:
+        return (value * self.FACTOR >> (np.uint64(64) - self.bits)).astype(np.int64)
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes, -1 for none."""
+        slot = self.slot(value)
+        found = self.table[slot]
+        other = np.flatnonzero((found >= 0) & (self.keys[found] != value))
+        while len(other):
+            slot[other] = (slot[other] + 1) % len(self.table)
+            found[other] = self.table[slot[other]]
+            other = other[(found[other] >= 0) & (self.keys[found[other]] != value[other])]
+        return found
+
+
 class Lattice:
-    """All arcs (word, from, to, piece) of a list of words, ordered by end and word."""
-
-    def __init__(self, words: list[str], pieces: dict[str, int]):
-        self.n, self.width = len(words), max(map(len, words), default=0) + 1
-        longest, unknown = max(map(len, pieces), default=1), len(pieces)
-        get = pieces.get
-        to, of, at, piece = [], [], [], []
-        for w, word in enumerate(words):
-            n = len(word)
-            for i in range(n):
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    found = get(word[i:j])
-                    if found is None:
-                        if j > i + 1:
-                            continue
-                        found = unknown
-                    to.append(j)
-                    of.append(w)
-                    at.append(i)
-                    piece.append(found)
-        arcs = np.array((to, of, at, piece), np.int64)
-        self.to, self.word, self.at, self.piece = arcs[:, np.lexsort((arcs[1], arcs[0]))]
-        self.ends = np.searchsorted(self.to, np.arange(self.width + 1))
-        self.length = np.array([len(w) for w in words], np.int64)
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """alpha[word, position, language] for piece probabilities p[piece, language]."""
-        alpha = np.zeros((self.n, self.width, p.shape[1]))
-        alpha[:, 0] = 1
-        for j in range(1, self.width):
-            some = slice(self.ends[j], self.ends[j + 1])
-            words = self.word[some]
-            if len(words):
-                first = np.flatnonzero(np.diff(words, prepend=-1))
-                alpha[words[first], j] = np.add.reduceat(alpha[words, self.at[some]] * p[self.piece[some]], first, axis=0)
+    """All segmentations of a list of words. Words of equal length are handled together:
+    an arc set (from, to) has the words whose substring there is a piece."""
+
+    def __init__(self, words: list[str], pieces: Pieces):
+        self.n, self.unknown = len(words), pieces.n
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        self.groups = []
+        for length in np.unique(lengths[lengths > 0]).tolist():
+            members = np.flatnonzero(lengths == length)
+            text = np.array([words[k] for k in members], dtype=f"<U{length}")
+            chars = text.view(np.uint32).reshape(-1, length).astype(np.uint64)
+            arcs = [[] for _ in range(length + 1)]
+            for start in range(length):
+                value = np.zeros(len(members), np.uint64)
+                for end in range(start + 1, min(length, start + pieces.longest) + 1):
+                    value = pieces.roll(value, chars[:, end - 1])
+                    found = pieces.find(value)
+                    if end == start + 1:
+                        found[found < 0] = self.unknown
+                    rows = np.flatnonzero(found >= 0)
+                    if len(rows):
+                        arcs[end].append((start, rows, found[rows]))
+            self.groups.append((members, length, arcs))
+
+    @staticmethod
+    def _forward(members: np.ndarray, length: int, arcs: list, p: np.ndarray) -> np.ndarray:
+        """alpha[position, word, language] for piece probabilities p[piece, language]."""
+        alpha = np.zeros((length + 1, len(members), p.shape[1]))
+        alpha[0] = 1
+        for end in range(1, length + 1):
+            for start, rows, piece in arcs[end]:
+                alpha[end, rows] += alpha[start, rows] * p[piece]
         return alpha
 
     def log_likelihood(self, p: np.ndarray) -> np.ndarray:
-        return np.log(np.maximum(self.forward(p)[np.arange(self.n), self.length], 1e-300))
+        out = np.zeros((self.n, p.shape[1]))
+        for members, length, arcs in self.groups:
+            out[members] = np.log(np.maximum(self._forward(members, length, arcs, p)[length], 1e-300))
+        return out
 
     def expected(self, p: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece when word w of one language is seen count[w] times."""
-        alpha = self.forward(p)
-        beta = np.zeros_like(alpha)
-        rows = np.arange(self.n)
-        beta[rows, self.length] = 1
-        for j in range(self.width - 1, 0, -1):
-            a, b = self.ends[j], self.ends[j + 1]
-            np.add.at(beta, (self.word[a:b], self.at[a:b]), beta[self.word[a:b], self.to[a:b]] * p[self.piece[a:b]])
-        whole = np.maximum(alpha[rows, self.length], 1e-300)
-        use = alpha[self.word, self.at] * p[self.piece] * beta[self.word, self.to] / whole[self.word]
+        """Expected uses of each piece when word w is seen count[w] times."""
         out = np.zeros_like(p)
-        np.add.at(out, self.piece, use * count[self.word][:, None])
+        for members, length, arcs in self.groups:
+            alpha = self._forward(members, length, arcs, p)
+            beta = np.zeros_like(alpha)
+            beta[length] = count[members][:, None] / np.maximum(alpha[length], 1e-300)
+            for end in range(length, 0, -1):
+                for start, rows, piece in arcs[end]:
+                    onward = beta[end, rows] * p[piece]
+                    beta[start, rows] += onward
+                    np.add.at(out, piece, onward * alpha[start, rows])
         return out
 
 
@@ -175,12 +222,13 @@ def train(docs: DataFrame, vocabulary_path: str | None = None, train_docs: int =
 
     def uses(p: np.ndarray):
         def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found = Pieces(pieces)
             for frame in frames:
                 for name, part in frame.groupby("lang"):
                     k = languages.index(name)
                     for at in range(0, len(part), 20_000):
                         some = part.iloc[at : at + 20_000]
-                        n = Lattice(some["word"].tolist(), pieces).expected(p[:, [k]], some["n"].to_numpy(float))[: len(pieces), 0]
+                        n = Lattice([marked(w) for w in some["word"]], found).expected(p[:, [k]], some["n"].to_numpy(float))[: len(pieces), 0]
                         seen = np.flatnonzero(n)
                         yield pd.DataFrame({"lang": name, "piece": seen, "uses": n[seen]})
 
@@ -202,6 +250,7 @@ def identify(docs: DataFrame, vocabulary_path: str | None = None, train_docs: in
 
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        found_by = Pieces(pieces)
         memo: dict[str, int] = {}
         scores = np.zeros((0, len(languages)))
         for texts in batches:
@@ -211,10 +260,10 @@ def identify(docs: DataFrame, vocabulary_path: str | None = None, train_docs: in
                 if len(memo) > MEMO:
                     memo, scores = {}, scores[:0]
                 new = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in memo]
-                for at in range(0, len(new), 20_000):
-                    some = new[at : at + 20_000]
+                for at in range(0, len(new), 50_000):
+                    some = new[at : at + 50_000]
                     memo.update(zip(some, range(len(memo), len(memo) + len(some)), strict=True))
-                    scores = np.concatenate((scores, Lattice(some, pieces).log_likelihood(p)))
+                    scores = np.concatenate((scores, Lattice([marked(w) for w in some], found_by).log_likelihood(p)))
                 for own in words:
                     if not own:
                         found.append((UNDETERMINED, 0.0))

@@ -20,7 +20,7 @@ def test_forward_sums_all_segmentations():
     pieces = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4, "ba": 5, "aba": 6}
     p = np.random.default_rng(1).random((8, 2)) / 4
     words = ["▁aba", "▁ab", "▁xba", "▁", "▁ababab"]
-    got = g.Lattice(words, pieces).log_likelihood(p)
+    got = g.Lattice(words, g.Pieces(pieces)).log_likelihood(p)
     want = [[np.log(segmentations(w, pieces, p[:, k], 7)) for k in range(2)] for w in words]
     assert np.allclose(got, want)
 
@@ -29,19 +29,30 @@ def test_expected_uses_match_the_derivative():
     pieces = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4}
     p = np.random.default_rng(2).random((6, 1)) / 3
     words, count = ["▁abab", "▁b"], np.array([2.0, 3.0])
-    uses = g.Lattice(words, pieces).expected(p, count)[:, 0]
+    uses = g.Lattice(words, g.Pieces(pieces)).expected(p, count)[:, 0]
     for k in range(6):
         step = p.copy()
         step[k] *= 1 + 1e-6
-        slope = ((g.Lattice(words, pieces).log_likelihood(step) - g.Lattice(words, pieces).log_likelihood(p))[:, 0] * count).sum() / 1e-6
+        slope = ((g.Lattice(words, g.Pieces(pieces)).log_likelihood(step) - g.Lattice(words, g.Pieces(pieces)).log_likelihood(p))[:, 0] * count).sum() / 1e-6
         assert uses[k] == pytest.approx(slope, abs=1e-4)
 
 
 def test_words():
     assert g.words_of(None) == [] == g.words_of("12 _ !")
-    assert g.words_of("L'Été 3x") == ["▁l", "▁été", "▁x"]
-    parts = g.words_of("a" * 100)
-    assert "".join(parts) == "▁" + "a" * 100 and max(map(len, parts)) <= g.LONGEST
+    assert [g.marked(w) for w in g.words_of("L'Été 3x")] == ["▁l", "▁été", "▁x"]
+    parts = [g.marked(w) for w in g.words_of("b " + "a" * 100)]
+    assert "".join(parts) == "▁b▁" + "a" * 100 and max(map(len, parts)) <= g.LONGEST
+
+
+def test_pieces_are_found_by_their_hashes():
+    pieces = g.vocabulary()
+    found = g.Pieces(pieces)
+    words = list(pieces)[:500] + ["zzzzqqq", "x" * 30]
+    for w in words:
+        value = np.zeros(1, np.uint64)
+        for c in w:
+            value = found.roll(value, np.array([ord(c)], np.uint64))
+        assert found.find(value)[0] == pieces.get(w, -1)
 
 
 @pytest.fixture(scope="module")
