@@ -32,7 +32,7 @@ from shelfline.sources.storage import materialise
 K = 20
 SHARD_ROWS, QUERY_ROWS = 16_384, 4_096
 #: Links of a node on upper levels (twice as many on the lowest), search widths.
-LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16, 64, 128
+LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16, 64, 200
 #: Nodes inserted, and queries searched, at once.
 BATCH, TOGETHER = 256, 512
 SEED = 7
