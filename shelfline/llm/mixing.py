@@ -31,9 +31,11 @@ from shelfline.sources.storage import materialise
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-#: Words of a block, slots (blocks) of an output shard, rows of a chunk.
-BLOCK_WORDS, SHARD_SLOTS, CHUNK_ROWS = 64, 4096, 10_000
+#: Words of a block, slots (blocks) of an output shard, rows of a chunk of a source.
+BLOCK_WORDS, SHARD_SLOTS, CHUNK_ROWS = 64, 4096, 1_000
 SEED = 20_240_501
+#: Sources up to which tables of a row per source are broadcast; beyond, they are shuffled.
+BROADCAST_SOURCES = 100_000
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -42,13 +44,13 @@ def words_of(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """Per source: ``number`` in code point order (null last), ``source_size`` and
-    ``target`` words. ``sizes`` has ``source`` and ``size``.
+    """Per source: ``number`` in code point order (null last), ``rows``, ``source_size``
+    and ``target`` words. ``sizes`` has ``source`` and ``size``.
 
     Sharing the excess of capped sources again and again ends where a common level
     per weight fills up all sources; sorted by size per weight, the capped ones come
     first. One row per source takes part in the windows."""
-    per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per_source = sizes.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size"))
     weight = F.get(F.array(*(F.lit(float(w)) for w in weights)), (F.col("number") % len(weights)).cast("int"))
     ordered = per_source.withColumn("number", F.expr("row_number() OVER (ORDER BY source ASC NULLS LAST) - 1").cast("int"))
     by_level = "ORDER BY source_size / weight, number"
@@ -66,7 +68,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return (
         filled.withColumn("open_weight", open_weight)
         .withColumn("capped_words", capped_words)
-        .select("source", "number", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(shared).alias("target"))
+        .select("source", "number", "rows", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(shared).alias("target"))
     )
 
 
@@ -104,21 +106,25 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _small(per_source: DataFrame, count: int) -> DataFrame:
+    """A table of a row per source, broadcast while it is known to be small."""
+    return F.broadcast(per_source) if count <= BROADCAST_SOURCES else per_source
+
+
 def _text_hash(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash")
 
 
-def stream(docs: DataFrame, block_words: int, chunk_rows: int, identity: str, text: str, source: str) -> tuple[DataFrame, DataFrame]:
+def stream(docs: DataFrame, chunk_rows: int, identity: str, text: str, source: str) -> tuple[DataFrame, DataFrame]:
     """All rows with their ``number`` of source and first word ``at`` in its stream,
     and the sources with their targets."""
     sizes = materialise(
         docs.select(F.col(identity).alias("id"), F.col(source).cast("string").alias("source"), F.size(words_of(F.col(text))).cast("long").alias("size"), _text_hash(text)),
         "sizes",
     )
-    chunks = max(1, -(-sizes.count() // chunk_rows))
     sources = materialise(targets(sizes), "sources")
-    placed = sizes.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    chunked = placed.withColumn("chunk", F.pmod(F.xxhash64("id", "size"), F.lit(chunks)))
+    placed = sizes.join(_small(sources, sources.count()).withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    chunked = placed.withColumn("chunk", F.pmod(F.xxhash64("id", "size"), F.ceil(F.col("rows") / chunk_rows)))
     return running_total(chunked, "number", "chunk", ["id", "size", "text_hash"], "size", "at").drop("chunk"), sources
 
 
@@ -145,6 +151,8 @@ def slots(spark, plan: list[tuple[int, int, int]], shard_slots: int = SHARD_SLOT
     taken = np.array([got.get(int(i), 0) for i in number], np.int64)
     above, short = np.maximum(taken - quota, 0), np.maximum(quota - taken, 0)
     start = lambda x: np.cumsum(x) - x
+    # A row per source; joins of exploded rows state their strategy, as their estimated
+    # size knows nothing of the rows that explode() adds.
     facts = spark.createDataFrame(
         list(zip(*(x.tolist() for x in (number, blocks, quota, taken, start(above), short, start(short))), strict=True)),
         "number int, blocks long, quota long, taken long, above_at long, short long, short_at long",
@@ -152,14 +160,14 @@ def slots(spark, plan: list[tuple[int, int, int]], shard_slots: int = SHARD_SLOT
     ranked = (
         running_total(drawn.withColumn("part", F.expr("shard div 1000")), "number", "part", ["shard"], "drawn", "first")
         .select("shard", "number", F.explode(F.expr("sequence(first, first + drawn - 1)")).alias("rank"))
-        .join(facts.select("number", "quota", "above_at"), "number")
+        .join(_small(facts, len(plan)).select("number", "quota", "above_at"), "number")
     )
     kept = ranked.where("rank < quota").select("shard", "number", "rank")
     gaps = facts.where("short > 0").select(
         F.col("number"), "taken", "short_at", F.explode(F.expr("sequence(short_at, short_at + short - 1)")).alias("spare")
     ).select("number", F.expr("taken + spare - short_at").alias("rank"), "spare")
-    moved = ranked.where("rank >= quota").select("shard", F.expr("above_at + rank - quota").alias("spare")).join(gaps, "spare").select("shard", "number", "rank")
-    ready = kept.unionByName(moved).join(facts.select("number", "blocks"), "number").select("shard", "number", "rank", "blocks")
+    moved = ranked.where("rank >= quota").select("shard", F.expr("above_at + rank - quota").alias("spare")).hint("merge").join(gaps, "spare").select("shard", "number", "rank")
+    ready = kept.unionByName(moved).join(_small(facts, len(plan)).select("number", "blocks"), "number").select("shard", "number", "rank", "blocks")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +179,7 @@ def slots(spark, plan: list[tuple[int, int, int]], shard_slots: int = SHARD_SLOT
 
 
 def _prepared(docs, block_words, shard_slots, chunk_rows, seed, identity, text, source):
-    rows, sources = stream(docs, block_words, chunk_rows, identity, text, source)
+    rows, sources = stream(docs, chunk_rows, identity, text, source)
     blocks = F.ceil(F.col("source_size") / block_words)
     quota = F.least(blocks * MOST, F.round(F.col("target") / F.col("source_size") * blocks).cast("long"))
     plan = [tuple(r) for r in sources.where("source_size > 0").select("number", blocks.alias("blocks"), quota.alias("quota")).orderBy("number").collect()]
@@ -203,6 +211,7 @@ def mixture(
     times = mix.groupBy("number", "block").agg(F.count("*").alias("times"))
     taken = (
         _pieces(rows, block_words)
+        .hint("merge")
         .join(times, ["number", "block"], "left")
         .groupBy("number", "at", "id", "size")
         .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
@@ -210,7 +219,7 @@ def mixture(
     empty = rows.where("size = 0").select("number", "at", "id", "size", F.lit(0).cast("long").alias("taken"))
     return (
         taken.unionByName(empty)
-        .join(sources, "number")
+        .join(_small(sources, sources.count()), "number")
         .select(F.col("id").alias(identity), "size", "source_size", "target", "taken")
     )
 
@@ -231,12 +240,13 @@ def mixed_blocks(
     texts = docs.select(F.col(identity).alias("doc"), _text_hash(text).alias("doc_hash"), words_of(F.col(text)).alias("w"))
     packed = (
         _pieces(rows, block_words)
+        .hint("merge")
         .join(texts.dropDuplicates(["doc", "doc_hash"]), F.col("id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("doc_hash")))
         .select("number", "block", "offset", F.struct("offset", "id", "skip", "words", F.array_join(F.slice("w", F.col("skip").cast("int") + 1, F.col("words").cast("int")), " ").alias("t")).alias("part"))
         .groupBy("number", "block")
         .agg(F.sort_array(F.collect_list("part")).alias("parts"))
     )
-    return mix.join(packed, ["number", "block"]).select(
+    return mix.hint("merge").join(packed, ["number", "block"]).select(
         "shard",
         "number",
         "block",
