@@ -38,8 +38,11 @@ SEASONAL_MIN_ROWS = 14
 SEASONAL_TREND_WEIGHT = 0.3
 
 
-def series_stats(df: DataFrame, order: str, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Shape of each series: length, means of its ends, spread."""
+def series_stats(
+    df: DataFrame, order: str, value: str, by: Sequence[str] = (), carry: Sequence[str] = ()
+) -> DataFrame:
+    """Shape of each series: length, means of its ends, spread. ``carry`` columns are
+    the same in all rows of a series."""
     numbered = df.withColumns({"_up": from_start(order, by), "_down": from_end(order, by)})
     v = F.col(value).cast("double")
     mean_where = lambda c: F.avg(F.when(c, v))
@@ -54,6 +57,7 @@ def series_stats(df: DataFrame, order: str, value: str, by: Sequence[str] = ())
         F.stddev_samp(v).alias("sd_samp"),
         F.stddev_pop(v).alias("sd_pop"),
         F.max(order).alias("last_time"),
+        *[F.first(c).alias(c) for c in carry],
     )
 
 
@@ -71,20 +75,22 @@ def stockout_risk(
 ) -> DataFrame:
     """Q14: weeks to stock-out, risk score and reorder advice per health row.
 
-    The weekly series of a row's codes are added up first. Trend compares the last
+    ``distributor_code`` names a row. The weekly series of its codes are added up first. Trend compares the last
     four weeks with the first four of the series when it has at least eight weeks;
     variation is the sample deviation over the mean.
     """
     codes = trend_codes() if codes is None else codes
     weeks = trends.select(F.col("distributor_code").alias("_code"), "week_start", "qty_depleted")
-    rows = health.select(F.struct(*health.columns).alias("_row"), F.explode_outer(codes).alias("_code"))
-    series_of = rows.join(weeks, "_code", "left").groupBy("_row", "week_start").agg(
-        F.sum("qty_depleted").alias("qty_depleted")
+    whole = F.struct(*health.columns).alias("_row")
+    rows = health.select(F.col("distributor_code").alias("_key"), whole, F.explode_outer(codes).alias("_code"))
+    series_of = rows.join(weeks, "_code", "left").groupBy("_key", "week_start").agg(
+        F.sum("qty_depleted").alias("qty_depleted"), F.first("_row").alias("_row")
     )
     # A code without a series adds no week; a row without any keeps one empty week.
-    any_week = F.max("week_start").over(Window.partitionBy("_row"))
+    any_week = F.max("week_start").over(Window.partitionBy("_key"))
     series_of = series_of.withColumn("_any", any_week).filter("week_start IS NOT NULL OR _any IS NULL").drop("_any")
-    joined = series_stats(series_of, "week_start", "qty_depleted", ["_row"]).select("_row.*", "*").drop("_row")
+    joined = series_stats(series_of, "week_start", "qty_depleted", ["_key"], ["_row"]).select("_row.*", "*")
+    joined = joined.drop("_row", "_key")
 
     seen = F.col("n") >= 4
     base = F.when(F.col("n") >= 8, F.col("first4")).otherwise(F.col("last4"))

@@ -166,7 +166,9 @@ def emerging_phrases(
     dictionary (column ``phrase``); ratio (recent + 1) / (prior + 1)."""
     day = F.col("harvested_at").cast("date")
     window = texts.filter((day > F.lit(days_before(as_of, 2 * days))) & (day <= F.lit(as_of)))
-    dated = window.withColumn("recent", day > F.lit(days_before(as_of, days)))
+    # Each text becomes thousands of phrases: texts are dealt out by their address first,
+    # so that neither the files' splits nor copies of a text decide who does that work.
+    dated = window.withColumn("recent", day > F.lit(days_before(as_of, days))).repartition("url")
     counted = phrase_rows(dated, "snippet", "recent").groupBy("ngram").agg(
         F.count_if("recent").alias("f_recent"), F.count_if(~F.col("recent")).alias("f_prior")
     )
