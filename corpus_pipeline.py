@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, folder) and returns a DataFrame; it is written as
 Parquet and read again as the next stage's ``docs``. All but the last return the
-columns of ``documents``; the last returns a row per document with the words of it
-that the mix takes.
+columns of ``documents``; the last writes the mix to the shared folder and returns a
+row per document with the number and a hash of the words of it that the mix holds.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """How often the mix takes the words of each document."""
+    """What the written mix holds of each document: ``taken`` words, and their hash."""
     return mixing.mixture(docs)
 
 

@@ -183,7 +183,7 @@ def _prepared(docs, block_words, shard_slots, chunk_rows, seed, identity, text,
     blocks = F.ceil(F.col("source_size") / block_words)
     quota = F.least(blocks * MOST, F.round(F.col("target") / F.col("source_size") * blocks).cast("long"))
     plan = [tuple(r) for r in sources.where("source_size > 0").select("number", blocks.alias("blocks"), quota.alias("quota")).orderBy("number").collect()]
-    return rows, sources, slots(docs.sparkSession, plan, shard_slots, seed)
+    return materialise(rows, "rows"), sources, slots(docs.sparkSession, plan, shard_slots, seed)
 
 
 def _pieces(rows: DataFrame, block_words: int) -> DataFrame:
@@ -195,6 +195,32 @@ def _pieces(rows: DataFrame, block_words: int) -> DataFrame:
     return spread.select("*", (low - first).alias("skip"), (high - low).alias("words"), (low - F.col("block") * block_words).alias("offset"))
 
 
+def _text_key(identity: str) -> list[Column]:
+    return [F.coalesce(F.col(identity).cast("string"), F.lit("")).alias("key"), F.col(identity).isNull().alias("nameless")]
+
+
+def _blocks(docs: DataFrame, rows: DataFrame, mix: DataFrame, block_words: int, identity: str, text: str) -> DataFrame:
+    """A row per slot of ``mix``, with the ``parts`` and the ``text`` of its block."""
+    key = ["key", "nameless", "text_hash"]
+    # Rows with equal ids and texts share one text; whole texts are cut only after this join.
+    texts = docs.select(*_text_key(identity), _text_hash(text), F.col(text).alias("t")).dropDuplicates(key)
+    worded = rows.where("size > 0").select("*", *_text_key("id")).hint("merge").join(texts, key).withColumn("w", words_of(F.col("t")))
+    cut = F.array_join(F.slice("w", F.col("skip").cast("int") + 1, F.col("words").cast("int")), " ")
+    packed = (
+        _pieces(worded.select("number", "at", "id", "size", "w"), block_words)
+        .select("number", "block", F.struct("offset", "at", "id", "skip", "words", cut.alias("t")).alias("part"))
+        .groupBy("number", "block")
+        .agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    )
+    return mix.hint("merge").join(packed, ["number", "block"]).select(
+        "shard",
+        "number",
+        "block",
+        F.transform("parts", lambda p: F.struct(*(p[x].alias(x) for x in ("id", "at", "skip", "words", "offset")))).alias("parts"),
+        F.array_join(F.transform("parts", lambda p: p["t"]), " ").alias("text"),
+    )
+
+
 def mixture(
     docs: DataFrame,
     block_words: int = BLOCK_WORDS,
@@ -206,21 +232,26 @@ def mixture(
     source: str = "source",
 ) -> DataFrame:
     """One row per document row: its id, ``size``, ``source_size``, ``target`` of its
-    source and ``taken``, the words of it that the mix holds, repeats counted."""
+    source, ``taken``, the words of it that the mix holds, repeats counted, and
+    ``taken_hash``, a sum of hashes of these words as they stand in the mix.
+
+    The mix is written to the shared folder, parts and texts; ``taken`` and
+    ``taken_hash`` are read from it. ``number`` and ``at`` tell rows apart."""
     rows, sources, mix = _prepared(docs, block_words, shard_slots, chunk_rows, seed, identity, text, source)
-    times = mix.groupBy("number", "block").agg(F.count("*").alias("times"))
-    taken = (
-        _pieces(rows, block_words)
-        .hint("merge")
-        .join(times, ["number", "block"], "left")
-        .groupBy("number", "at", "id", "size")
-        .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
+    written = materialise(_blocks(docs, rows, mix, block_words, identity, text), "mix")
+    part = written.select("number", words_of(F.col("text")).alias("w"), F.explode("parts").alias("part")).select(
+        "number", "part.at", "part.skip", "part.words", F.slice("w", F.col("part.offset").cast("int") + 1, F.col("part.words").cast("int")).alias("own")
     )
-    empty = rows.where("size = 0").select("number", "at", "id", "size", F.lit(0).cast("long").alias("taken"))
+    # 40 bits of each hash, so that the sum stays a long.
+    hashed = F.shiftrightunsigned(F.xxhash64("skip", F.array_join("own", " ")), 24)
+    taken = part.groupBy("number", "at").agg(F.sum("words").alias("taken"), F.sum(hashed).alias("taken_hash"))
+    none = F.lit(0).cast("long")
+    counted = rows.where("size > 0").hint("merge").join(taken, ["number", "at"], "left").select("number", "id", "size", "taken", "taken_hash")
+    empty = rows.where("size = 0").select("number", "id", "size", none.alias("taken"), none.alias("taken_hash"))
     return (
-        taken.unionByName(empty)
+        counted.unionByName(empty)
         .join(_small(sources, sources.count()), "number")
-        .select(F.col("id").alias(identity), "size", "source_size", "target", "taken")
+        .select(F.col("id").alias(identity), "size", "source_size", "target", F.coalesce("taken", none).alias("taken"), F.coalesce("taken_hash", none).alias("taken_hash"))
     )
 
 
@@ -235,21 +266,7 @@ def mixed_blocks(
     source: str = "source",
 ) -> DataFrame:
     """The mix itself, a row per slot: ``shard``, ``number`` of the source, ``block``,
-    ``parts`` (id, words skipped, words taken, in stream order) and ``text``."""
+    ``parts`` (id, ``at``, the row's place in the stream, words skipped, words taken,
+    their offset in the text) in stream order, and ``text``."""
     rows, _, mix = _prepared(docs, block_words, shard_slots, chunk_rows, seed, identity, text, source)
-    texts = docs.select(F.col(identity).alias("doc"), _text_hash(text).alias("doc_hash"), words_of(F.col(text)).alias("w"))
-    packed = (
-        _pieces(rows, block_words)
-        .hint("merge")
-        .join(texts.dropDuplicates(["doc", "doc_hash"]), F.col("id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("doc_hash")))
-        .select("number", "block", "offset", F.struct("offset", "id", "skip", "words", F.array_join(F.slice("w", F.col("skip").cast("int") + 1, F.col("words").cast("int")), " ").alias("t")).alias("part"))
-        .groupBy("number", "block")
-        .agg(F.sort_array(F.collect_list("part")).alias("parts"))
-    )
-    return mix.hint("merge").join(packed, ["number", "block"]).select(
-        "shard",
-        "number",
-        "block",
-        F.transform("parts", lambda p: F.struct(p["id"].alias("id"), p["skip"].alias("skip"), p["words"].alias("words"))).alias("parts"),
-        F.array_join(F.transform("parts", lambda p: p["t"]), " ").alias("text"),
-    )
+    return _blocks(docs, rows, mix, block_words, identity, text)

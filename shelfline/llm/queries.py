@@ -147,7 +147,8 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_source_mixing")
 def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mixture(table(spark, folder, "documents"))
+    mixed = mixing.mixture(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 @query("op1_nearest_neighbours")

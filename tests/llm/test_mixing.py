@@ -78,6 +78,34 @@ def test_mixed_blocks_hold_the_words(spark, corpus):
     assert +taken == +want
 
 
+def test_the_mixture_is_read_from_written_blocks(spark, corpus, monkeypatch):
+    written, write = {}, m.materialise
+    monkeypatch.setattr(m, "materialise", lambda df, name: written.setdefault(name, write(df, name)))
+    rows = [(7, "b " * 40, "x"), (7, "c " * 40, "x"), (7, "c " * 40, "x"), (None, "d " * 40, "x"), (None, "e " * 50, "y"), (8, None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").unionByName(corpus.select("doc_id", "text", "source"))
+    got = m.mixture(docs, block_words=16, shard_slots=64, chunk_rows=50).collect()
+    parts = written["mix"].select("text", "parts").collect()
+    held = Counter()
+    for r in parts:
+        words = r["text"].split()
+        assert sum(p["words"] for p in r["parts"]) == len(words)
+        for p in r["parts"]:
+            held[p["id"]] += len(words[p["offset"] : p["offset"] + p["words"]])
+    taken = Counter()
+    for r in got:
+        taken[r["doc_id"]] += r["taken"]
+        assert 0 <= r["taken"] <= 3 * r["size"] and (r["taken"] > 0) == (r["taken_hash"] > 0)
+    assert +held == +taken and len(got) == docs.count()
+
+
+def test_the_mixture_shows_its_words(spark, corpus):
+    kwargs = {"block_words": 16, "shard_slots": 64, "chunk_rows": 50}
+    masked = corpus.withColumn("text", m.F.expr("if(doc_id = 902, repeat('v ', 5000), text)"))
+    one, two = ({r["doc_id"]: r for r in m.mixture(d.where("doc_id <> 5"), **kwargs).collect()} for d in (corpus, masked))
+    assert {i for i in one if one[i]["taken_hash"] != two[i]["taken_hash"]} == {902}
+    assert all(one[i]["taken"] == two[i]["taken"] for i in one)
+
+
 def test_empty_tables(spark):
     assert m.mixture(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     blank = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
