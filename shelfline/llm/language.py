@@ -6,10 +6,11 @@ products of their probabilities, which a forward pass over the word gives. Texts
 scored by the sum of the logarithms over their words.
 
 Piece probabilities come from a few rounds of expectation maximisation on word counts
-per language, gathered from a bounded sample of the learnable documents (``TRAIN_DOCS``
-expected documents, chosen by a hash of the id). The model has one number per language
-and piece. Scoring covers every whole text; each task scores a distinct word once while
-it remembers it.
+per language, gathered from a bounded sample of the learnable documents: of each
+language ``TRAIN_DOCS`` expected documents, chosen by a hash of the id, and one at
+least, so that a rare language is learned beside any number of documents of others. The
+model has one number per language and piece. Scoring covers every whole text; each task
+scores a distinct word once while it remembers it.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; runs
 longer than ``LONGEST`` letters are scored in consecutive parts; without learnable
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from shelfline.sources.storage import materialise
 
 VOCABULARY = "piece_bpe_32k.model"
+#: Expected documents to learn from, of each language.
 TRAIN_DOCS = 8_000
 ROUNDS = 2
 START = "▁"
@@ -41,6 +43,10 @@ SMOOTH, UNKNOWN = 0.05, 1e-7
 #: Distinct words a task remembers; characters of texts whose new words are scored together.
 MEMO, RUN = 400_000, 4_000_000
 LETTERS = re.compile(r"[^\W\d_]+")
+#: The same for Spark: a text with a letter.
+LETTER = r"[\p{L}\p{Nl}\p{No}]"
+#: Slots that ids are hashed to, of which a language's sample takes a share.
+SLOTS = 1 << 30
 UNDETERMINED = "und"
 
 
@@ -206,9 +212,12 @@ def train(docs: DataFrame, vocabulary_path: str | None = None, train_docs: int =
     pieces = vocabulary(vocabulary_path)
     usable = docs.select(F.col(identity).alias("id"), F.col(text).alias("t"), F.col(language).cast("string").alias("lang"))
     usable = usable.where(F.col("id").isNotNull() & F.col("t").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
-    slots = 1 << 30
-    share = min(1.0, train_docs / max(usable.select("id").count(), 1))
-    sample = usable.where(F.pmod(F.xxhash64("id"), F.lit(slots)) < int(share * slots))
+    usable = usable.where(F.col("t").rlike(LETTER)).withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(SLOTS)))
+    # A row per language; the document with the smallest slot is always in the sample.
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min("slot").alias("least")).collect()
+    below = [(r["lang"], max(int(min(1.0, train_docs / r["n"]) * SLOTS), r["least"] + 1)) for r in sizes]
+    shares = F.broadcast(docs.sparkSession.createDataFrame(below, "lang string, below long"))
+    sample = usable.join(shares, "lang").where("slot < below")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -79,6 +79,18 @@ def test_identify(spark, docs):
             assert r["lang_pred"] == {300: "und", 301: "und", 302: "de", 303: "und"}[i]
 
 
+@pytest.mark.parametrize("train_docs", [1, 50])
+def test_rare_languages_are_learned(spark, train_docs):
+    words = {"en": "the of and with thing", "de": "der und nicht schön über", "fi": "joka mutta hyvää päivää kiitos"}
+    rare = [i for i in range(5000, 5040) if zlib.crc32(str(i).encode()) % 5][:6]
+    rows = [(i, words["en"], "en") for i in range(4000)] + [(i, words[n], n) for k, n in enumerate(("de", "fi")) for i in rare[3 * k : 3 * k + 3]]
+    rows += [(i, "12 !", "fi") for i in range(6000, 6500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    assert g.train(docs, train_docs=train_docs)[0] == ["de", "en", "fi"]
+    got = {r["doc_id"]: r["lang_pred"] for r in g.identify(docs, train_docs=train_docs).where("doc_id between 5000 and 5999").collect()}
+    assert got == {i: n for i, _, n in rows if 5000 <= i < 6000}
+
+
 def test_nothing_to_learn_from(spark, docs):
     bare = docs.limit(5).selectExpr("doc_id", "text", "cast(null as string) as lang")
     assert {r["lang_pred"] for r in g.identify(bare).collect()} == {"und"}
