@@ -9,7 +9,10 @@ every shard in blocks; the shards' results are merged by score.
 
 Nearness is the inner product. For the graph, vectors get one more component that
 makes all lengths equal, which turns the largest inner product into the nearest
-neighbour. Scores are computed anew in double precision on the original vectors.
+neighbour. Nodes are linked by squared distances, in double precision and from
+differences, so that a long vector does not swamp those among the others; queries go by
+the inner product, and start from the longest vectors too, which few others link to.
+Scores are computed on the original vectors.
 
 Copies of a vector are one node; each distinct vector keeps its ``k + 1`` smallest ids,
 which is all that ``k`` neighbours can need, so copies are found exactly.
@@ -36,15 +39,15 @@ LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16, 64, 200
 #: Nodes inserted, and queries searched, at once.
 BATCH, TOGETHER = 256, 512
 SEED = 7
+#: The nearness of what is too far for a double; lengths that need scaling down.
+FAR, LONG = -np.finfo(np.float64).max, 2.0**500
 
 
 class Graph:
     """The graph of one shard in flat arrays."""
 
     def __init__(self, vectors: np.ndarray):
-        lengths = (vectors.astype(np.float64) ** 2).sum(axis=1)
-        rest = np.sqrt(np.maximum(lengths.max(initial=0) - lengths, 0))
-        self.space = np.concatenate((vectors, rest[:, None]), axis=1, dtype=np.float32)
+        self.space = self.lengthened(vectors)
         n = len(vectors)
         rng = np.random.default_rng(SEED)
         draws = -np.log(1 - rng.random(n)) / np.log(LINKS)
@@ -56,6 +59,17 @@ class Graph:
             row[nodes] = np.arange(len(nodes))
         self.links = [np.full((len(nodes), LINKS * (1 if l else 2)), -1, np.int32) for l, nodes in enumerate(self.nodes)]
 
+    @staticmethod
+    def lengthened(vectors: np.ndarray) -> np.ndarray:
+        """The vectors with the component that makes their lengths equal."""
+        space = vectors.astype(np.float64)
+        largest = np.abs(space).max(initial=0)
+        if largest > LONG:
+            space = space * 2.0 ** -np.ceil(np.log2(largest / LONG))
+        lengths = (space**2).sum(axis=1)
+        rest = np.sqrt(np.maximum(lengths.max(initial=0) - lengths, 0))
+        return np.concatenate((space, rest[:, None]), axis=1)
+
     @classmethod
     def stored(cls, space: np.ndarray, nodes: list[np.ndarray], links: list[np.ndarray]) -> Graph:
         graph = cls.__new__(cls)
@@ -71,18 +85,27 @@ class Graph:
     def entry(self) -> int:
         return int(self.nodes[-1][0])
 
-    def beam(self, level: int, points: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def nearness(self, ids: np.ndarray, points: np.ndarray, product: bool = False) -> np.ndarray:
+        """Of each line's nodes to its point: the inner product, or else the negative
+        squared distance, from differences."""
+        vectors = self.space[ids]
+        if product:
+            return np.einsum("bkd,bd->bk", vectors, points)
+        vectors -= points[:, None]
+        return np.maximum(-np.einsum("bkd,bkd->bk", vectors, vectors), FAR)
+
+    def beam(self, level: int, points: np.ndarray, start: np.ndarray, width: int, product: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Best-first search of one level for many points in step: ids (-1 padded) and
-        similarities of the ``width`` nearest found, nearest first. ``start``: ids."""
+        nearness of the ``width`` nearest found, nearest first. ``start``: ids."""
         n, links, row = len(points), self.links[level], self.row[level]
         ids = np.full((n, width), -1, np.int32)
-        near = np.full((n, width), -np.inf, np.float32)
+        near = np.full((n, width), -np.inf)
         done = np.zeros((n, width), bool)
         seen = np.zeros((n, len(self.space)), bool)
         first = min(width, start.shape[1])
         begin = start[:, :first]
         ids[:, :first] = begin
-        near[:, :first] = np.where(begin >= 0, np.einsum("bkd,bd->bk", self.space[begin], points), -np.inf)
+        near[:, :first] = np.where(begin >= 0, self.nearness(begin, points, product), -np.inf)
         lines, places = np.nonzero(begin >= 0)
         seen[lines, begin[lines, places]] = True
         order = np.argsort(-near, axis=1, kind="stable")
@@ -100,7 +123,7 @@ class Graph:
             new = (found >= 0) & ~seen[active[:, None], found]
             lines, places = np.nonzero(new)
             seen[active[lines], found[lines, places]] = True
-            score = np.where(new, np.einsum("bkd,bd->bk", self.space[found], points[active]), -np.inf)
+            score = np.where(new, self.nearness(found, points[active], product), -np.inf)
             all_near = np.concatenate((near[active], score), axis=1)
             all_ids = np.concatenate((ids[active], np.where(new, found, -1)), axis=1)
             all_done = np.concatenate((done[active], ~new), axis=1)
@@ -113,10 +136,12 @@ class Graph:
         nearer to the point than to any chosen one, then the nearest of the others."""
         order = np.argsort(-near, axis=1, kind="stable")
         ids, near = np.take_along_axis(ids, order, 1), np.take_along_axis(near, order, 1)
-        vectors = self.space[ids]
-        between = vectors @ vectors.transpose(0, 2, 1)
+        # Seen from the nearest candidate, squared lengths are as small as the distances.
+        vectors = self.space[ids] - self.space[ids[:, :1]]
+        squared = np.einsum("bkd,bkd->bk", vectors, vectors)
+        between = 2 * (vectors @ vectors.transpose(0, 2, 1)) - squared[:, :, None] - squared[:, None, :]
         chosen = np.zeros(ids.shape, bool)
-        closest = np.full(near.shape, -np.inf, np.float32)
+        closest = np.full(near.shape, -np.inf)
         count = np.zeros(len(ids), np.int64)
         for j in range(ids.shape[1]):
             take = (ids[:, j] >= 0) & (count < most) & (near[:, j] > closest[:, j])
@@ -138,12 +163,12 @@ class Graph:
         place = np.arange(len(target)) - np.repeat(first, many)
         more = np.full((len(who), int(many.max(initial=0))), -1, np.int32)
         more[np.repeat(np.arange(len(who)), many), place] = source
-        step = max(8, 2_000_000 // (links.shape[1] + more.shape[1]) ** 2)
+        step = max(8, 1_000_000 // (links.shape[1] + more.shape[1]) ** 2)
         for a in range(0, len(who), step):
             some = slice(a, a + step)
             both = np.concatenate((links[row[who[some]]], more[some]), axis=1)
             both[(both[:, :, None] == both[:, None, :]).argmax(axis=2) < np.arange(both.shape[1])] = -1
-            near = np.where(both >= 0, np.einsum("bkd,bd->bk", self.space[both], self.space[who[some]]), -np.inf).astype(np.float32)
+            near = np.where(both >= 0, self.nearness(both, self.space[who[some]]), -np.inf)
             links[row[who[some]]] = self.choose(both, near, links.shape[1])
 
     def build(self) -> Graph:
@@ -162,7 +187,7 @@ class Graph:
                 ids, near = self.beam(level, points, start, BUILD_WIDTH if here.any() else 4)
                 if here.any():
                     mates = own[here]
-                    among = points[here] @ points[here].T
+                    among = np.concatenate([self.nearness(mates[None, :], self.space[[mate]]) for mate in mates])
                     np.fill_diagonal(among, -np.inf)
                     pool = np.concatenate((ids[here], np.where(np.isfinite(among), mates[None, :], -1)), axis=1)
                     score = np.concatenate((near[here], among), axis=1)
@@ -173,14 +198,18 @@ class Graph:
 
     def search(self, queries: np.ndarray, k: int, width: int) -> np.ndarray:
         """Ids of about the ``k`` nearest of each query, -1 padded."""
-        points = np.concatenate((queries, np.zeros((len(queries), 1))), axis=1, dtype=np.float32)
+        # Only the order of a query's products counts, not its length.
+        scale = np.maximum(np.abs(queries).max(axis=1, initial=0), np.finfo(np.float64).tiny)
+        points = np.concatenate((queries / scale[:, None], np.zeros((len(queries), 1))), axis=1)
+        longest = np.argsort(self.space[:, -1], kind="stable")[:LINKS].astype(np.int32)
         out = np.full((len(points), k), -1, np.int32)
         for a in range(0, len(points), TOGETHER):
             some = points[a : a + TOGETHER]
             start = np.full((len(some), 1), self.entry, np.int32)
             for level in range(len(self.nodes) - 1, 0, -1):
-                start = self.beam(level, some, start, 4)[0]
-            found = self.beam(0, some, start, max(width, k))[0][:, :k]
+                start = self.beam(level, some, start, 4, True)[0]
+            more = np.where((start[:, :, None] == longest).any(axis=1), -1, longest)
+            found = self.beam(0, some, np.concatenate((start, more), axis=1), max(width, k), True)[0][:, :k]
             out[a : a + TOGETHER, : found.shape[1]] = found
         return out
 
@@ -231,7 +260,7 @@ def _loaded(row: pd.Series, dtype: str) -> tuple[np.ndarray, np.ndarray, Graph]:
     vectors = np.frombuffer(row["vectors"], dtype).reshape(-1, size)
     nodes = [np.frombuffer(x, np.int32) for x in row["level_nodes"]]
     links = [np.frombuffer(x, np.int32).reshape(-1, LINKS * (1 if l else 2)) for l, x in enumerate(row["level_links"])]
-    return node, vectors, Graph.stored(Graph(vectors).space, nodes, links)
+    return node, vectors, Graph.stored(Graph.lengthened(vectors), nodes, links)
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int, width: int = SEARCH_WIDTH, query_rows: int = QUERY_ROWS, dtype: str = "float32") -> DataFrame:

@@ -44,6 +44,22 @@ def test_recall_and_order(spark, unequal):
     assert all(v == sorted(v, key=lambda p: (-p[1], p[0])) for v in got.values())
 
 
+@pytest.mark.parametrize("length", [1e3, 1e6, 1e18])
+def test_one_long_vector(length):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[1234] *= length
+    x = x.astype(np.float32)
+    graph = a.Graph(x).build()
+    asked = np.delete(x, 1234, axis=0)[::20].astype(float)
+    found = graph.search(asked, 20, 100)
+    want = np.argsort(-(asked @ x.astype(float).T), axis=1, kind="stable")[:, :20]
+    hits = [len(set(f) & set(w)) / 20 for f, w in zip(found.tolist(), want.tolist(), strict=True)]
+    assert np.mean(hits) > 0.95
+    assert all((1234 in f) == (1234 in w) for f, w in zip(found.tolist(), want.tolist(), strict=True))
+
+
 def test_copies_are_exact(spark):
     r = np.random.default_rng(2)
     one, two = r.normal(size=8).astype(np.float32), r.normal(size=8).astype(np.float32)
