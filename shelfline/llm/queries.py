@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import ann, decontaminate, language, mixing, quality_gam, secret_scan, simhash, token_counts, url_lists, warc_zip
+from shelfline.llm import ann, decontaminate, language, mixing, ngram_join, quality_gam, secret_scan, simhash, token_counts, url_lists, warc_zip
 from shelfline.llm.common import table
 from shelfline.sources.storage import scratch_path
 
@@ -241,3 +241,37 @@ def op9_url_lists(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_language")
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
+
+
+@query(
+    "op11_ngram_join",
+    sql=r"""
+    WITH RECURSIVE split AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ),
+    gram AS (
+        SELECT DISTINCT doc_id, len(w[i:i + 4]) AS width, array_to_string(w[i:i + 4], ' ') AS gram
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM split WHERE len(w) > 0)
+    ),
+    total AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+    shared AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS overlap
+        FROM gram a JOIN gram b USING (width, gram) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+    ),
+    link AS (
+        SELECT a, b FROM shared JOIN total x ON x.doc_id = a JOIN total y ON y.doc_id = b
+        WHERE 100 * overlap >= 80 * (x.n + y.n - overlap)
+    ),
+    reach(doc_id, other) AS (
+        SELECT doc_id, doc_id FROM documents
+        UNION SELECT link.b, reach.other FROM reach JOIN link ON reach.doc_id = link.a
+    ),
+    least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+    SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+    FROM documents JOIN least USING (doc_id) LEFT JOIN total USING (doc_id)
+    """,
+)
+def op11_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = ngram_join.similarity_classes(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
