@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import ann, decontaminate, language, mixing, ngram_join, quality_gam, secret_scan, simhash, token_counts, url_lists, warc_zip, whitening
+from shelfline.llm import ann, decontaminate, language, mixing, ngram_join, quality_gam, secret_scan, simhash, token_alignment, token_counts, url_lists, warc_zip, whitening
 from shelfline.llm.common import table
 from shelfline.sources.storage import scratch_path
 
@@ -277,6 +277,11 @@ def op11_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.token_alignment(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query("op13_whitening")
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     white = whitening.whiten(table(spark, folder, "embeddings"))
