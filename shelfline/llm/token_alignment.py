@@ -2,16 +2,17 @@
 
 Both tokenizers cut the bytes of a space and the text. Their token ends, A's and B's,
 are two sorted lists; walking their merge meets every overlap of an A and a B token,
-and an end that both share closes a group. The merge of a run of documents is one path
-whatever the documents' lengths: diagonals at equal steps of work are searched for the
-point where the path crosses them, and each piece between two of them is walked on its
-own. A piece emits the overlaps that start in it and the shared ends; groups are
-stitched from the shared ends of all pieces, as a group may span several.
+and an end that both share closes a group. The merge of all tokens of a run of texts is
+one path, whatever the lengths of the texts: diagonals at equal steps of work are
+searched for the point where the path crosses them, and each piece between two of them
+is walked on its own. A piece emits the overlaps that end in it and the shared ends;
+groups are stitched from the shared ends of all pieces, as a group may span several.
 
-Texts are encoded in chunks that start at a space after a character that is no white
+Texts are encoded and aligned in chunks that start at a space after a character that is no white
 space. No token of either vocabulary has a space after such a character, so none
 crosses such a cut (checked when the vocabularies are loaded; without that property
-texts are encoded whole). Chunks met before are remembered.
+texts are encoded whole). A chunk met before is not aligned again: a document's groups
+are those of its chunks in turn.
 
 How often two ids are linked is summed over the whole corpus, per document before any
 shuffle; the counts are joined back by broadcast while their number is below
@@ -42,9 +43,9 @@ from shelfline.sources.storage import materialise
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of texts whose merge is one path, ends that one piece of it merges, and chunks remembered.
-RUN_BYTES, PIECE, MEMO = 1 << 20, 16_384, 300_000
-#: Longest chunk that is remembered, and chunks per call of the libraries.
-MEMO_CHUNK, CALL = 64, 1000
+RUN_BYTES, PIECE, MEMO = 4 << 20, 16_384, 500_000
+#: Characters of chunks remembered, and chunks per call of the libraries.
+MEMO_BYTES, CALL = 16 << 20, 1000
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
 #: Linked id pairs that may be broadcast, 16 bytes each.
 BROADCAST_PAIRS = 2_000_000
@@ -86,7 +87,6 @@ class Tokenizers:
         self.size_a = np.array([len(t) for t in self.bytes_a])
         self.size_b = np.array([len(t) for t in self.bytes_b])
         self.cuttable = not any(CUT.search(t.decode("utf-8", "replace")) for t in chain(self.bytes_a, self.bytes_b))
-        self.memo: dict[str, tuple[list[int], list[int], bool]] = {}
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -94,18 +94,22 @@ class Tokenizers:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
-    def _encode(self, chunks: list[str]) -> Iterator[tuple[list[int], list[int], bool]]:
-        """Ids of chunks (their first space left out), and whether both give the bytes back."""
-        spaced = [" " + c for c in chunks]
-        all_a = self.a.encode_batch_fast(spaced, add_special_tokens=False)
-        for chunk, whole, a, b in zip(chunks, spaced, all_a, self.b.encode(chunks, num_threads=1), strict=True):
-            a = a.ids
-            if not chunk:  # the library adds its space to a text that has something in it only
-                b = [self.b.piece_to_id("▁")]
-            plain = whole.encode()
-            yield a, b, b"".join([self.bytes_a[i] for i in a]) == plain and b"".join([self.bytes_b[i] for i in b]) == plain
-
-    def _chunks(self, text: str) -> list[str]:
+    def encode(self, chunks: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+        """Ids of chunks (their first space left out); none where bytes are not given back."""
+        for at in range(0, len(chunks), CALL):
+            call = chunks[at : at + CALL]
+            spaced = [" " + c for c in call]
+            all_a = self.a.encode_batch_fast(spaced, add_special_tokens=False)
+            for chunk, whole, a, b in zip(call, spaced, all_a, self.b.encode(call, num_threads=1), strict=True):
+                a = a.ids
+                if not chunk:  # the library adds its space to a text that has something in it only
+                    b = [self.b.piece_to_id("▁")]
+                plain = whole.encode()
+                same = b"".join([self.bytes_a[i] for i in a]) == plain and b"".join([self.bytes_b[i] for i in b]) == plain
+                yield (a, b) if same else ([], [])
+
+    def chunks(self, text: str) -> list[str]:
+        """The chunks of a text, each without the space it starts with."""
         if not text:
             return []
         if not self.cuttable:
@@ -113,28 +117,6 @@ class Tokenizers:
         # the space that is put before the text is the first chunk's, so it is no place to cut
         return CUT.split(text) if UNCUT.search(" " + text) else text.split(" ")
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """A's and B's ids of each text; none where a tokenizer does not give the bytes back."""
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        split = [self._chunks(t) for t in texts]
-        new = list({c for chunks in split for c in chunks if c not in memo})
-        for at in range(0, len(new), CALL):
-            call = new[at : at + CALL]
-            memo.update(zip(call, self._encode(call), strict=True))
-        out = []
-        for chunks in split:
-            found = list(map(memo.__getitem__, chunks))
-            if all([same for _, _, same in found]):
-                out.append((list(chain.from_iterable([a for a, _, _ in found])), list(chain.from_iterable([b for _, b, _ in found]))))
-            else:
-                out.append(([], []))
-        for chunk in new:
-            if len(chunk) > MEMO_CHUNK:
-                del memo[chunk]
-        return out
-
 
 # --- merge path ---------------------------------------------------------------
 
@@ -188,41 +170,80 @@ def align(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*pieces, strict=True))
 
 
-def _digest(ids_a: list[int], ids_b: list[int], cuts: list[tuple[int, int]]) -> str:
-    """SHA-256 of the groups as ``a1,a2|b1;a3|b2,b3``."""
-    if not cuts:
-        return ""
-    a, b = list(map(str, ids_a)), list(map(str, ids_b))
-    groups, i, j = [], 0, 0
-    for x, y in cuts:
-        groups.append(",".join(a[i:x]) + "|" + ",".join(b[j:y]))
-        i, j = x, y
-    return hashlib.sha256(";".join(groups).encode()).hexdigest()
-
-
-def _documents(run: list[bytes], tokenizers: Tokenizers, piece: int) -> Iterator[dict]:
-    encoded = tokenizers.encode([t.decode("utf-8", "replace") for t in run])
-    ids_a = np.array([i for a, _ in encoded for i in a], np.int64)
-    ids_b = np.array([i for _, b in encoded for i in b], np.int64)
-    # documents follow each other on one path; the end of each is an end of both lists
-    links_a, links_b, ends, both = align(np.cumsum(tokenizers.size_a[ids_a]), np.cumsum(tokenizers.size_b[ids_b]), piece)
-    last_a = np.cumsum([len(a) for a, _ in encoded])
-    last_b = np.cumsum([len(b) for _, b in encoded])
-    overlap = np.searchsorted(links_a, last_a)  # overlaps come in the order of their A tokens
-    for k, (a, b) in enumerate(encoded):
-        lo, hi = (overlap[k - 1] if k else 0), overlap[k]
-        base_a, base_b = (last_a[k - 1], last_b[k - 1]) if k else (0, 0)
-        together = both[lo:hi]
-        x, y, e = links_a[lo:hi] - base_a, links_b[lo:hi] - base_b, ends[lo:hi]
-        yield {"a": a, "b": b, "overlap_a": x, "overlap_b": y, "overlap_end": e, "together": together}
-
-
-def _pairs(document: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct linked id pairs of a document, as b's id * 2^32 + a's, and how often each is linked."""
-    t = document["together"]
-    a = np.array(document["a"], np.int64)[document["overlap_a"][t]]
-    b = np.array(document["b"], np.int64)[document["overlap_b"][t]]
-    return np.unique((b << 32) + a, return_counts=True)
+class Alignment:
+    """Units of tokens that follow each other on one merge path. The end of each unit is
+    an end of both lists, so groups and overlaps never span two units. ``units``: ids of
+    A and B, of the same bytes."""
+
+    def __init__(self, units: list[tuple[list[int], list[int]]], tokenizers: Tokenizers, piece: int):
+        self.ids_a = np.fromiter(chain.from_iterable([a for a, _ in units]), np.int64)
+        self.ids_b = np.fromiter(chain.from_iterable([b for _, b in units]), np.int64)
+        self.last_a = np.cumsum([len(a) for a, _ in units], dtype=np.int64)
+        self.last_b = np.cumsum([len(b) for _, b in units], dtype=np.int64)
+        self.a, self.b, _, self.both = align(np.cumsum(tokenizers.size_a[self.ids_a]), np.cumsum(tokenizers.size_b[self.ids_b]), piece)
+        # stitching: a group runs from one shared end to the next, whichever pieces found them
+        self.group_a, self.group_b = self.a[self.both] + 1, self.b[self.both] + 1
+        self.pairs = (self.ids_b[self.b[self.both]] << 32) + self.ids_a[self.a[self.both]]
+        self.groups = np.searchsorted(self.group_a, self.last_a, side="right")  # groups up to the end of each unit
+
+    def texts(self) -> list[str]:
+        """The groups of each unit as ``a1,a2|b1;a3|b2,b3``."""
+        a, b = list(map(str, self.ids_a.tolist())), list(map(str, self.ids_b.tolist()))
+        groups, i, j = [], 0, 0
+        for x, y in zip(self.group_a.tolist(), self.group_b.tolist(), strict=True):
+            groups.append(",".join(a[i:x]) + "|" + ",".join(b[j:y]))
+            i, j = x, y
+        ends = self.groups.tolist()
+        return [";".join(groups[x:y]) for x, y in zip([0, *ends], ends, strict=False)]
+
+
+class ChunkTable:
+    """The alignment of every distinct chunk a task has met, by number."""
+
+    def __init__(self, tokenizers: Tokenizers, piece: int):
+        self.tokenizers, self.piece = tokenizers, piece
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.text: list[str] = []
+        self.sizes = np.empty((0, 3), np.int64)  # tokens of A, tokens of B, groups
+        self.starts = np.zeros(1, np.int64)
+        self.pairs = np.empty(0, np.int64)
+        self.held = 0
+
+    def _add(self, chunks: list[str]) -> None:
+        units = list(self.tokenizers.encode(chunks))
+        found = Alignment(units, self.tokenizers, self.piece)
+        self.number.update(zip(chunks, range(len(self.text), len(self.text) + len(chunks)), strict=True))
+        self.text += found.texts()
+        sizes = np.stack([np.diff(x, prepend=0) for x in (found.last_a, found.last_b, found.groups)], axis=1)
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.starts = np.concatenate((self.starts, self.starts[-1] + found.groups))
+        self.pairs = np.concatenate((self.pairs, found.pairs))
+        self.held += sum(map(len, chunks))
+
+    def documents(self, texts: list[str]) -> Iterator[tuple]:
+        """Of each text: ``NUMBERS``, the digest, its distinct pairs and their counts."""
+        if len(self.text) > MEMO or self.held > MEMO_BYTES:
+            self._clear()
+        split = [self.tokenizers.chunks(t) for t in texts]
+        new = list({c for chunks in split for c in chunks if c not in self.number})
+        if new:
+            self._add(new)
+        for chunks in split:
+            numbers = list(map(self.number.__getitem__, chunks))
+            sizes = self.sizes[numbers]
+            if not chunks or not sizes[:, 0].all():
+                yield 0, 0, 0, 0, "", [], []
+                continue
+            a, b, groups = sizes.sum(axis=0).tolist()
+            digest = hashlib.sha256(";".join([self.text[i] for i in numbers]).encode()).hexdigest()
+            each, times = np.unique(numbers, return_counts=True)
+            first, count = self.starts[each], self.sizes[each, 2]
+            offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            pairs, place = np.unique(self.pairs[np.repeat(first, count) + offset], return_inverse=True)
+            yield a, b, groups, groups, digest, pairs, np.bincount(place, np.repeat(times, count)).astype(np.int64)
 
 
 def _paths(path_a: str | None, path_b: str | None) -> tuple[str, str]:
@@ -243,13 +264,23 @@ def overlaps(
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizers = Tokenizers(*_paths(path_a, path_b))
         for batch in batches:
-            ids = iter(batch.column(0).to_pylist())
+            done = 0
             for run in by_bytes(utf8(batch.column(1)), RUN_BYTES):
-                for d in _documents(run, tokenizers, piece):
-                    x, y, n = d["overlap_a"], d["overlap_b"], len(d["overlap_a"])
-                    columns = [pa.array([next(ids)] * n, pa.int64()), pa.array(x), pa.array(y)]
-                    columns += [pa.array(np.array(d[s], np.int64)[z]) for s, z in (("a", x), ("b", y))]
-                    yield pa.record_batch([*columns, pa.array(d["together"])], names=["id", "a", "b", "a_id", "b_id", "together"])
+                units = []
+                for value in run:
+                    ids = list(tokenizers.encode(tokenizers.chunks(value.decode("utf-8", "replace"))))
+                    whole = all([a for a, _ in ids])
+                    units.append(tuple(list(chain.from_iterable([x[k] for x in ids])) if whole else [] for k in (0, 1)))
+                found = Alignment(units, tokenizers, piece)
+                unit = np.searchsorted(found.last_a, found.a, side="right")
+                first_a, first_b = (np.concatenate(([0], x[:-1])) for x in (found.last_a, found.last_b))
+                columns = [
+                    batch.column(0).slice(done, len(run)).take(pa.array(unit)),
+                    *(pa.array(x) for x in (found.a - first_a[unit], found.b - first_b[unit])),
+                    *(pa.array(x) for x in (found.ids_a[found.a], found.ids_b[found.b], found.both)),
+                ]
+                done += len(run)
+                yield pa.record_batch(columns, names=["id", "a", "b", "a_id", "b_id", "together"])
 
     schema = "id long, a long, b long, a_id long, b_id long, together boolean"
     return docs.select(F.col(identity).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(task, schema)
@@ -264,19 +295,12 @@ def alignments(
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizers = Tokenizers(*_paths(path_a, path_b))
+        known = ChunkTable(Tokenizers(*_paths(path_a, path_b)), piece)
         for batch in batches:
             done = 0
             for run in by_bytes(utf8(batch.column(1)), RUN_BYTES):
-                rows = []
-                for d in _documents(run, tokenizers, piece):
-                    t = d["together"]
-                    # stitching: a group runs from one shared end to the next, across pieces
-                    cuts = list(zip((d["overlap_a"][t] + 1).tolist(), (d["overlap_b"][t] + 1).tolist(), strict=True))
-                    pairs, counts = _pairs(d)
-                    n_groups = len(np.unique(d["overlap_end"][t]))
-                    digest = _digest(d["a"], d["b"], cuts)
-                    rows.append((random.getrandbits(63), len(d["a"]), len(d["b"]), n_groups, int(t.sum()), digest, pairs, counts))
+                texts = [t.decode("utf-8", "replace") for t in run]
+                rows = [(random.getrandbits(63), *d) for d in known.documents(texts)]
                 columns = list(zip(*rows, strict=True))
                 kinds = [pa.int64()] * 5 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 arrays = [batch.column(0).slice(done, len(rows))] + [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]

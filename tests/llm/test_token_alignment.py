@@ -109,9 +109,22 @@ def test_chunks_give_the_ids_of_whole_texts():
     assert own.cuttable
     pieces = ["a", "the", "ing", " ", " ", "  ", "\n", "\t", ".", "'s", "1", "é", "▁", "\xa0", "　", "X", "\x1f", "👍"]
     texts = ["".join(r.choice(pieces) for _ in range(r.randint(1, 30))) for _ in range(3000)]
-    for text, (a, b) in zip(texts, own.encode(texts), strict=True):
+    for text in texts:
+        found = list(own.encode(own.chunks(text)))
+        whole = all(a for a, _ in found)
         x, y = tokens(text)
-        assert (a, b) == ([i for i, _ in x], [i for i, _ in y]), repr(text)
+        assert ([i for i, _ in x], [i for i, _ in y]) == tuple([i for f in found for i in f[k]] if whole else [] for k in (0, 1)), repr(text)
+
+
+def test_forgetting_chunks_changes_nothing(monkeypatch):
+    own = t.Tokenizers(P.path(t.VOCABULARY_A), P.path(t.VOCABULARY_B))
+    texts = [x or "" for x in TEXTS] * 2
+    results = []
+    for memo in (t.MEMO, 3):
+        monkeypatch.setattr(t, "MEMO", memo)
+        table = t.ChunkTable(own, 5)
+        results.append([[np.asarray(v).tolist() for v in d] for text in texts for d in table.documents([text])])
+    assert results[0] == results[1]
 
 
 @pytest.mark.parametrize("piece", [1, 2, 7, 1000])
