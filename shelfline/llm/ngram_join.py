@@ -55,7 +55,7 @@ BLOCK = 512
 #: Documents that may be broadcast when their texts are read again (24 bytes each).
 BROADCAST_ROWS = 500_000
 #: Words whose hash a task remembers.
-MEMO = 1_000_000
+MEMO = 400_000
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 FINAL = np.uint64(0xD6E8FEB86659FD93)
