@@ -1,21 +1,26 @@
 """Mixing sources to target weights.
 
-Every source's words form one stream, cut into blocks of a fixed number of words.
-Target shares (a weight per source, none above ``most`` times its source's words)
-give each source a quota of blocks. Output shards draw multinomial counts per source;
-what the draws exceed quotas by goes to sources they left short, so every quota is
-met exactly. The r-th block that the mix takes from a source is found by a
-pseudorandom index permutation of the source's blocks, anew for each pass, and joined
-by its index. A pass takes a block once and there are at most ``most`` passes, so no
-document exceeds ``most`` times its size.
-
-Positions in a stream are sums over chunks of a bounded number of rows, then within a
-chunk: a source with a third of all rows is still dealt over many tasks. Only one
-number per source is ever on the driver.
+Every source's words form one stream, dealt to chunks by a hash of id and text and
+packed into blocks of a fixed number of words; each chunk ends in one short block.
+Target shares (a weight per source, none above ``most`` times its source's words) give
+each source a quota of words: whole passes over all its blocks, then a pass that ends
+where the words still owed are met, in the middle of its last slot if need be. Output
+shards draw multinomial counts of slots per source; what the draws exceed quotas by goes
+to sources they left short, so quotas are met to the word. The r-th slot that the mix
+takes from a source holds the block at r of a pseudorandom index permutation of its
+full blocks, anew for each pass; the short ones follow. A pass takes a block once and
+there are at most ``most`` passes, so no document exceeds ``most`` times its size.
+
+All of this is decided from sizes alone. Only then are the texts dealt out, once: a
+chunk's texts meet the slots that want its blocks, joined by index, and leave as blocks
+of the mix. Chunks hold a bounded number of rows and words, so a source with a third of
+all rows is still dealt over many tasks. The driver and each task that draws hold a few
+numbers per source: sources are meant to be origins of a corpus, up to some 100,000.
 
 Defined results: null and empty texts have size 0 and are taken 0 words; rows without
 a source form one source, last in order; repeated rows are separate rows of their
-stream; the result depends on the rows and the seed only.
+stream (those with equal id and text share a chunk); the result depends on the rows and
+the seed only. A source takes its target rounded to whole words.
 """
 
 from __future__ import annotations
@@ -27,16 +32,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfline.llm.common import utf8
 from shelfline.sources.storage import materialise
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-#: Words of a block, slots (blocks) of an output shard, rows of a chunk of a source.
-BLOCK_WORDS, SHARD_SLOTS, CHUNK_ROWS = 64, 4096, 1_000
+#: Words of a block, slots of an output shard, rows and expected words of a chunk of a source.
+BLOCK_WORDS, SHARD_SLOTS, CHUNK_ROWS, CHUNK_WORDS = 64, 4096, 1_000, 500_000
 SEED = 20_240_501
 #: Sources up to which tables of a row per source are broadcast; beyond, they are shuffled.
 BROADCAST_SOURCES = 100_000
 SPACE = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]"
+SLOT = "shard long, number int, rank long, short boolean, index long, words long, limit long"
 
 
 def words_of(text: Column) -> Column:
@@ -111,31 +119,60 @@ def _small(per_source: DataFrame, count: int) -> DataFrame:
     return F.broadcast(per_source) if count <= BROADCAST_SOURCES else per_source
 
 
-def _text_hash(text: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash")
+def _keyed(docs: DataFrame, identity: str, text: str, source: str) -> DataFrame:
+    """``id``, ``source``, ``text``, and two hashes that order the rows of a chunk; rows equal in both are equal."""
+    rows = docs.select(F.col(identity).alias("id"), F.col(source).cast("string").alias("source"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.withColumn("k2", F.xxhash64("text")).withColumn("k1", F.xxhash64("id", "k2"))
 
 
-def stream(docs: DataFrame, chunk_rows: int, identity: str, text: str, source: str) -> tuple[DataFrame, DataFrame]:
-    """All rows with their ``number`` of source and first word ``at`` in its stream,
-    and the sources with their targets."""
-    sizes = materialise(
-        docs.select(F.col(identity).alias("id"), F.col(source).cast("string").alias("source"), F.size(words_of(F.col(text))).cast("long").alias("size"), _text_hash(text)),
-        "sizes",
+def _chunked(rows: DataFrame, sources: DataFrame, count: int) -> DataFrame:
+    """``rows`` with the ``number`` of their source and their ``chunk`` of it."""
+    few = _small(sources.select(F.col("source").alias("of"), "number", "chunks"), count)
+    placed = rows.join(few, F.col("source").eqNullSafe(F.col("of")))
+    return placed.withColumn("chunk", F.pmod("k1", "chunks")).drop("of", "chunks", "source")
+
+
+def chunk_blocks(sizes: DataFrame, block_words: int) -> DataFrame:
+    """Per chunk with words its ``full`` blocks and the words of its ``short`` one, and
+    where they start among its source's: ``full_at``, ``short_no`` (its number) and
+    ``short_at`` (words of the short blocks before)."""
+    words = sizes.groupBy("number", "chunk").agg(F.sum("size").alias("n"))
+    cut = words.select("number", "chunk", F.expr(f"n div {block_words}").alias("full"), (F.col("n") % block_words).alias("short"))
+    cut = cut.withColumns({"part": F.expr("chunk div 1000"), "one": F.when(F.col("short") > 0, 1).otherwise(0).cast("long")})
+    for value, name in (("full", "full_at"), ("one", "short_no"), ("short", "short_at")):
+        cut = running_total(cut, "number", "part", ["chunk"], value, name)
+    return cut.drop("part", "one")
+
+
+def quotas(chunks: DataFrame, sources: DataFrame, count: int, block_words: int) -> DataFrame:
+    """Per source with words: ``full`` and ``blocks`` (with the short ones), whole
+    ``passes``, words ``owed`` after them, and slots in all."""
+    owed = F.round("target").cast("long")
+    facts = sources.where("source_size > 0").select(
+        "number", F.expr("CAST(round(target) AS BIGINT) div source_size").alias("passes"), (owed % F.col("source_size")).alias("owed")
+    )
+    blocks = chunks.groupBy("number").agg(F.sum("full").alias("full"), F.count_if(F.col("short") > 0).alias("shorts"))
+    plan = facts.join(_small(blocks, count), "number").withColumn("beyond", F.col("owed") - F.col("full") * block_words)
+    needed = chunks.select("number", "short", "short_at").join(_small(plan.select("number", "beyond"), count), "number")
+    needed = needed.where("short > 0 AND short_at < beyond").groupBy("number").agg(F.count("*").alias("some"))
+    last = F.least("full", F.ceil(F.col("owed") / block_words)) + F.coalesce("some", F.lit(0))
+    every = F.col("full") + F.col("shorts")
+    return plan.join(needed, "number", "left").select(
+        "number", "full", every.alias("blocks"), "passes", "owed", (F.col("passes") * every + last).alias("quota")
     )
-    sources = materialise(targets(sizes), "sources")
-    placed = sizes.join(_small(sources, sources.count()).withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    chunked = placed.withColumn("chunk", F.pmod(F.xxhash64("id", "size"), F.ceil(F.col("rows") / chunk_rows)))
-    return running_total(chunked, "number", "chunk", ["id", "size", "text_hash"], "size", "at").drop("chunk"), sources
 
 
-def slots(spark, plan: list[tuple[int, int, int]], shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """The mix: ``shard``, ``number`` of the source and ``block`` of every slot.
-    ``plan``: number, blocks and quota of each source."""
-    number, blocks, quota = (np.array(x, np.int64) for x in zip(*plan, strict=True)) if plan else (np.zeros(0, np.int64),) * 3
+def slots(spark, plan: list[tuple[int, int, int, int, int, int]], block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """The mix: ``shard``, ``number`` of the source and ``rank`` of every slot, the
+    ``index`` of the block it holds among its source's full or ``short`` blocks, and
+    its ``words`` (of a short block at most those before ``limit``). ``plan``: rows of
+    ``quotas``."""
+    columns = [np.array(x, np.int64) for x in zip(*plan, strict=True)] if plan else [np.zeros(0, np.int64)] * 6
+    number, _, _, _, _, quota = columns
     total = int(quota.sum())
     shape = "shard long, number int, drawn long"
     if not total:
-        return spark.createDataFrame([], "shard long, number int, block long")
+        return spark.createDataFrame([], SLOT)
     share = quota / total
     shards = -(-total // shard_slots)
 
@@ -154,8 +191,8 @@ def slots(spark, plan: list[tuple[int, int, int]], shard_slots: int = SHARD_SLOT
     # A row per source; joins of exploded rows state their strategy, as their estimated
     # size knows nothing of the rows that explode() adds.
     facts = spark.createDataFrame(
-        list(zip(*(x.tolist() for x in (number, blocks, quota, taken, start(above), short, start(short))), strict=True)),
-        "number int, blocks long, quota long, taken long, above_at long, short long, short_at long",
+        list(zip(*(x.tolist() for x in (*columns, taken, start(above), short, start(short))), strict=True)),
+        "number int, full long, blocks long, passes long, owed long, quota long, taken long, above_at long, short long, short_at long",
     )
     ranked = (
         running_total(drawn.withColumn("part", F.expr("shard div 1000")), "number", "part", ["shard"], "drawn", "first")
@@ -167,58 +204,81 @@ def slots(spark, plan: list[tuple[int, int, int]], shard_slots: int = SHARD_SLOT
         F.col("number"), "taken", "short_at", F.explode(F.expr("sequence(short_at, short_at + short - 1)")).alias("spare")
     ).select("number", F.expr("taken + spare - short_at").alias("rank"), "spare")
     moved = ranked.where("rank >= quota").select("shard", F.expr("above_at + rank - quota").alias("spare")).hint("merge").join(gaps, "spare").select("shard", "number", "rank")
-    ready = kept.unionByName(moved).join(_small(facts, len(plan)).select("number", "blocks"), "number").select("shard", "number", "rank", "blocks")
+    shape = ["full", "blocks", "passes", "owed"]
+    ready = kept.unionByName(moved).join(_small(facts, len(plan)).select("number", *shape), "number").select("shard", "number", "rank", *shape)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            source, rank, n = (batch.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3))
-            key = (seed + source) * 1_000_003 + rank // n
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(permuted(rank % n, n, key))], names=["shard", "number", "block"])
-
-    return ready.mapInArrow(place, "shard long, number int, block long")
+            source, rank, full, blocks, passes, owed = (batch.column(i).to_numpy().astype(np.int64) for i in range(1, 7))
+            turn, at = rank // blocks, rank % blocks
+            short, last = at >= full, turn == passes
+            index = at - full
+            index[~short] = permuted(at[~short], full[~short], (seed + source[~short]) * 1_000_003 + turn[~short])
+            words = np.where(last & ~short, np.minimum(block_words, owed - at * block_words), block_words)
+            limit = np.where(last, owed - full * block_words, np.int64(2**62))
+            yield pa.record_batch(
+                [batch.column(0), batch.column(1), batch.column(2), *(pa.array(x) for x in (short, index, words, limit))],
+                names=["shard", "number", "rank", "short", "index", "words", "limit"],
+            )
+
+    return ready.mapInArrow(place, SLOT)
+
+
+def _wanted(mix: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The slots by the ``chunk`` that holds their block and its ``block`` in there."""
+    full = chunks.where("full > 0").select("number", "chunk", "full_at", F.explode(F.expr("sequence(full_at, full_at + full - 1)")).alias("index"))
+    full = mix.where("NOT short").hint("merge").join(full, ["number", "index"])
+    full = full.select("number", "chunk", (F.col("index") - F.col("full_at")).alias("block"), "shard", "rank", "words")
+    short = chunks.where("short > 0").select("number", F.col("chunk"), F.col("short_no").alias("index"), "full", F.col("short").alias("n"), "short_at")
+    short = mix.where("short").hint("merge").join(short, ["number", "index"])
+    cut = F.least("n", F.col("limit") - F.col("short_at"))
+    return full.unionByName(short.select("number", "chunk", F.col("full").alias("block"), "shard", "rank", cut.alias("words")))
+
+
+def _blocks(docs: DataFrame, mix: DataFrame, chunks: DataFrame, sources: DataFrame, count: int, block_words: int) -> DataFrame:
+    """A row per slot of ``mix``: its ``text``, and the ``parts`` of rows in it."""
+    kind = dict(docs.dtypes)["id"]
+
+    def pack(key: tuple, rows: pa.Table, wanted: pa.Table) -> pa.Table:
+        order = np.lexsort((rows["k2"].to_numpy(), rows["k1"].to_numpy()))
+        words: list[bytes] = []
+        ends = np.zeros(len(order), np.int64)
+        for i, text in enumerate(utf8(rows["text"].take(pa.array(order)))):
+            words += text.split()  # bytes: ASCII white space
+            ends[i] = len(words)
+        starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+        low = wanted["block"].to_numpy() * block_words
+        high = low + wanted["words"].to_numpy()
+        texts = [b" ".join(words[a:b]).decode("utf-8", "replace") for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+        first, last = np.searchsorted(ends, low, side="right"), np.searchsorted(ends, high, side="left")
+        n = last - first + 1
+        offsets = np.concatenate(([0], np.cumsum(n)))
+        row = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - first, n)
+        begin, end = np.maximum(np.repeat(low, n), starts[row]), np.minimum(np.repeat(high, n), ends[row])
+        fields = [rows["id"].take(pa.array(order[row])).combine_chunks()]
+        fields += [pa.array(x) for x in (row, begin - starts[row], end - begin, begin - np.repeat(low, n))]
+        parts = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, names=["id", "row", "skip", "words", "offset"]))
+        named = {"shard": wanted["shard"], "number": wanted["number"], "chunk": wanted["chunk"], "block": wanted["block"], "rank": wanted["rank"]}
+        return pa.table({**named, "parts": parts, "text": pa.array(texts, pa.string())})
+
+    schema = f"shard long, number int, chunk long, block long, rank long, parts array<struct<id: {kind}, row: bigint, skip: bigint, words: bigint, offset: bigint>>, text string"
+    dealt = _chunked(docs.where(F.col("text").rlike(WORD)), sources, count).select("number", "chunk", "id", "k1", "k2", "text")
+    grouped = dealt.groupBy("number", "chunk").cogroup(_wanted(mix, chunks).groupBy("number", "chunk"))
+    return grouped.applyInArrow(pack, schema)
 
 
 def _prepared(docs, block_words, shard_slots, chunk_rows, seed, identity, text, source):
-    rows, sources = stream(docs, chunk_rows, identity, text, source)
-    blocks = F.ceil(F.col("source_size") / block_words)
-    quota = F.least(blocks * MOST, F.round(F.col("target") / F.col("source_size") * blocks).cast("long"))
-    plan = [tuple(r) for r in sources.where("source_size > 0").select("number", blocks.alias("blocks"), quota.alias("quota")).orderBy("number").collect()]
-    return materialise(rows, "rows"), sources, slots(docs.sparkSession, plan, shard_slots, seed)
-
-
-def _pieces(rows: DataFrame, block_words: int) -> DataFrame:
-    """The part of every row in every block it reaches: ``block``, ``skip`` words of
-    the row before it, ``words`` in it, and ``offset`` of these in the block."""
-    first, last = F.col("at"), F.col("at") + F.col("size")
-    spread = rows.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(at div {block_words}, (at + size - 1) div {block_words})")))
-    low, high = F.greatest(first, F.col("block") * block_words), F.least(last, (F.col("block") + 1) * block_words)
-    return spread.select("*", (low - first).alias("skip"), (high - low).alias("words"), (low - F.col("block") * block_words).alias("offset"))
-
-
-def _text_key(identity: str) -> list[Column]:
-    return [F.coalesce(F.col(identity).cast("string"), F.lit("")).alias("key"), F.col(identity).isNull().alias("nameless")]
-
-
-def _blocks(docs: DataFrame, rows: DataFrame, mix: DataFrame, block_words: int, identity: str, text: str) -> DataFrame:
-    """A row per slot of ``mix``, with the ``parts`` and the ``text`` of its block."""
-    key = ["key", "nameless", "text_hash"]
-    # Rows with equal ids and texts share one text; whole texts are cut only after this join.
-    texts = docs.select(*_text_key(identity), _text_hash(text), F.col(text).alias("t")).dropDuplicates(key)
-    worded = rows.where("size > 0").select("*", *_text_key("id")).hint("merge").join(texts, key).withColumn("w", words_of(F.col("t")))
-    cut = F.array_join(F.slice("w", F.col("skip").cast("int") + 1, F.col("words").cast("int")), " ")
-    packed = (
-        _pieces(worded.select("number", "at", "id", "size", "w"), block_words)
-        .select("number", "block", F.struct("offset", "at", "id", "skip", "words", cut.alias("t")).alias("part"))
-        .groupBy("number", "block")
-        .agg(F.sort_array(F.collect_list("part")).alias("parts"))
-    )
-    return mix.hint("merge").join(packed, ["number", "block"]).select(
-        "shard",
-        "number",
-        "block",
-        F.transform("parts", lambda p: F.struct(*(p[x].alias(x) for x in ("id", "at", "skip", "words", "offset")))).alias("parts"),
-        F.array_join(F.transform("parts", lambda p: p["t"]), " ").alias("text"),
-    )
+    """All rows with their place, the sources, their number, and the blocks of the mix."""
+    keyed = _keyed(docs, identity, text, source)
+    sizes = materialise(keyed.select("id", "source", "k1", "k2", F.size(words_of(F.col("text"))).cast("long").alias("size")), "sizes")
+    by_words = F.ceil(F.col("source_size") / CHUNK_WORDS)
+    sources = materialise(targets(sizes).withColumn("chunks", F.greatest(F.ceil(F.col("rows") / chunk_rows), by_words)), "sources")
+    count = sources.count()
+    rows = _chunked(sizes, sources, count)
+    chunks = materialise(chunk_blocks(rows.where("size > 0"), block_words), "chunks")
+    plan = [tuple(r) for r in quotas(chunks, sources, count, block_words).orderBy("number").collect()]
+    mix = slots(docs.sparkSession, plan, block_words, shard_slots, seed)
+    return rows, sources, count, _blocks(keyed, mix, chunks, sources, count, block_words)
 
 
 def mixture(
@@ -236,21 +296,23 @@ def mixture(
     ``taken_hash``, a sum of hashes of these words as they stand in the mix.
 
     The mix is written to the shared folder, parts and texts; ``taken`` and
-    ``taken_hash`` are read from it. ``number`` and ``at`` tell rows apart."""
-    rows, sources, mix = _prepared(docs, block_words, shard_slots, chunk_rows, seed, identity, text, source)
-    written = materialise(_blocks(docs, rows, mix, block_words, identity, text), "mix")
-    part = written.select("number", words_of(F.col("text")).alias("w"), F.explode("parts").alias("part")).select(
-        "number", "part.at", "part.skip", "part.words", F.slice("w", F.col("part.offset").cast("int") + 1, F.col("part.words").cast("int")).alias("own")
+    ``taken_hash`` are read from it. Chunk and row in it tell rows apart."""
+    rows, sources, count, blocks = _prepared(docs, block_words, shard_slots, chunk_rows, seed, identity, text, source)
+    written = materialise(blocks, "mix")
+    key = ["number", "chunk", "row"]
+    part = written.select("number", "chunk", words_of(F.col("text")).alias("w"), F.explode("parts").alias("part")).select(
+        "number", "chunk", "part.row", "part.skip", "part.words", F.slice("w", F.col("part.offset").cast("int") + 1, F.col("part.words").cast("int")).alias("own")
     )
     # 40 bits of each hash, so that the sum stays a long.
     hashed = F.shiftrightunsigned(F.xxhash64("skip", F.array_join("own", " ")), 24)
-    taken = part.groupBy("number", "at").agg(F.sum("words").alias("taken"), F.sum(hashed).alias("taken_hash"))
+    taken = part.groupBy(*key).agg(F.sum("words").alias("taken"), F.sum(hashed).alias("taken_hash"))
     none = F.lit(0).cast("long")
-    counted = rows.where("size > 0").hint("merge").join(taken, ["number", "at"], "left").select("number", "id", "size", "taken", "taken_hash")
+    place = F.expr("row_number() OVER (PARTITION BY number, chunk ORDER BY k1, k2) - 1").cast("long")
+    counted = rows.where("size > 0").withColumn("row", place).join(taken, key, "left").select("number", "id", "size", "taken", "taken_hash")
     empty = rows.where("size = 0").select("number", "id", "size", none.alias("taken"), none.alias("taken_hash"))
     return (
         counted.unionByName(empty)
-        .join(_small(sources, sources.count()), "number")
+        .join(_small(sources, count), "number")
         .select(F.col("id").alias(identity), "size", "source_size", "target", F.coalesce("taken", none).alias("taken"), F.coalesce("taken_hash", none).alias("taken_hash"))
     )
 
@@ -265,8 +327,7 @@ def mixed_blocks(
     text: str = "text",
     source: str = "source",
 ) -> DataFrame:
-    """The mix itself, a row per slot: ``shard``, ``number`` of the source, ``block``,
-    ``parts`` (id, ``at``, the row's place in the stream, words skipped, words taken,
-    their offset in the text) in stream order, and ``text``."""
-    rows, _, mix = _prepared(docs, block_words, shard_slots, chunk_rows, seed, identity, text, source)
-    return _blocks(docs, rows, mix, block_words, identity, text)
+    """The mix itself, a row per slot: ``shard``, ``number`` of the source, ``chunk``
+    and ``block`` in it, ``rank`` among the source's slots, ``parts`` (id, ``row`` in
+    the chunk, words skipped, words taken, their offset in the text) and ``text``."""
+    return _prepared(docs, block_words, shard_slots, chunk_rows, seed, identity, text, source)[3]

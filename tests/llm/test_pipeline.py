@@ -45,6 +45,6 @@ def test_stages_return_documents(spark, documents):
 
 def test_every_operator_has_its_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in LLM_QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(LLM_SQL) <= set(LLM_QUERIES)
     assert [name for name, _ in p.STAGES] == ["quality_classifier", "simhash_near_dedup", "benchmark_decontamination", "secret_scan", "source_mixing"]
