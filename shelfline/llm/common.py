@@ -47,3 +47,13 @@ def row_key(identity: str, text: str) -> list[Column]:
 
 def same_row(left: DataFrame, right: DataFrame) -> Column:
     return left["__id"].eqNullSafe(right["__id"]) & (left["__hash"] == right["__hash"])
+
+
+#: Rows of a table of row keys that may be broadcast (some 60 bytes each in memory).
+BROADCAST_KEYS = 500_000
+
+
+def key_side(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """A written table of row keys as the side of a join: broadcast while its counted
+    rows are few, so that whole texts are not shuffled to drop or change some of them."""
+    return F.broadcast(keys) if keys.count() <= most else keys

@@ -4,7 +4,10 @@ Every window of ``size`` consecutive normalised words of a benchmark item (an it
 with fewer words is one window) is stored under its *anchor*, the longest of its
 words. Documents are split into words once; a word that is an anchor of the
 broadcast window set is a candidate, and the words around it are compared with the
-whole window. Only verified hits are shuffled.
+whole window. Only verified hits are shuffled. A window set above
+``BROADCAST_WINDOWS`` is joined by a shuffle instead, of a hash and a position per word
+and window length, not of texts; the rows hit are then joined with their texts to
+verify whole windows. Results are the same.
 
 Defined results: a null or empty text has no words and no hits; an item without
 words has no window; an item without an id contributes hits but is not listed;
@@ -16,14 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import ascii_lower, row_key, same_row
+from shelfline.llm.common import ascii_lower, key_side, row_key, same_row
 from shelfline.sources.storage import materialise
 
 #: What separates words: ASCII other than digits and letters.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Windows that may be broadcast; a larger set is joined by a shuffle on the anchor.
+#: Windows that may be broadcast.
 BROADCAST_WINDOWS = 200_000
 
 
@@ -49,9 +52,27 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW, item: str = "ite
     return windows.select(F.get("window", before).alias("anchor"), before.alias("before"), "window", "items")
 
 
-def _window_side(windows: DataFrame, broadcast_windows: int) -> DataFrame:
-    few = windows.limit(broadcast_windows + 1).count() <= broadcast_windows
-    return F.broadcast(windows) if few else windows
+def window_positions(docs: DataFrame, lengths: list[int], identity: str, text: str) -> DataFrame:
+    """Row key, ``start``, ``length`` and the hash ``h`` of every run of words of one of the lengths."""
+    worded = docs.select(*row_key(identity, text), words_of(ascii_lower(F.col(text))).alias("w"))
+    at = F.explode(F.expr("sequence(0, size(w) - 1)")).alias("start")
+    length = F.explode(F.array(*map(F.lit, lengths))).alias("length")
+    spread = worded.where("size(w) > 0").select("*", at).select("*", length).where("start + length <= size(w)")
+    return spread.select("__id", "__hash", "start", "length", F.xxhash64(F.expr("slice(w, start + 1, length)")).alias("h"))
+
+
+def _hits_by_hash(docs: DataFrame, windows: DataFrame, identity: str, text: str) -> DataFrame:
+    hashed = windows.select(F.size("window").alias("length"), F.xxhash64("window").alias("h"), "window", "items")
+    lengths = [r["length"] for r in hashed.select("length").distinct().collect()]  # at most the window's size of them
+    if not lengths:
+        return docs.select(*row_key(identity, text), F.lit(0).alias("start"), F.lit(0).alias("length"), F.array().cast("array<string>").alias("items")).limit(0)
+    found = window_positions(docs, lengths, identity, text).join(hashed.select("length", "h").distinct(), ["length", "h"])
+    per_row = found.groupBy("__id", "__hash").agg(F.collect_set(F.struct("start", "length", "h")).alias("found"))
+    side = key_side(materialise(per_row, "window-candidates"))
+    worded = docs.select(*row_key(identity, text), words_of(ascii_lower(F.col(text))).alias("w"))
+    again = worded.join(side, same_row(worded, side)).select(worded["__id"], worded["__hash"], "w", F.explode("found").alias("f"))
+    shown = again.select("__id", "__hash", "f.*", F.expr("slice(w, f.start + 1, f.length)").alias("window"))
+    return shown.join(hashed.select("h", "window", "items"), ["h", "window"]).select("__id", "__hash", "start", "length", "items").distinct()
 
 
 def window_hits(
@@ -63,7 +84,10 @@ def window_hits(
     broadcast_windows: int = BROADCAST_WINDOWS,
 ) -> DataFrame:
     """Verified occurrences: row key, ``start`` (from 0), ``length`` in words, ``items``."""
-    windows = _window_side(benchmark_windows(benchmark, size), broadcast_windows)
+    windows = benchmark_windows(benchmark, size)
+    if windows.limit(broadcast_windows + 1).count() > broadcast_windows:
+        return _hits_by_hash(docs, windows, identity, text)
+    windows = F.broadcast(windows)
     # The outer form keeps the word array from being computed a second time for an inferred filter.
     spread = docs.select(*row_key(identity, text), words_of(ascii_lower(F.col(text))).alias("w")).select(
         "__id", "__hash", "w", F.posexplode_outer("w").alias("at", "word")
@@ -135,11 +159,12 @@ def decontaminate(
     identity_now, hash_now = row_key(identity, text)
     keyed = docs.select("*", identity_now, hash_now)
     if remove == "documents":
-        dirty = spans.select("__id", "__hash").distinct()
+        dirty = key_side(materialise(spans.select("__id", "__hash").distinct(), "contaminated"))
         return keyed.join(dirty, same_row(keyed, dirty), "left_anti").select(*docs.columns)
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
     dirty = spans.groupBy("__id", "__hash").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+    dirty = key_side(materialise(dirty, "contaminated"))
     words, gaps = words_of(F.col(text)), F.split(F.col(text), WORD, -1)
     clean = F.transform(
         F.arrays_zip(words.alias("w"), gaps.alias("g")),

@@ -12,6 +12,9 @@ least, so that a rare language is learned beside any number of documents of othe
 model has one number per language and piece. Scoring covers every whole text; each task
 scores a distinct word once while it remembers it.
 
+Letters are the characters of Unicode's letter categories; letter numbers and other
+numeric characters are none. Memory for scores is bounded by words x languages.
+
 Defined results: a null text or one without a letter is ``und`` with score 0; runs
 longer than ``LONGEST`` letters are scored in consecutive parts; without learnable
 documents every text is ``und``; ties go to the first language in code point order.
@@ -40,11 +43,14 @@ INSIDE = "+"
 LONGEST = 40
 #: Smoothing mass of a piece, probability of a character outside the vocabulary.
 SMOOTH, UNKNOWN = 0.05, 1e-7
-#: Distinct words a task remembers; characters of texts whose new words are scored together.
-MEMO, RUN = 400_000, 4_000_000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Numbers (distinct words x languages) a task remembers, and scores at once; characters
+#: of texts whose new words are found together. More languages mean fewer words.
+MEMO_CELLS, CELLS, RUN = 1_600_000, 200_000, 4_000_000
+#: What \w matches beside letters, decimals and the underscore: numbers such as a half or a Roman four.
+NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
 #: The same for Spark: a text with a letter.
-LETTER = r"[\p{L}\p{Nl}\p{No}]"
+LETTER = r"\p{L}"
 #: Slots that ids are hashed to, of which a language's sample takes a share.
 SLOTS = 1 << 30
 UNDETERMINED = "und"
@@ -178,13 +184,18 @@ class Lattice:
         return out
 
 
-def _runs(texts: pd.Series) -> Iterator[list[str | None]]:
-    """Consecutive texts of about ``RUN`` characters."""
+def bounds(languages: int) -> tuple[int, int, int]:
+    """Words a task remembers, words scored at once, and characters of a run."""
+    return max(1_000, MEMO_CELLS // languages), max(250, CELLS // languages), max(50_000, RUN * 4 // max(4, languages))
+
+
+def _runs(texts: pd.Series, most: int) -> Iterator[list[str | None]]:
+    """Consecutive texts of about ``most`` characters."""
     run, size = [], 0
     for text in texts:
         run.append(text)
         size += len(text or "")
-        if size >= RUN:
+        if size >= most:
             yield run
             run, size = [], 0
     if run:
@@ -246,7 +257,8 @@ def train(docs: DataFrame, vocabulary_path: str | None = None, train_docs: int =
     for _ in range(ROUNDS if languages else 0):
         gathered = words.mapInPandas(uses(p), "lang string, piece long, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses"))
         counts: dict[str, dict[int, float]] = {}
-        for name, piece, n in gathered.collect():  # one number per language and piece at most
+        table = gathered.toArrow()  # one number per language and piece at most, in columns
+        for name, piece, n in zip(*(table[c].to_pylist() for c in ("lang", "piece", "uses")), strict=True):
             counts.setdefault(name, {})[piece] = n
         p = _probabilities(counts, languages, len(pieces))
     return languages, pieces, p
@@ -261,23 +273,32 @@ def identify(docs: DataFrame, vocabulary_path: str | None = None, train_docs: in
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         found_by = Pieces(pieces)
         memo: dict[str, int] = {}
+        most, at_once, characters = bounds(max(1, len(languages)))
         scores = np.zeros((0, len(languages)))
         for texts in batches:
             found = []
-            for run in _runs(texts):
+            for run in _runs(texts, characters):
                 words = [words_of(t) if languages else [] for t in run]
-                if len(memo) > MEMO:
+                if len(memo) > most:
                     memo, scores = {}, scores[:0]
                 new = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in memo]
-                for at in range(0, len(new), 50_000):
-                    some = new[at : at + 50_000]
-                    memo.update(zip(some, range(len(memo), len(memo) + len(some)), strict=True))
-                    scores = np.concatenate((scores, Lattice([marked(w) for w in some], found_by).log_likelihood(p)))
+                if len(memo) + len(new) > len(scores):
+                    grown = np.zeros((max(len(memo) + len(new), 2 * len(memo)), len(languages)))
+                    grown[: len(memo)] = scores[: len(memo)]
+                    scores = grown
+                for at in range(0, len(new), at_once):
+                    some = new[at : at + at_once]
+                    first = len(memo)
+                    memo.update(zip(some, range(first, first + len(some)), strict=True))
+                    scores[first : first + len(some)] = Lattice([marked(w) for w in some], found_by).log_likelihood(p)
                 for own in words:
                     if not own:
                         found.append((UNDETERMINED, 0.0))
                         continue
-                    total = scores[np.fromiter(map(memo.__getitem__, own), np.int64, len(own))].sum(axis=0)
+                    total = np.zeros(len(languages))
+                    for at in range(0, len(own), 10 * at_once):  # a long text has many words
+                        some = own[at : at + 10 * at_once]
+                        total += scores[np.fromiter(map(memo.__getitem__, some), np.int64, len(some))].sum(axis=0)
                     found.append((languages[int(total.argmax())], float(1 / np.exp(total - total.max()).sum())))
             yield pd.DataFrame(found, columns=["lang", "score"])
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import row_key, same_row
+from shelfline.llm.common import key_side, row_key, same_row
 from shelfline.sources.storage import materialise
 
 # The kinds in their order, their patterns, and the least characters of
@@ -168,6 +168,7 @@ def mask(docs: DataFrame, identity: str = "doc_id", text: str = "text", owner: s
         .groupBy("__id", "__hash")
         .agg(F.sort_array(F.collect_list(F.struct("start", "end", "from"))).alias("__parts"))
     )
+    parts = key_side(materialise(parts, "masks"))
     id_now, hash_now = row_key(identity, text)
     keyed = docs.select("*", id_now, hash_now)
     joined = keyed.join(parts, same_row(keyed, parts), "left").select(*(keyed[c] for c in docs.columns), "__parts")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import utf8
+from shelfline.llm.common import key_side, row_key, same_row, utf8
 from shelfline.llm.components import components
 from shelfline.sources.storage import materialise
 
@@ -60,14 +60,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, identity: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id`` and ``fp`` (the fingerprint's bits as a signed long) of every row."""
+    """``id``, ``hash`` of the text, and ``fp`` (the fingerprint's bits as a signed long) of every row."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.fromiter((fingerprint(t, shingle) for t in utf8(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(bits.view(np.int64))], names=["id", "fp"])
+            bits = np.fromiter((fingerprint(t, shingle) for t in utf8(batch.column(2))), np.uint64, batch.num_rows)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(bits.view(np.int64))], names=["id", "hash", "fp"])
 
-    return docs.select(F.col(identity).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(task, "id long, fp long")
+    key = [c.alias(n) for c, n in zip(row_key(identity, text), ("id", "hash"), strict=True)]
+    rows = docs.select(F.col(identity).cast("long").alias(identity), F.col(text).alias(text))
+    return rows.select(*key, F.col(text).alias("text")).mapInArrow(task, "id long, hash long, fp long")
 
 
 def _segments(distance: int) -> tuple[int, int]:
@@ -147,6 +149,16 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
     return tiled.groupBy("at", "part", "r", "c").applyInPandas(task, "a long, b long").distinct()
 
 
+def _labelled(docs: DataFrame, shingle: int, distance: int, identity: str, text: str, block: int) -> DataFrame:
+    """``id``, ``hash``, ``fp`` and ``root`` of every row: rows that links connect share a root."""
+    rows = materialise(fingerprints(docs, shingle, identity, text), "fingerprints")
+    # A fingerprint is a node itself and stands for all its copies.
+    nodes = rows.select("fp", F.col("fp").alias("node")).distinct()
+    found = components(links(materialise(nodes, "nodes"), distance, block))
+    roots = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("root"))
+    return rows.join(roots, "fp").select("id", "hash", "fp", "root")
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = SHINGLE,
@@ -157,24 +169,28 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document row: ``id``, ``fp`` and ``component``, the smallest id
     that links of ``distance`` or fewer differing bits reach."""
-    rows = materialise(fingerprints(docs, shingle, identity, text), "fingerprints")
-    # A fingerprint stands for all its copies under their smallest id. Fingerprints
-    # of rows without any id get a node above all ids, so that they still connect.
-    lowest = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    first_free = F.coalesce(F.max("id"), F.lit(0)) + 1
-    top = rows.agg(first_free.alias("top")).first()["top"]
-    orphan = F.lit(top) + F.pmod(F.xxhash64("fp"), F.lit(1 << 61))
-    nodes = materialise(lowest.select("fp", "least", F.coalesce("least", orphan).alias("node")), "nodes")
-    found = components(links(nodes.select("fp", "node"), distance, block))
-    joined = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    named = joined.select("fp", F.when(F.col("component") < top, F.col("component")).alias("component"))
-    return rows.join(named, "fp").select("id", "fp", "component")
+    rows = materialise(_labelled(docs, shingle, distance, identity, text, block), "labelled")
+    least = rows.groupBy("root").agg(F.min("id").alias("component"))
+    return rows.join(least, "root").select("id", "fp", "component")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, identity: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest id, once if
-    its row is repeated. Rows without an id cannot be told apart and all stay."""
-    found = near_duplicates(docs, shingle, distance, identity, text)
-    kept = found.where("id = component").select(F.col("id").alias(identity)).distinct()
-    named = docs.join(kept, identity, "left_semi").dropDuplicates([identity])
-    return named.select(*docs.columns).unionByName(docs.where(F.col(identity).isNull()))
+    """``docs`` with one row of each group: that with the smallest id (rows without an
+    id last; of equal ids that with the smallest text hash), once if it is repeated.
+
+    Only rows that go, or are repeated, are joined with the texts."""
+    rows = materialise(_labelled(docs, shingle, distance, identity, text, BLOCK), "labelled")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "hash")
+    kept = rows.groupBy("root").agg(F.min(order).alias("kept")).select("root", F.col("kept.id").alias("k_id"), F.col("kept.hash").alias("k_hash"))
+    marked = rows.join(kept, "root").withColumn("stays", F.col("id").eqNullSafe(F.col("k_id")) & (F.col("hash") == F.col("k_hash")))
+    keys = marked.groupBy(F.col("id").alias("__id"), F.col("hash").alias("__hash")).agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n"))
+    odd = materialise(keys.where("NOT stays OR n > 1"), "not-kept")
+    id_now, hash_now = row_key(identity, text)
+    keyed = docs.select("*", id_now.cast("long").alias("__id"), hash_now)
+    gone, repeated = key_side(odd), odd.where("stays")
+    single = keyed.join(gone, same_row(keyed, gone), "left_anti")
+    if repeated.isEmpty():
+        return single.select(*docs.columns)
+    side = key_side(repeated)
+    once = keyed.join(side, same_row(keyed, side), "left_semi").dropDuplicates(["__id", "__hash"])
+    return single.unionByName(once).select(*docs.columns)

@@ -3,17 +3,23 @@
 A package is a ZIP file with stored members: ``archive/*.warc.gz`` (each record a gzip
 member of its own) and ``indexes/*.cdxj`` (a line per record with its byte range). The
 reader parses the end record, the ZIP64 records and the central directory, finds the
-stored members, and reads each record by its byte range; nothing is extracted, and a
-package without an index is walked record by record.
+stored members, and reads each record by its byte range; nothing is extracted. Bytes of
+an archive that no index line names are walked record by record.
 
 Packages are written by Spark's own file writer, one file for each, so task retries
-and lost executors leave no half files. They are read by Spark's binary file source;
-``read_at`` then cuts ranges out of the file's buffer without copying it. A package
-closes once it holds ``PACKAGE_BYTES``, which bounds the memory of either side.
+and lost executors leave no half files. A package closes once it holds
+``PACKAGE_BYTES``, which bounds the memory of either side. ``read_packages`` reads them
+by Spark's binary file source, from any store that Spark reads and up to its 2 GB a
+file; ``read_at`` then cuts ranges out of the file's buffer without copying it. Larger
+packages are read by ``read_ranges``: a task reads directories and indexes alone, the
+(path, offset, length) rows are dealt to tasks, and these open the files by range.
 
 Defined results: a null page text is an empty payload; a null url has no header;
 a page without an id is written without one and read back as null; of several rows with
 the largest id of equal payloads all are responses; other columns are not archived.
+Records of other types have their block as payload; a revisit that states no size or
+digest has null there; index lines that name no archive of the package, overlap an
+earlier one or reach outside are left to the walk.
 """
 
 from __future__ import annotations
@@ -77,15 +83,23 @@ class Record:
         return _page(self.headers.get("warc-refers-to", ""))
 
     @property
-    def payload_bytes(self) -> int:
+    def kind(self) -> str | None:
+        return self.headers.get("warc-type")
+
+    @property
+    def payload_bytes(self) -> int | None:
         """Of the full payload; a revisit states it in its HTTP headers."""
-        return len(self.payload) if self.headers["warc-type"] == "response" else int(self.http["content-length"])
+        if self.kind != "revisit":
+            return len(self.payload)
+        stated = self.http.get("content-length", "")
+        return int(stated) if stated.isdecimal() else None
 
     @property
-    def payload_digest(self) -> str:
-        if self.headers["warc-type"] == "response":
+    def payload_digest(self) -> str | None:
+        if self.kind != "revisit":
             return hashlib.sha1(self.payload).hexdigest()
-        return self.headers["warc-payload-digest"].removeprefix("sha1:")
+        stated = self.headers.get("warc-payload-digest")
+        return stated and stated.removeprefix("sha1:")
 
 
 def _page(name: str) -> int | None:
@@ -98,11 +112,18 @@ def _fields(block: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, v in pairs}
 
 
+def _head(raw: bytes) -> tuple[dict[str, str], int, int]:
+    """Header fields of a record, where its block starts, and the block's length."""
+    end = raw.find(b"\r\n\r\n")
+    headers = _fields(raw[:end]) if end >= 0 else {}
+    if not headers.get("content-length", "").isdecimal():
+        raise ValueError("a WARC record is cut off, or states no length")
+    return headers, end + 4, int(headers["content-length"])
+
+
 def parse_record(raw: bytes) -> tuple[Record, int]:
     """A record at the start of ``raw`` and its length with the closing empty lines."""
-    end = raw.index(b"\r\n\r\n")
-    headers = _fields(raw[:end])
-    start, size = end + 4, int(headers["content-length"])
+    headers, start, size = _head(raw)
     if start + size > len(raw):
         raise ValueError("a WARC record is cut off")
     block = raw[start : start + size]
@@ -216,7 +237,9 @@ class Package:
             header = struct.unpack_from("<L", directory, at + 42)[0]
             name = directory[at + 46 : at + 46 + n].decode("utf-8" if flags & 0x800 else "cp437", "replace")
             wide = Package._wide(directory[at + 46 + n : at + 46 + n + extra])
-            size, packed, header = (next(wide) if x == FULL32 else x for x in (size, packed, header))
+            size, packed, header = (next(wide, None) if x == FULL32 else x for x in (size, packed, header))
+            if None in (size, packed, header):
+                raise ValueError(f"no ZIP64 field of {name}")
             yield Member(name, method, flags, crc, packed, size, header)
             at += 46 + n + extra + comment
 
@@ -244,47 +267,88 @@ class Package:
         return [m for m in self.members.values() if m.name.endswith((".warc", ".warc.gz"))]
 
     def indexes(self) -> list[Member]:
-        return [m for m in self.members.values() if m.name.endswith((".cdx", ".cdxj"))]
+        return [m for m in self.members.values() if m.name.removesuffix(".gz").endswith((".cdx", ".cdxj"))]
 
     def ranges(self) -> Iterator[tuple[Member, int, int]]:
         """Archive member, offset and length of every indexed record."""
         by_name = {m.name.rpartition("/")[2]: m for m in self.archives()}
         for index in self.indexes():
-            lines = bytes(self.read_at(self.start(index), index.size)).split(b"\n")
+            lines = _unpacked(bytes(self.read_at(self.start(index), index.size))).split(b"\n")
             for line in lines:
                 at = line.find(b"{")
                 if at >= 0:
                     where = json.loads(line[at:])
-                    yield by_name[where["filename"]], int(where["offset"]), int(where["length"])
-
-    def records(self) -> Iterator[Record]:
-        """All records: those of indexed archives by range, the others by a walk."""
-        starts, seen = {m.name: self.start(m) for m in self.archives()}, set()
+                    member = by_name.get(where.get("filename"))
+                    if member and "offset" in where and "length" in where:
+                        yield member, int(where["offset"]), int(where["length"])
+
+    def pieces(self) -> Iterator[tuple[int, int]]:
+        """Byte ranges of the package that cover its archives: indexed records, and what
+        lies between them."""
+        named: dict[str, list[tuple[int, int]]] = {m.name: [] for m in self.archives()}
         for member, offset, length in self.ranges():
-            seen.add(member.name)
-            yield parse_record(_plain(bytes(self.read_at(starts[member.name] + offset, length))))[0]
+            if 0 <= offset and 0 < length and offset + length <= member.size:
+                named[member.name].append((offset, length))
         for member in self.archives():
-            if member.name not in seen:
-                yield from self._walk(member, starts[member.name])
-
-    def _walk(self, member: Member, start: int) -> Iterator[Record]:
-        data, at = bytes(self.read_at(start, member.size)), 0
-        while at < len(data):
-            if data[at : at + 2] == b"\x1f\x8b":
-                press = zlib.decompressobj(31)
-                raw = press.decompress(data[at:]) + press.flush()
-                yield parse_record(raw)[0]
-                at = len(data) - len(press.unused_data)
-            else:
-                found, length = parse_record(data[at:])
-                yield found
-                at += length
+            start, at = self.start(member), 0
+            for offset, length in sorted(named[member.name]):
+                if offset >= at:
+                    if offset > at:
+                        yield start + at, offset - at
+                    yield start + offset, length
+                    at = offset + length
+            if at < member.size:
+                yield start + at, member.size - at
+
+    def records(self) -> Iterator[Record]:
+        for start, length in self.pieces():
+            yield from walk(self.read_at, start, length)
+
+
+#: Bytes read at once where the length of a record is not known.
+STEP = 1 << 20
+
+
+def walk(read_at: Callable[[int, int], bytes], at: int, length: int) -> Iterator[Record]:
+    """The records of a byte range, read in steps: a record is in memory, the range is not."""
+    end = at + length
+    while at < end:
+        first = bytes(read_at(at, min(STEP, end - at)))
+        if first[:2] == b"\x1f\x8b":
+            press, raw, step, reached = zlib.decompressobj(31), [], first, at
+            while True:
+                raw.append(press.decompress(step))
+                reached += len(step)
+                if press.eof or reached >= end:
+                    break
+                step = bytes(read_at(reached, min(STEP, end - reached)))
+            at = reached - len(press.unused_data)
+            yield parse_record(b"".join(raw))[0]
+        elif first.strip(b"\r\n"):
+            size = sum(_head(first)[1:])
+            if size > end - at:
+                raise ValueError("a WARC record is cut off")
+            found, length = parse_record(first if size <= len(first) else bytes(read_at(at, size)))
+            yield found
+            at += length
+        else:  # empty lines
+            at += len(first)
 
 
 def _plain(raw: bytes) -> bytes:
     return zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw
 
 
+def _unpacked(data: bytes) -> bytes:
+    """``data``, or the contents of its gzip members."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        press = zlib.decompressobj(31)
+        out.append(press.decompress(data))
+        data = press.unused_data
+    return b"".join(out) or data
+
+
 # ---- on Spark ----
 
 
@@ -328,34 +392,77 @@ def write_packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_B
     packages.write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(folder)
 
 
+SHAPE = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+KINDS = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+
+
+def _tables(records: Iterator[Record], payload: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of about 4 MB of the rows that ``read_packages`` returns."""
+    names = [f.split()[0] for f in SHAPE.split(", ")] + (["payload"] if payload else [])
+    kinds = KINDS + ([pa.binary()] if payload else [])
+    rows, held = [], 0
+    for r in records:
+        row = (r.page_id, r.headers.get("warc-target-uri"), r.payload_bytes, r.payload_digest, r.kind, r.refers_to)
+        rows.append((*row, None if r.kind == "revisit" else r.payload) if payload else row)
+        held += len(r.payload) if payload else 200
+        if held > 4 << 20:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            rows, held = [], 0
+    if rows:
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
 def read_packages(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
     """A row per record of all packages under ``folder``: ``page_id``, ``url``,
     ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to`` and, if
-    asked for, ``payload`` (null in a revisit)."""
-    shape = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    names = [f.split()[0] for f in shape.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    if payload:
-        shape, names, kinds = f"{shape}, payload binary", [*names, "payload"], [*kinds, pa.binary()]
-
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    asked for, ``payload`` (null in a revisit). For packages of up to 2 GB."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 view = memoryview(content.as_buffer())
-                rows, held = [], 0
-                for r in Package(lambda at, n, v=view: v[at : at + n], len(view)).records():
-                    kind = r.headers["warc-type"]
-                    row = (r.page_id, r.headers.get("warc-target-uri"), r.payload_bytes, r.payload_digest, kind, r.refers_to)
-                    rows.append((*row, r.payload if kind == "response" else None) if payload else row)
-                    held += len(r.payload) if payload else 200
-                    if held > 4 << 20:
-                        yield table(rows)
-                        rows, held = [], 0
-                if rows:
-                    yield table(rows)
+                yield from _tables(Package(lambda at, n, v=view: v[at : at + n], len(view)).records(), payload)
 
     files = spark.read.format("binaryFile").load(folder).where("length > 0")
-    return files.select("content").mapInArrow(task, shape)
+    return files.select("content").mapInArrow(task, SHAPE + (", payload binary" if payload else ""))
+
+
+Opener = Callable[[str], tuple[Callable[[int, int], bytes], int]]
+
+
+def open_uri(path: str) -> tuple[Callable[[int, int], bytes], int]:
+    """``read_at`` and size of a file of any store that Arrow's file systems reach."""
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    file = store.open_input_file(name)
+    return lambda at, n: file.read_at(n, at), file.size()
+
+
+def record_ranges(paths: DataFrame, opener: Opener = open_uri) -> DataFrame:
+    """``path``, ``start`` and ``length`` of every piece of the packages in column
+    ``path``; of a package only its directory and indexes are read."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                found = list(Package(*opener(path)).pieces())
+                columns = [pa.array([path] * len(found), pa.string()), *(pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))]
+                yield pa.record_batch(columns, names=["path", "start", "length"])
+
+    return paths.select("path").where("path IS NOT NULL").mapInArrow(task, "path string, start long, length long")
+
+
+def read_ranges(ranges: DataFrame, payload: bool = True, opener: Opener = open_uri) -> DataFrame:
+    """The records of ``record_ranges``, as ``read_packages`` returns them. Deal the
+    rows out (``repartition``) before, so that pieces of one large package spread."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, read_at = None, None
+        for batch in batches:
+            for name, start, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != path:
+                    path, (read_at, _) = name, opener(name)
+                yield from _tables(walk(read_at, start, length), payload)
+
+    return ranges.select("path", "start", "length").mapInArrow(task, SHAPE + (", payload binary" if payload else ""))

@@ -62,6 +62,11 @@ def test_large_window_sets_are_not_broadcast(spark, corpus):
     assert sorted(map(tuple, hits.collect()), key=repr) == sorted(map(tuple, d.window_hits(docs, items).collect()), key=repr)
 
 
+def test_no_text_is_shuffled_by_word(spark, corpus):
+    docs, _ = frames(spark, *corpus)
+    assert [t for _, t in d.window_positions(docs, [3, 10], "doc_id", "text").dtypes] == ["bigint", "bigint", "int", "int", "bigint"]
+
+
 def test_empty_tables(spark):
     docs, items = frames(spark, [(1, "a b c")], [])
     assert d.contamination(docs, items).first()["n_hit"] == 0

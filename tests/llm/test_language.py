@@ -44,6 +44,32 @@ def test_words():
     assert "".join(parts) == "▁b▁" + "a" * 100 and max(map(len, parts)) <= g.LONGEST
 
 
+def test_numbers_are_no_letters(spark, docs):
+    odd = spark.createDataFrame([(1, "½ ² ①"), (2, "Ⅷ"), (3, "٣ ৪ _"), (4, "¼x")], "doc_id long, text string")
+    assert [g.words_of(r["text"]) for r in odd.collect()] == [[], [], [], ["x"]]
+    both = docs.select("doc_id", "text", "lang").unionByName(odd.selectExpr("doc_id + 9000 AS doc_id", "text", "cast(null as string) AS lang"))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in g.identify(both).where("doc_id > 9000").collect()}
+    assert [got[9001], got[9002], got[9003]] == [("und", 0.0)] * 3 and got[9004][0] != "und"
+
+
+def test_memory_does_not_grow_with_languages():
+    import tracemalloc
+
+    pieces = g.Pieces(g.vocabulary())
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    words = [f"▁{a}{b}{c}ab{d}" for a in alphabet for b in alphabet for c in alphabet for d in "abc"]
+    peaks = []
+    for languages in (4, 100):
+        p = np.full((pieces.n + 1, languages), 1e-4)
+        at_once = g.bounds(languages)[1]
+        tracemalloc.start()
+        for at in range(0, len(words), at_once):
+            g.Lattice(words[at : at + at_once], pieces).log_likelihood(p)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
+
+
 def test_pieces_are_found_by_their_hashes():
     pieces = g.vocabulary()
     found = g.Pieces(pieces)

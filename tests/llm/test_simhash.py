@@ -81,7 +81,22 @@ def test_documents(spark):
     assert all(f == signed(fingerprint(base)) for i, f, _ in got if i in (3, 5))
     kept = s.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] or -1 for r in kept.collect())) == [-1, -1, 3, 7, 11, 20]
+    # of the rows without an id one joins a group with ids, the other is alone
+    assert sorted((r["doc_id"] or -1 for r in kept.collect())) == [-1, 3, 7, 11, 20]
+
+
+def test_the_largest_id(spark):
+    top = 2**63 - 1
+    docs = spark.createDataFrame([(top, "a b c d"), (-top - 1, "a b c d"), (5, "quite another text here"), (None, "no id")], "doc_id long, text string")
+    assert sorted((r["id"] or 0, r["component"] or 0) for r in s.near_duplicates(docs).collect()) == [(-top - 1, -top - 1), (0, 0), (5, 5), (top, -top - 1)]
+    assert s.keep_one(docs).count() == 3
+
+
+def test_one_id_with_two_texts_loses_neither(spark):
+    rows = [(1, "first text of its own"), (1, "a second and unrelated one"), (2, "repeated row"), (2, "repeated row")] + [(None, "a copy without an id")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, s.keep_one(docs).collect()), key=repr)
+    assert kept == sorted(set(rows), key=repr)
 
 
 def test_empty_table(spark):

@@ -1,6 +1,7 @@
 import hashlib
 import io
 import zipfile
+import zlib
 
 import pytest
 from shelfline.llm import warc_zip as w
@@ -87,3 +88,52 @@ def test_round_trip(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     w.write_packages(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "none"))
     assert w.read_packages(spark, str(tmp_path / "none")).count() == 0
+
+
+INFO = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: 9\r\n\r\nsoftware:\r\n\r\n"
+
+
+def test_other_record_types():
+    plain = INFO + w.record(4, None, b"body", 4, hashlib.sha1(b"body").hexdigest(), None)
+    bare = b"WARC/1.1\r\nWARC-Type: revisit\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    records = list(opened(w.package([("archive/a.warc", plain + bare)])).records())
+    assert [(r.kind, r.page_id, r.payload_bytes) for r in records] == [("warcinfo", None, 9), ("response", 4, 4), ("revisit", None, None)]
+    assert records[0].payload_digest == hashlib.sha1(b"software:").hexdigest() and records[2].payload_digest is None
+
+
+@pytest.mark.parametrize("kept", [[], [0], [2, 3], [1, 4], [4, 0, 2]])
+@pytest.mark.parametrize("packed", [False, True])
+def test_an_index_of_some_records_hides_none(kept, packed):
+    writer = filled()
+    lines = "".join(f"{writer.lines[i]}\n" for i in kept) + 'x {"filename": "other.warc.gz", "offset": "0", "length": "5"}\nx {"filename": "data.warc.gz", "offset": "5", "length": "99999999"}\n'
+    index = zlib.compress(lines.encode(), wbits=31) if packed else lines.encode()
+    data = w.package([("archive/data.warc.gz", bytes(writer.data)), (f"indexes/i.cdxj{'.gz' if packed else ''}", index)])
+    assert sorted(r.page_id for r in opened(data).records()) == list(range(5))
+
+
+def test_a_directory_without_its_zip64_field():
+    data = bytearray(filled(1).close())
+    at = data.find(w.CENTRAL)
+    name = int.from_bytes(data[at + 28 : at + 30], "little")
+    data[at + 46 + name : at + 48 + name] = b"\x09\x00"
+    with pytest.raises(ValueError, match="ZIP64 field"):
+        opened(bytes(data))
+
+
+def test_long_records_are_walked_in_steps(monkeypatch):
+    monkeypatch.setattr(w, "STEP", 512)
+    bodies = [bytes([65 + i]) * (i * 700) for i in range(4)]
+    plain = [w.record(i, None, b, len(b), "", None) for i, b in enumerate(bodies)]
+    packed = b"".join(zlib.compress(p, wbits=31) for p in plain)
+    package = w.package([("a.warc", INFO + b"".join(plain)), ("b.warc.gz", packed)])
+    assert [r.payload for r in opened(package).records() if r.kind == "response"] == bodies * 2
+
+
+def test_ranges_are_read_by_tasks(spark, tmp_path):
+    (tmp_path / "a.zip").write_bytes(filled(40).close())
+    paths = spark.createDataFrame([(f"file://{tmp_path}/a.zip",), (None,)], "path string")
+    ranges = w.record_ranges(paths)
+    assert ranges.count() == 40
+    read = w.read_ranges(ranges.repartition(4)).collect()
+    assert sorted(r["page_id"] for r in read) == list(range(40))
+    assert all(hashlib.sha1(r["payload"]).hexdigest() == r["payload_digest"] for r in read)
