@@ -70,27 +70,53 @@ def trend_codes() -> Column:
     return F.array_distinct(F.filter(listed, lambda c: c != ""))
 
 
+def _series_of(health: DataFrame, trends: DataFrame, codes: Column) -> DataFrame:
+    """``health`` with ``weekly_units``: the added-up weeks of each row's codes, in order.
+
+    Every series is folded to one array before the join, so a row meets its codes, not
+    their weeks, and no window over weeks is needed."""
+    week = F.struct(F.col("week_start"), F.col("qty_depleted").alias("qty"))
+    per_code = trends.groupBy(F.col("distributor_code").alias("_code")).agg(F.collect_list(week).alias("_weeks"))
+    rows = health.select(F.struct(*health.columns).alias("_row"), F.explode_outer(codes).alias("_code"))
+    joined = rows.join(per_code, "_code", "left").groupBy(F.col("_row.distributor_code").alias("_key")).agg(
+        F.first("_row").alias("_row"), F.flatten(F.collect_list("_weeks")).alias("_weeks")
+    )
+    starts = F.array_sort(F.array_distinct(F.transform("_weeks", lambda w: w["week_start"])))
+    nothing = F.lit(None).cast("double")
+    added = lambda start: F.aggregate(
+        F.filter("_weeks", lambda w: w["week_start"] == start),
+        nothing,
+        lambda total, w: F.coalesce(total + w["qty"], total, w["qty"].cast("double")),
+    )
+    return joined.select("_row.*", F.transform(starts, added).alias("weekly_units"))
+
+
 def stockout_risk(
-    health: DataFrame, trends: DataFrame, as_of: date, codes: Column | None = None
+    health: DataFrame, trends: DataFrame | None, as_of: date, codes: Column | None = None
 ) -> DataFrame:
     """Q14: weeks to stock-out, risk score and reorder advice per health row.
 
-    ``distributor_code`` names a row. The weekly series of its codes are added up first. Trend compares the last
-    four weeks with the first four of the series when it has at least eight weeks;
-    variation is the sample deviation over the mean.
+    ``distributor_code`` names a row. The weekly series of its codes are added up:
+    from ``trends``, or without them as ``weekly_units`` of ``health``, which come with
+    the pass over the facts that makes it. Trend compares the last four weeks with the
+    first four of the series when it has at least eight weeks; variation is the sample
+    deviation over the mean.
     """
-    codes = trend_codes() if codes is None else codes
-    weeks = trends.select(F.col("distributor_code").alias("_code"), "week_start", "qty_depleted")
-    whole = F.struct(*health.columns).alias("_row")
-    rows = health.select(F.col("distributor_code").alias("_key"), whole, F.explode_outer(codes).alias("_code"))
-    series_of = rows.join(weeks, "_code", "left").groupBy("_key", "week_start").agg(
-        F.sum("qty_depleted").alias("qty_depleted"), F.first("_row").alias("_row")
+    if trends is not None:
+        health = _series_of(health, trends, trend_codes() if codes is None else codes)
+    whole = health.withColumn("_v", F.transform(F.array_compact("weekly_units"), lambda x: x.cast("double")))
+    n = F.size("_v")
+    mean_of = lambda a, size: F.aggregate(a, F.lit(0.0), lambda t, x: t + x) / size
+    sized = whole.withColumn("n", n).withColumn("mean", F.when(F.col("n") > 0, mean_of(F.col("_v"), F.col("n"))))
+    long = F.col("n") >= 4
+    squares = F.aggregate("_v", F.lit(0.0), lambda t, x: t + (x - F.col("mean")) * (x - F.col("mean")))
+    joined = sized.withColumns(
+        {
+            "first4": F.when(long, mean_of(F.slice("_v", 1, 4), F.lit(4.0))),
+            "last4": F.when(long, mean_of(F.slice("_v", -4, 4), F.lit(4.0))),
+            "sd_samp": F.when(F.col("n") > 1, F.sqrt(squares / (F.col("n") - 1))),
+        }
     )
-    # A code without a series adds no week; a row without any keeps one empty week.
-    any_week = F.max("week_start").over(Window.partitionBy("_key"))
-    series_of = series_of.withColumn("_any", any_week).filter("week_start IS NOT NULL OR _any IS NULL").drop("_any")
-    joined = series_stats(series_of, "week_start", "qty_depleted", ["_key"], ["_row"]).select("_row.*", "*")
-    joined = joined.drop("_row", "_key")
 
     seen = F.col("n") >= 4
     base = F.when(F.col("n") >= 8, F.col("first4")).otherwise(F.col("last4"))

@@ -7,7 +7,7 @@ Units are individual bottles, cans or shots; case quantities are multiplied out.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,14 +127,24 @@ def trailing(lines: DataFrame, day: str, as_of: date, days: int) -> DataFrame:
     return lines.filter(day_range(day, days_before(as_of, days), as_of))
 
 
+def line_count(lines: DataFrame) -> Column:
+    """Number of lines in a group of rows: rows of a summary say how many they stand for."""
+    return F.sum("line_count") if "line_count" in lines.columns else F.count(F.lit(1))
+
+
 def depletion_by(
-    lines: DataFrame, items: DataFrame, keys: Sequence, windows: Mapping[str, Column] | None = None
+    lines: DataFrame,
+    items: DataFrame,
+    keys: Sequence,
+    windows: Mapping[str, Column] | None = None,
+    empty_windows: bool = True,
 ) -> DataFrame:
     """Sell-through pre-aggregated to ``keys`` x item, then converted to ``units``.
 
     Lines collapse before the item look-up, so a best-seller that owns a third of the
     lines reaches the join as at most one row per key. ``windows`` adds the units of
-    the lines that meet each condition, from the same pass.
+    the lines that meet each condition, from the same pass: 0 where there is none, or
+    NULL if not ``empty_windows``. ``lines`` may be a daily summary of them.
     """
     each = F.col("uom") == UOM_EACH
     conditions = {"units": None, **(windows or {})}
@@ -146,7 +156,7 @@ def depletion_by(
     grouped = lines.groupBy(*keys, "item_code").agg(
         *[summed(w, ~F.coalesce(each, F.lit(False))).alias(f"_{n}_boxed") for n, w in conditions.items()],
         *[summed(w, F.coalesce(each, F.lit(False))).alias(f"_{n}_each") for n, w in conditions.items()],
-        F.count(F.lit(1)).alias("lines"),
+        line_count(lines).alias("lines"),
         F.min("sale_date").alias("first_sale"),
         F.max("sale_date").alias("last_sale"),
     )
@@ -155,6 +165,9 @@ def depletion_by(
     units = {
         n: zero_if_null(f"_{n}_boxed") * size + zero_if_null(f"_{n}_each") for n in conditions
     }
+    if not empty_windows:
+        some = {n: F.coalesce(f"_{n}_boxed", f"_{n}_each").isNotNull() for n in windows or {}}
+        units |= {n: F.when(some[n], units[n]) for n in some}
     spent = [f"_{n}_{part}" for n in conditions for part in ("boxed", "each")]
     return joined.withColumns(units).drop(*spent)
 
@@ -162,7 +175,7 @@ def depletion_by(
 def units_by_measure(lines: DataFrame, items: DataFrame) -> DataFrame:
     """Q01 as a report: lines, quantity and units per unit of measure."""
     summed = lines.groupBy("uom", "item_code").agg(
-        F.count(F.lit(1)).alias("lines"), F.sum("qty").alias("qty")
+        line_count(lines).alias("lines"), F.sum("qty").alias("qty")
     )
     joined = summed.join(items, "item_code", "left")
     units = to_units(F.col("qty"), F.col("uom"), F.col("units_per_case"))
@@ -241,27 +254,46 @@ def all_channel_revenue(orders: DataFrame, as_of: date, lookback_days: int = 90)
 
 # -- sell-through by distributor ----------------------------------------------
 
+def trend_slots(as_of: date, weeks: int) -> dict[str, Column]:
+    """A condition on ``sale_date`` for every Sunday week of the trend window, in order."""
+    start = days_before(as_of, weeks * 7)
+    first = start - timedelta(days=start.isoweekday() % 7)
+    starts = [first + timedelta(days=7 * i) for i in range((as_of - first).days // 7 + 1)]
+    return {
+        f"week_{i}": day_range("sale_date", max(day, start), min(day + timedelta(days=6), as_of))
+        for i, day in enumerate(starts)
+    }
+
+
 def distributor_depletion(
-    lines: DataFrame, items: DataFrame, as_of: date, lookback_days: int = 90
+    lines: DataFrame, items: DataFrame, as_of: date, lookback_days: int = 90, trend_weeks: int | None = None
 ) -> DataFrame:
-    """Q04: units, distinct stores, lines and weekly rate per distributor code."""
-    grain = depletion_by(
-        trailing(lines, "sale_date", as_of, lookback_days), items, ["dist_code", "acct_code"]
-    )
+    """Q04: units, distinct stores, lines and weekly rate per distributor code.
+
+    ``trend_weeks`` adds ``weekly_units``, the units of each week of a trend window
+    inside the look-back (NULL without a sale), from the same pass."""
+    slots = trend_slots(as_of, trend_weeks) if trend_weeks else {}
+    window = trailing(lines, "sale_date", as_of, max(lookback_days, (trend_weeks or 0) * 7))
+    grain = depletion_by(window, items, ["dist_code", "acct_code"], slots, empty_windows=False)
+    weekly = [F.array(*[F.sum(w) for w in slots]).alias("weekly_units")] if slots else []
     return (
         grain.groupBy(F.col("dist_code").alias("distributor_code"))
         .agg(
             F.sum("units").alias("qty_depleted"),
             F.countDistinct("acct_code").alias("stores_reached"),
             F.sum("lines").alias("transaction_count"),
+            *weekly,
         )
         .withColumn("weekly_depletion_rate", F.col("qty_depleted") / F.lit(lookback_days / 7.0))
     )
 
 
-def _reconciled(order_totals: DataFrame, distributors: DataFrame, depletion: DataFrame) -> DataFrame:
+def _reconciled(
+    order_totals: DataFrame, distributors: DataFrame, depletion: DataFrame, trend_weeks: int = 0
+) -> DataFrame:
     """Order accounts with the sell-through of every distributor below them, plus
-    distributors no order account covers.
+    distributors no order account covers. ``trend_weeks``: entries of ``weekly_units``
+    of the sell-through to add up as well.
 
     A distributor belongs to an account through its own id or its parent's id; both
     become one equi key. The full join lets one pass serve both halves, so the order
@@ -292,6 +324,10 @@ def _reconciled(order_totals: DataFrame, distributors: DataFrame, depletion: Dat
     )
     rows = rows.filter(F.col("has_orders") | orphan)
     orders_of = lambda c: F.coalesce(F.max(c), F.lit(0)).alias(c)
+    weekly = []
+    if trend_weeks:
+        sums = [F.sum(F.get("weekly_units", F.lit(i))) for i in range(trend_weeks)]
+        weekly = [F.array(*sums).alias("weekly_units")]
     return rows.groupBy(
         "has_orders",
         F.when(F.col("has_orders"), F.col("account_id")).otherwise(F.col("code")).alias("account_id"),
@@ -309,6 +345,7 @@ def _reconciled(order_totals: DataFrame, distributors: DataFrame, depletion: Dat
         F.sum("transaction_count").alias("depletion_transactions"),
         F.max("total_retailers").alias("total_retailers"),
         (F.count("code") > 0).alias("has_vip_match"),
+        *weekly,
     )
 
 
@@ -358,15 +395,20 @@ def inventory_health(
     as_of: date,
     lookback_days: int = 90,
     revenue_lines: DataFrame | None = None,
+    trend_weeks: int | None = None,
 ) -> DataFrame:
     """Q07: order / sell-through ratio, weeks of inventory and status per account.
 
     The revenue total needs no customer: ``revenue_lines`` are the order lines
-    without that join (default: ``orders``)."""
+    without that join (default: ``orders``). ``trend_weeks``, at most the look-back,
+    adds ``weekly_units`` of the account's distributors."""
+    if trend_weeks and trend_weeks * 7 > lookback_days:
+        raise ValueError("the trend is longer than the look-back")
     totals = distributor_order_totals(orders, sku_map, as_of, lookback_days)
-    depletion = distributor_depletion(lines, items, as_of, lookback_days)
+    depletion = distributor_depletion(lines, items, as_of, lookback_days, trend_weeks)
     revenue = all_channel_revenue(orders if revenue_lines is None else revenue_lines, as_of, lookback_days)
-    combined = _with_rate(_reconciled(totals, distributors, depletion), lookback_days)
+    slots = len(trend_slots(as_of, trend_weeks)) if trend_weeks else 0
+    combined = _with_rate(_reconciled(totals, distributors, depletion, slots), lookback_days)
     sold = F.col("total_qty_depleted")
     delta = F.col("qty_ordered") - zero_if_null(sold)
     return combined.select(
@@ -391,6 +433,7 @@ def inventory_health(
         stock_status(F.col("qty_ordered"), sold, "No Depletion Data", "No Recent Orders").alias(
             "inventory_status"
         ),
+        *(["weekly_units"] if slots else []),
     )
 
 

@@ -43,7 +43,7 @@ def depletion(t: Tables) -> DataFrame:
     return inv.distributor_depletion(sold_lines(t, WINDOW_START), items(t), AS_OF, DAYS)
 
 
-def health(t: Tables) -> DataFrame:
+def health(t: Tables, trend_weeks: int | None = None) -> DataFrame:
     return inv.inventory_health(
         roles.b2b_order_line(t, WINDOW_START),
         roles.sku_map(t),
@@ -53,6 +53,7 @@ def health(t: Tables) -> DataFrame:
         AS_OF,
         DAYS,
         roles.b2b_order_line(t, WINDOW_START, with_customer=False),
+        trend_weeks,
     )
 
 

@@ -292,6 +292,10 @@ RISK_ROUNDED = ["adjusted_weekly_rate", "velocity_trend_pct", "velocity_cv", "we
 
 
 def _risk(t):
+    return fc.stockout_risk(inputs.health(t, inputs.WEEKS), None, AS_OF)
+
+
+def _risk_from_trends(t):
     return fc.stockout_risk(inputs.health(t), inputs.distributor_weeks(t), AS_OF)
 
 
@@ -300,6 +304,11 @@ def _(t):
     return _risk(t)
 
 
+@query("Q14_risk_from_trends", f"WITH {RISK_CTES} SELECT * FROM risk", rounded=RISK_ROUNDED, digits=4)
+def _(t):
+    return _risk_from_trends(t)
+
+
 @query(
     "Q14_stockout_timeline",
     f"""WITH {RISK_CTES} SELECT * FROM risk WHERE predicted_stockout_date IS NOT NULL
