@@ -137,6 +137,18 @@ def door_fact_sheet(
     )
 
 
+def recent_door_kpis(doors: DataFrame, lines: DataFrame, items: DataFrame, as_of: date) -> DataFrame:
+    """Units of the last 90 days and of the 90 before per door, and whether it churned:
+    nothing ordered within ``AT_RISK_DAYS``, which is all that needs to be read."""
+    day = F.col("sale_date")
+    after = lambda n: day > F.lit(days_before(as_of, n))
+    recent = lines.filter((day >= F.lit(days_before(as_of, AT_RISK_DAYS))) & (day <= F.lit(as_of)))
+    grain = depletion_by(recent, items, ["acct_code"], {"current": after(90), "prior": after(180) & ~after(90)})
+    sums = grain.groupBy(F.col("acct_code").alias("vip_id")).agg(F.sum("current").alias("current"), F.sum("prior").alias("prior"))
+    joined = doors.select("vip_id").join(sums, "vip_id", "left")
+    return joined.select("vip_id", zero_if_null("current").alias("current"), zero_if_null("prior").alias("prior"), F.col("current").isNull().alias("churned"))
+
+
 def chain_doors(sheet: DataFrame) -> DataFrame:
     """Doors that belong to a chain."""
     return sheet.filter(F.col("chain_code").isNotNull() & (F.col("chain_code") != ""))

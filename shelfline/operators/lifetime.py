@@ -108,12 +108,10 @@ def _nearby_amounts(web: DataFrame) -> DataFrame:
 
 
 def _flag_duplicates(legacy: DataFrame, web: DataFrame, window: Column) -> DataFrame:
-    """``legacy`` with ``is_duplicate``: one pass over it, in which orders outside the
-    window have no day to match on."""
+    """The ``legacy`` orders of the window with ``is_duplicate``."""
     placed = F.col("ordered_at").cast("date")
-    keyed = lambda df, day: df.withColumns({"day": day, "bucket": F.floor("total").cast("bigint")})
-    nearby = _nearby_amounts(keyed(web.filter(window), placed))
-    joined = keyed(legacy, F.when(window, placed)).join(nearby, ["email", "day", "bucket"], "left")
+    keyed = lambda df: df.filter(window).withColumns({"day": placed, "bucket": F.floor("total").cast("bigint")})
+    joined = keyed(legacy).join(_nearby_amounts(keyed(web)), ["email", "day", "bucket"], "left")
     near = (
         F.col("same")
         | (F.col("above") - F.col("total") < 1)
@@ -132,15 +130,17 @@ def overlap_duplicates(legacy: DataFrame, web: DataFrame, start: date, end: date
     """Q87: legacy orders of the overlap window that the web platform holds too: same
     address, same day, totals less than 1.00 apart."""
     window = _in_overlap(start, end)
-    flagged = _flag_duplicates(legacy.filter(window), web, window)
+    flagged = _flag_duplicates(legacy, web, window)
     return flagged.filter("is_duplicate").select("order_id").distinct()
 
 
 def deduplicated_orders(legacy: DataFrame, web: DataFrame, start: date, end: date) -> DataFrame:
-    """Q87: all orders without those duplicates: each platform is read once, and the
-    web platform once more for the amounts of the overlap window."""
-    checked = _flag_duplicates(legacy, web, _in_overlap(start, end))
-    return checked.filter("NOT is_duplicate").drop("is_duplicate").unionByName(web)
+    """Q87: all orders without those duplicates. Only the orders of the overlap window
+    enter the duplicate join; the rest of the history passes by it, in a scan of its own."""
+    window = _in_overlap(start, end)
+    checked = _flag_duplicates(legacy, web, window).filter("NOT is_duplicate").drop("is_duplicate")
+    outside = legacy.filter(~F.coalesce(window, F.lit(False)))
+    return outside.unionByName(checked).unionByName(web)
 
 
 # -- customers ---------------------------------------------------------------------

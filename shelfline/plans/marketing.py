@@ -50,10 +50,10 @@ def _(t):
     return _web(t)
 
 
-KEY = """CASE WHEN label = '' THEN NULL WHEN label = 'Coupon Returns Spring' THEN 'coupon_returns'
-  WHEN label = 'Samples' THEN 'samples_sent' WHEN label = 'Newsletter Readers' THEN 'newsletter_readers'
-  WHEN label = 'Open Outlets' THEN 'open_outlets' WHEN label = 'Blog Articles' THEN 'blog_articles'
-  WHEN label = 'Store Revenue' THEN 'store_revenue' WHEN lower(label) LIKE '%trade fairs%' THEN 'trade_fairs' END"""
+KEY = """CASE WHEN label = '' THEN NULL WHEN label = 'Urgent Orders Spring' THEN 'urgent_orders'
+  WHEN label = 'High Priority' THEN 'high_priority_orders' WHEN label = 'Unspecified Orders' THEN 'unspecified_orders'
+  WHEN label = 'Buying Doors' THEN 'buying_doors' WHEN label = 'Open Orders' THEN 'open_orders'
+  WHEN label = 'Retail To Date' THEN 'retail_to_date' WHEN lower(label) LIKE '%even buyer orders%' THEN 'even_buyer_orders' END"""
 KEYED = f"""(SELECT * FROM (SELECT *, max(position) OVER (PARTITION BY key) AS last_position
   FROM (SELECT *, {KEY} AS key FROM sheet_cell) WHERE key IS NOT NULL) WHERE position = last_position)"""
 VALUES = f"""SELECT key, week, TRY_CAST(trim(replace(replace(cell, '$', ''), ',', '')) AS DOUBLE) AS value
@@ -89,25 +89,25 @@ def _(t):
 
 
 GRID = f"""SELECT coalesce(l.key, s.key) AS key, coalesce(l.week, s.week) AS week, coalesce(live, value) AS value
-FROM (SELECT 'store_revenue' AS key, week_start AS week, cumulative_revenue AS live FROM ({CUMULATIVE})
-  UNION ALL SELECT 'web_revenue', week_start, revenue FROM ({WEB})
-  UNION ALL SELECT 'open_outlets', DATE '2001-06-18', CAST(n AS DOUBLE) FROM (
+FROM (SELECT 'retail_to_date' AS key, week_start AS week, cumulative_revenue AS live FROM ({CUMULATIVE})
+  UNION ALL SELECT 'web_week', week_start, revenue FROM ({WEB})
+  UNION ALL SELECT 'buying_doors', DATE '2001-06-18', CAST(n AS DOUBLE) FROM (
     SELECT count(DISTINCT vip_id) AS n FROM sheet WHERE days_since_last_order <= 90)
-  UNION ALL SELECT 'page_trackers', DATE '2001-06-18', CAST(n AS DOUBLE) FROM (
+  UNION ALL SELECT 'largest_tracker', DATE '2001-06-18', CAST(n AS DOUBLE) FROM (
     SELECT max(exact_count) AS n FROM ({COUNTS}))) l
 FULL JOIN ({VALUES}) s ON l.key = s.key AND l.week = s.week
-WHERE coalesce(l.key, s.key) NOT IN ('store_revenue', 'web_revenue') OR coalesce(l.week, s.week) >= DATE '2001-04-02'"""
+WHERE coalesce(l.key, s.key) NOT IN ('retail_to_date', 'web_week') OR coalesce(l.week, s.week) >= DATE '2001-04-02'"""
 
 
 def _grid(t):
     live = (
         sc.cumulative_weeks(_retail(t))
-        .selectExpr("'store_revenue' AS key", "week_start AS week", "cumulative_revenue AS value")
-        .unionByName(_web(t).selectExpr("'web_revenue' AS key", "week_start AS week", "revenue AS value"))
+        .selectExpr("'retail_to_date' AS key", "week_start AS week", "cumulative_revenue AS value")
+        .unionByName(_web(t).selectExpr("'web_week' AS key", "week_start AS week", "revenue AS value"))
     )
-    doors = acc.active_doors(_sheet(t)).selectExpr("'open_outlets' AS key", "active_doors AS value")
+    doors = acc.active_doors(_sheet(t)).selectExpr("'buying_doors' AS key", "active_doors AS value")
     social = _counts(t).agg(F.max("exact_count").alias("value"))
-    snapshots = doors.unionByName(social.selectExpr("'page_trackers' AS key", "value"))
+    snapshots = doors.unionByName(social.selectExpr("'largest_tracker' AS key", "value"))
     written = sc.sheet_values(roles.metric_sheet(t), YEAR, roles.METRICS, position="position")
     return sc.metric_grid(live, snapshots, written, roles.SHEET_WEEKS, TODAY, roles.METRICS)
 

@@ -194,8 +194,8 @@ SELECT code, label, position, week, total,
 FROM (
   SELECT l.code, label, position, w.week, count(o.code) FILTER (WHERE o.week = w.week) AS n, count(o.code) AS total
   FROM (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW', 'F', 'O', 'P', '0', '1']) AS code,
-      unnest(['Coupon Returns Spring', 'Samples', '', 'Newsletter Readers', 'Unlisted Metric', 'Open Outlets',
-        'Blog Articles', 'Store Revenue', 'Trade Fairs', 'trade fairs (final)']) AS label,
+      unnest(['Urgent Orders Spring', 'High Priority', '', 'Unspecified Orders', 'Unlisted Metric', 'Buying Doors',
+        'Open Orders', 'Retail To Date', 'Even Buyer Orders', 'even buyer orders (final)']) AS label,
       unnest(range(0, 10)) AS position) l
     CROSS JOIN (SELECT CAST(unnest(range(DATE '2001-04-02', DATE '2001-07-02', INTERVAL 7 DAY)) AS DATE) AS week) w
     JOIN (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS week,

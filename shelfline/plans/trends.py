@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfline.functions.dates import days_before
+from shelfline.operators import accounts as acc
 from shelfline.operators import quality as dq
 from shelfline.operators import trends as tr
-from shelfline.plans.accounts import SHEET_CTES, _kpi_sql, _sheet, scorecard_kpis
+from shelfline.plans.accounts import SHEET_CTES, _kpi_sql, scorecard_kpis
+from shelfline.plans.inputs import AS_OF, items, sold_lines
 from shelfline.plans.inputs import EVENTS_AS_OF as TODAY
 from shelfline.plans.registry import query
 from shelfline.sources import files, roles
@@ -187,12 +190,14 @@ DOOR_KPIS = "SELECT vip_id AS name, qty_last_90_days AS current, qty_previous_90
 
 
 def _door_kpis(t):
-    return _sheet(t).select(
+    lines = sold_lines(t, days_before(AS_OF, acc.AT_RISK_DAYS))
+    kpis = acc.recent_door_kpis(roles.door(t), lines, items(t), AS_OF)
+    return kpis.select(
         F.col("vip_id").alias("name"),
-        F.col("qty_last_90_days").alias("current"),
-        F.col("qty_previous_90_days").alias("prior"),
+        "current",
+        "prior",
         F.lit("doors").alias("source"),
-        (F.col("customer_status") == "Churned").alias("allow_missing_prior"),
+        F.col("churned").alias("allow_missing_prior"),
     )
 
 

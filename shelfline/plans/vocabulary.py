@@ -71,7 +71,8 @@ WIDE_SHEET = """SELECT label AS "METRIC", 'TEAM' AS "OWNER", '100' AS "TARGET",
 @query("S04_sheet_source", WIDE_SHEET)
 def _(t):
     sheet = roles.metric_sheet(t)
-    path = files.write_csv(sheet, storage.scratch_path(t.spark, "metric-sheet"))
+    # Written with its columns in another order than they are asked for.
+    path = files.write_csv(sheet.select(*(F.col(f"`{c}`") for c in sorted(sheet.columns))), storage.scratch_path(t.spark, "metric-sheet"))
     return files.read_sheet(t.spark, path, sheet.columns).na.fill("")
 
 
@@ -456,9 +457,9 @@ def _(t):
 
 @query(
     "J17_substring_match",
-    """SELECT DISTINCT position, label, CASE code WHEN '1-URGENT' THEN 'coupon_returns' WHEN '2-HIGH' THEN 'samples_sent'
-  WHEN '4-NOT SPECIFIED' THEN 'newsletter_readers' WHEN 'F' THEN 'open_outlets' WHEN 'O' THEN 'blog_articles'
-  WHEN 'P' THEN 'store_revenue' WHEN '0' THEN 'trade_fairs' WHEN '1' THEN 'trade_fairs' END AS key FROM sheet_cell""",
+    """SELECT DISTINCT position, label, CASE code WHEN '1-URGENT' THEN 'urgent_orders' WHEN '2-HIGH' THEN 'high_priority_orders'
+  WHEN '4-NOT SPECIFIED' THEN 'unspecified_orders' WHEN 'F' THEN 'buying_doors' WHEN 'O' THEN 'open_orders'
+  WHEN 'P' THEN 'retail_to_date' WHEN '0' THEN 'even_buyer_orders' WHEN '1' THEN 'even_buyer_orders' END AS key FROM sheet_cell""",
 )
 def _(t):
     sheet = roles.metric_sheet(t)

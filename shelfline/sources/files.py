@@ -38,9 +38,15 @@ def as_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def read_sheet(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """Spreadsheet export: first row is the header, every cell is a string."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.option("header", True).schema(schema).csv(path)
+    """Spreadsheet export: the first row is the header, every cell is a string.
+
+    Columns are found by their names in the file, in whatever order it has them; a
+    name that it lacks is an error."""
+    sheet = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    missing = [c for c in columns if c not in sheet.columns]
+    if missing:
+        raise ValueError(f"the sheet {path} has no column {', '.join(missing)}")
+    return sheet.select(*(F.col(f"`{c}`") for c in columns))
 
 
 def write_csv(df: DataFrame, path: str) -> str:

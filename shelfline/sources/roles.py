@@ -538,29 +538,36 @@ def text_mention(t: Tables) -> DataFrame:
 # -- sheets ---------------------------------------------------------
 
 SHEET_WEEKS = [date(2001, 4, 2) + timedelta(weeks=i) for i in range(13)]
-# The metrics of the sheet that the test tables play, and its row labels.
+#: Codes of orders whose weekly counts the desk writes down, a metric each.
+COUNTED_BY_HAND = {"O": "Open", "1-URGENT": "Urgent", "2-HIGH": "High Priority", "4-NOT SPECIFIED": "Unspecified", "0": "Even Buyer"}
+
+
+def _desk_metric(i: int, label: str) -> Metric:
+    """Counts of standing orders are levels, the others add up."""
+    name = f"{label} Orders"
+    roll = "latest" if label == "Open" else "sum"
+    return Metric(name.lower().replace(" ", "_"), name, "DESK", 2_000.0 * (i + 1), "number", "sheet", roll)
+
+
 METRICS = [
-    Metric("store_revenue", "Store Revenue", "SALES", 500_000_000, "currency", "auto", "max", True),
-    Metric("web_revenue", "Web Revenue", "SALES", 60_000_000, "currency", "auto", "sum", True),
-    Metric("open_outlets", "Open Outlets", "SALES", 1_200, "number", "auto", "latest"),
-    Metric("coupon_returns", "Coupon Returns", "PROMO", 20_000, "currency", "sheet", "sum"),
-    Metric("samples_sent", "Samples Sent", "PROMO", 30_000, "number", "sheet", "sum"),
-    Metric("newsletter_readers", "Newsletter Readers", "MEDIA", 5_000, "number", "auto", "latest"),
-    Metric("page_trackers", "Page Trackers", "MEDIA", 200, "number", "auto", "latest"),
-    Metric("blog_articles", "Blog Articles", "MEDIA", 4_000, "number", "sheet", "latest"),
-    Metric("trade_fairs", "Trade Fairs", "EVENTS", 40_000, "number", "sheet", "sum"),
+    *(_desk_metric(i, label) for i, label in enumerate(COUNTED_BY_HAND.values())),
+    Metric("largest_tracker", "Largest Tracker", "PAGES", 250, "number", "auto", "latest"),
+    Metric("web_week", "Web Week", "PAGES", 45_000_000, "currency", "auto", "sum", True),
+    Metric("buying_doors", "Buying Doors", "DOORS", 900, "number", "auto", "latest"),
+    Metric("retail_to_date", "Retail To Date", "DOORS", 350_000_000, "currency", "auto", "max", True),
 ]
+# What the sheet's rows are called. Two name one metric, one is blank, one unknown.
 SHEET_LABELS = {
-    "1-URGENT": "Coupon Returns Spring",
-    "2-HIGH": "Samples",
+    "1-URGENT": "Urgent Orders Spring",
+    "2-HIGH": "High Priority",
     "3-MEDIUM": "",
-    "4-NOT SPECIFIED": "Newsletter Readers",
+    "4-NOT SPECIFIED": "Unspecified Orders",
     "5-LOW": "Unlisted Metric",
-    "F": "Open Outlets",
-    "O": "Blog Articles",
-    "P": "Store Revenue",
-    "0": "Trade Fairs",
-    "1": "trade fairs (final)",
+    "F": "Buying Doors",
+    "O": "Open Orders",
+    "P": "Retail To Date",
+    "0": "Even Buyer Orders",
+    "1": "even buyer orders (final)",
 }
 
 
