@@ -8,6 +8,7 @@ from shelfline.plans import (  # noqa: F401
     marketing,
     sales,
     service,
+    summaries,
     trends,
     vocabulary,
 )
