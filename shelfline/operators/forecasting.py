@@ -33,6 +33,9 @@ MAX_VARIATION = 0.25
 NO_SIGNAL_VARIATION = 0.15
 BANDS = {"80": (0.8, 0.8), "95": (1.2, 0.6)}
 
+#: Weight of the newest value in exponential smoothing.
+SMOOTHING = 0.3
+
 # Day-of-week seasonal model.
 SEASONAL_MIN_ROWS = 14
 SEASONAL_TREND_WEIGHT = 0.3
@@ -285,6 +288,52 @@ def two_series_forecast(weeks: DataFrame, horizon: int = 12, by: Sequence[str] =
     return joined.withColumn("is_forecast", F.lit(True))
 
 
+def three_model_forecast(
+    df: DataFrame, order: str, value: str, by: Sequence[str] = (), weeks: int = 12, smoothing: float = SMOOTHING
+) -> DataFrame:
+    """Q17: three models and their mean, per series of at least four rows.
+
+    ``lr``: least squares line over the series. ``es``: simple exponential smoothing, a
+    fold over the ordered values. ``mat``: mean of the last four rows, moved by their
+    weekly change against the four before (from eight rows on). None is below zero. A
+    series is folded to one array first; no model needs a window or a second pass."""
+    point = F.struct(F.col(order).alias("at"), F.col(value).cast("double").alias("v"))
+    folded = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(point)).alias("_p"))
+    shaped = folded.withColumn("n", F.size("_p")).filter("n >= 4").withColumn("_v", F.transform("_p", lambda p: p["v"]))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
+    n = F.col("n").cast("double")
+    centred = F.transform("_v", lambda x, i: x * (i - (F.col("n") - 1) / 2.0))
+    smoothed = F.aggregate(
+        F.slice("_v", F.lit(2), F.greatest(F.col("n") - 1, F.lit(0))),
+        F.get("_v", F.lit(0)),
+        lambda level, x: level * (1 - smoothing) + x * smoothing,
+    )
+    last4 = total(F.slice("_v", -4, 4)) / 4
+    before4 = F.when(F.col("n") >= 8, total(F.slice("_v", F.col("n") - 7, F.lit(4))) / 4)
+    fitted = shaped.select(
+        *by,
+        "n",
+        F.array_max(F.transform("_p", lambda p: p["at"])).alias("last_time"),
+        (total(F.col("_v")) / n).alias("mean"),
+        (total(centred) * 12 / (n * (n * n - 1))).alias("slope"),
+        smoothed.alias("_es"),
+        last4.alias("_level"),
+        F.coalesce((last4 - before4) / 4, F.lit(0.0)).alias("_drift"),
+        F.explode(F.sequence(F.lit(1), F.lit(weeks))).alias("step"),
+    )
+    positive = lambda c: F.greatest(F.lit(0.0), c)
+    line = F.col("mean") + F.col("slope") * ((F.col("n") - 1) / 2.0 + F.col("step"))
+    models = fitted.select(
+        *by,
+        "last_time",
+        "step",
+        positive(line).alias("lr"),
+        positive(F.col("_es")).alias("es"),
+        positive(F.col("_level") + F.col("_drift") * F.col("step")).alias("mat"),
+    )
+    return models.withColumn("ensemble", (F.col("lr") + F.col("es") + F.col("mat")) / 3)
+
+
 # -- day-of-week seasonality -------------------------------------------------------
 
 def seasonal_forecast(daily: DataFrame, days: int = 30, by: Sequence[str] = ()) -> DataFrame:

@@ -84,3 +84,58 @@ def duplicate_groups(records: DataFrame, name: str, code: str) -> DataFrame:
         F.max(code).alias("last_code"),
     )
     return out.filter("copies > 1")
+
+
+# -- nearly equal names ---------------------------------------------------------------
+
+#: Characters of a gram, and the least similarity of two sets of grams in per cent.
+GRAM, NEAR_PERCENT = 3, 80
+
+
+def name_grams(key: Column, size: int = GRAM) -> Column:
+    """Distinct runs of ``size`` characters of a name with a blank on either side."""
+    padded = F.concat(F.lit(" "), key, F.lit(" "))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - size + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(padded, i, F.lit(size))))
+
+
+def near_names(records: DataFrame, name: str, code: str, percent: int = NEAR_PERCENT, size: int = GRAM) -> DataFrame:
+    """Q105: pairs of different normalised names with a Jaccard similarity of their
+    grams of ``percent`` or more, with copies and first code of either.
+
+    A name counts once however many records share it. Its grams are ordered by how many
+    names hold them, rarest first; two names that similar share one of the first
+    n - ceil(percent * n) + 1 of them, so only these are joined, between names whose
+    sizes allow the similarity. Whole sets are compared for these candidates alone.
+    """
+    names = records.groupBy(normalised_name(name).alias("key")).agg(
+        F.count(F.lit(1)).alias("copies"), F.min(code).alias("first_code")
+    )
+    names = names.filter("key <> ''").withColumn("grams", name_grams(F.col("key"), size))
+    spread = names.select("key", F.explode("grams").alias("gram"))
+    held = spread.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
+    ranked = spread.join(held.filter("names > 1"), "gram").groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct("names", "gram"))).alias("shared")
+    )
+    # Grams of one name come first in the order and match nothing: they only use up the prefix.
+    n, shared = F.size("grams"), F.size("shared")
+    needed = F.ceil(F.lit(percent) * n / 100)
+    sized = names.join(ranked, "key").withColumn("prefix", (shared - needed + 1).cast("int")).filter("prefix > 0")
+    index = sized.select("key", n.alias("n"), F.explode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("g")).select("key", "n", "g.gram")
+    a = index.select(F.col("key").alias("left_key"), F.col("n").alias("left_n"), "gram")
+    b = index.select(F.col("key").alias("right_key"), F.col("n").alias("right_n"), "gram")
+    possible = (F.col("left_n") * 100 >= F.col("right_n") * percent) & (F.col("right_n") * 100 >= F.col("left_n") * percent)
+    pairs = a.join(b, "gram").filter((F.col("left_key") < F.col("right_key")) & possible).select("left_key", "right_key").distinct()
+    side = lambda s: names.select(*[F.col(c).alias(f"{s}_{c}") for c in ("key", "copies", "first_code", "grams")])
+    whole = pairs.join(side("left"), "left_key").join(side("right"), "right_key")
+    overlap = F.size(F.array_intersect("left_grams", "right_grams"))
+    union = F.size("left_grams") + F.size("right_grams") - F.col("overlap")
+    near = whole.withColumn("overlap", overlap).withColumn("union", union).filter(F.col("overlap") * 100 >= F.col("union") * percent)
+    return near.select(
+        "left_key", "right_key", "left_copies", "right_copies", "left_first_code", "right_first_code",
+        percent_of("overlap", "union").alias("similarity_pct"),
+    )
+
+
+def percent_of(part: str, whole: str) -> Column:
+    return F.round(F.col(part) * 100 / F.col(whole), 2)

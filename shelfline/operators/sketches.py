@@ -42,9 +42,10 @@ def quantile_states(df: DataFrame, value: str | Column, by: Sequence[str | Colum
 
 def quantiles(states: DataFrame, ranks: Mapping[str, float], by: Sequence[str | Column] = ()) -> DataFrame:
     """Rows ``n`` and the value at each of ``ranks`` (name: rank) of the merged states."""
-    merged = states.groupBy(*by).agg(F.kll_merge_agg_double("state").alias("_all"))
-    names = [c for c in merged.columns if c != "_all"]
-    return merged.filter("_all IS NOT NULL").select(
+    # Without groups a constant is the group: no states at all then make no row.
+    merged = states.groupBy(*(by or [F.lit(1).alias("_one")])).agg(F.kll_merge_agg_double("state").alias("_all"))
+    names = [c for c in merged.columns if c not in ("_all", "_one")]
+    return merged.select(
         *names,
         F.kll_sketch_get_n_double("_all").alias("n"),
         *[F.kll_sketch_get_quantile_double("_all", F.lit(r)).alias(name) for name, r in ranks.items()],

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from shelfline.functions.columns import in_list, ratio, zero_if_null
 from shelfline.functions.dates import days_before
 from shelfline.functions.joins import grand_total
+from shelfline.sources.storage import materialise
 
 # Fixed values.
 WINDOW_DAYS = 28
@@ -25,6 +26,8 @@ SIGNAL_FROM = 0.5
 MIN_PHRASE_COUNT = 5
 SNIPPET_LENGTH = 240
 ENTITY = ["entity_name", "entity_type"]
+#: Counters of the bounded phrase count, and the fullest of them per row of the answer that set its bar.
+PHRASE_BUCKETS, FULLEST = 1 << 20, 64
 
 
 def _daily(mentions: DataFrame, as_of: date, days: int, types: Sequence[str] | None) -> DataFrame:
@@ -178,6 +181,38 @@ def emerging_phrases(
     return fresh.withColumn("growth_ratio", growth).orderBy(F.col("growth_ratio").desc(), "ngram").limit(n)
 
 
+def emerging_phrases_bounded(
+    texts: DataFrame, dictionary: DataFrame, as_of: date, days: int = RECENT_DAYS, n: int = 10, buckets: int = PHRASE_BUCKETS
+) -> DataFrame:
+    """Q99 with bounded state: the same rows, without counting every phrase by its text.
+
+    Pass one counts recent phrases by ``buckets`` hash values: as many numbers whatever
+    the number of phrases, and never below the count of a phrase in the bucket. Pass two
+    counts the phrases of the fullest buckets exactly; its n-th growth ratio is a bar
+    that the answer must reach. As a ratio is at most the recent count plus one, pass
+    three needs the phrases of those buckets only that are full enough to reach it."""
+    day = F.col("harvested_at").cast("date")
+    window = texts.filter((day > F.lit(days_before(as_of, 2 * days))) & (day <= F.lit(as_of)))
+    dated = window.withColumn("recent", day > F.lit(days_before(as_of, days)))
+    rows = phrase_rows(dated, "snippet", "recent").withColumn("bucket", F.pmod(F.xxhash64("ngram"), F.lit(buckets)))
+    known = dictionary.select(F.lower(F.trim("phrase")).alias("ngram")).distinct()
+
+    def counted(kept: DataFrame) -> DataFrame:
+        """Exact counts of the phrases of some buckets; the key set is bounded, so it is broadcast."""
+        some = rows.join(F.broadcast(kept.select("bucket")), "bucket", "left_semi")
+        exact = some.groupBy("ngram").agg(F.count_if("recent").alias("f_recent"), F.count_if(~F.col("recent")).alias("f_prior"))
+        fresh = exact.filter(F.col("f_recent") >= MIN_PHRASE_COUNT).join(known, "ngram", "left_anti")
+        growth = (F.col("f_recent") + 1) / (F.col("f_prior") + 1)
+        return fresh.withColumn("growth_ratio", growth).orderBy(F.col("growth_ratio").desc(), "ngram").limit(n)
+
+    recent = rows.filter("recent").groupBy("bucket").agg(F.count(F.lit(1)).alias("most"))
+    full = materialise(recent.filter(F.col("most") >= MIN_PHRASE_COUNT), "phrase-buckets")
+    best = counted(full.orderBy(F.col("most").desc(), "bucket").limit(FULLEST * n))
+    bar = best.agg(F.count(F.lit(1)).alias("found"), F.min("growth_ratio").alias("ratio")).first()
+    least = bar["ratio"] - 1 if bar["found"] == n else MIN_PHRASE_COUNT
+    return counted(full.filter(F.col("most") >= F.lit(least)))
+
+
 # -- cards ------------------------------------------------------------------------------------
 
 def headline_mover(mentions: DataFrame, as_of: date) -> DataFrame:

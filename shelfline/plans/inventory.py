@@ -403,6 +403,25 @@ def _(t):
     return fc.two_series_forecast(inputs.weekly(t))
 
 
+@query(
+    "Q17_three_models",
+    f"""WITH pts AS (SELECT distributor_code, week_start, CAST(qty_depleted AS DOUBLE) AS v FROM ({DIST_WEEKS})),
+s AS (SELECT distributor_code, count(*) AS n, max(week_start) AS last_time, avg(v) AS mean, regr_slope(v, i) AS slope, avg(i) AS mid,
+    list_reduce(list(v ORDER BY week_start), lambda a, x: a * 0.7 + x * 0.3) AS es, avg(v) FILTER (WHERE down <= 4) AS last4,
+    avg(v) FILTER (WHERE down BETWEEN 5 AND 8) AS before4
+  FROM (SELECT *, row_number() OVER (PARTITION BY distributor_code ORDER BY week_start) AS i,
+    row_number() OVER (PARTITION BY distributor_code ORDER BY week_start DESC) AS down FROM pts) GROUP BY 1 HAVING count(*) >= 4)
+SELECT *, (lr + es + mat) / 3 AS ensemble FROM (
+  SELECT distributor_code, last_time, step, greatest(0, mean + slope * (n + step - mid)) AS lr, greatest(0, es) AS es,
+    greatest(0, last4 + step * CASE WHEN n >= 8 THEN (last4 - before4) / 4 ELSE 0 END) AS mat
+  FROM s, (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS step))""",
+    rounded=["lr", "es", "mat", "ensemble"],
+    digits=5,
+)
+def _(t):
+    return fc.three_model_forecast(inputs.distributor_weeks(t), "week_start", "qty_depleted", ["distributor_code"])
+
+
 @query(
     "Q18_period_filter",
     f"""SELECT period, start_date, CAST(DATE '2001-08-01' - start_date AS INTEGER) AS lookback_days,

@@ -100,9 +100,7 @@ DICTIONARY = r"""SELECT array_to_string(l[i:i + k - 1], ' ') FROM (SELECT l, unn
   FROM (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS l FROM benchmark)), (SELECT unnest([2, 3]) AS k) WHERE i + k - 1 <= len(l)"""
 
 
-@query(
-    "Q99_emerging_phrases",
-    rf"""WITH w AS (SELECT CAST(harvested_at AS DATE) > DATE '2024-01-31' - 14 AS recent,
+PHRASES = rf"""WITH w AS (SELECT CAST(harvested_at AS DATE) > DATE '2024-01-31' - 14 AS recent,
     list_filter(string_split_regex(lower(snippet), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS l FROM text_mention
     WHERE {WINDOW}),
 g AS (SELECT recent, array_to_string(l[i:i + k - 1], ' ') AS ngram
@@ -110,7 +108,12 @@ g AS (SELECT recent, array_to_string(l[i:i + k - 1], ' ') AS ngram
 c AS (SELECT ngram, count(*) FILTER (WHERE recent) AS f_recent, count(*) FILTER (WHERE NOT recent) AS f_prior FROM g GROUP BY 1)
 SELECT *, (f_recent + 1) / (f_prior + 1) AS growth_ratio FROM c WHERE f_recent >= 5
   AND ngram NOT IN ({DICTIONARY})
-ORDER BY growth_ratio DESC, ngram LIMIT 10""",
+ORDER BY growth_ratio DESC, ngram LIMIT 10"""
+
+
+@query(
+    "Q99_emerging_phrases",
+    PHRASES,
     rounded=["growth_ratio"],
 )
 def _(t):
@@ -119,6 +122,12 @@ def _(t):
     return tr.emerging_phrases(roles.text_mention(t), known, TODAY, days=14)
 
 
+@query("Q99_bounded_state", PHRASES, rounded=["growth_ratio"])
+def _(t):
+    known = tr.phrase_rows(t.benchmark, "text").select(F.col("ngram").alias("phrase"))
+    return tr.emerging_phrases_bounded(roles.text_mention(t), known, TODAY, days=14)
+
+
 @query(
     "Q100_headline_mover",
     f"""SELECT entity_name, entity_type, growth_rate * 100 AS growth_pct, recent_7d AS mentions,
@@ -290,3 +299,24 @@ FROM item GROUP BY 1 HAVING count(*) > 1""",
 )
 def _(t):
     return dq.duplicate_groups(roles.item(t), "desc", "supplier_item")
+
+
+NAMES = r"""SELECT key, count(*) AS copies, min(code) AS first_code FROM (
+  SELECT trim(regexp_replace(lower(url), '[^\p{L}\p{N}]+', ' ', 'g')) AS key, page_id AS code FROM pages) WHERE key <> '' GROUP BY 1"""
+
+
+@query(
+    "Q105_near_names",
+    f"""WITH n AS ({NAMES}),
+g AS (SELECT DISTINCT key, substr(p, i, 3) AS gram FROM (
+  SELECT key, p, unnest(range(1, greatest(length(p) - 2, 1) + 1)) AS i FROM (SELECT key, ' ' || key || ' ' AS p FROM n))),
+size AS (SELECT key, count(*) AS m FROM g GROUP BY 1),
+pairs AS (SELECT a.key AS left_key, b.key AS right_key, count(*) AS o FROM g a JOIN g b USING (gram) WHERE a.key < b.key GROUP BY 1, 2)
+SELECT left_key, right_key, l.copies AS left_copies, r.copies AS right_copies, l.first_code AS left_first_code,
+  r.first_code AS right_first_code, round(o * 100 / (x.m + y.m - o), 2) AS similarity_pct
+FROM pairs JOIN size x ON x.key = left_key JOIN size y ON y.key = right_key
+  JOIN n l ON l.key = left_key JOIN n r ON r.key = right_key
+WHERE o * 100 >= 80 * (x.m + y.m - o)""",
+)
+def _(t):
+    return dq.near_names(t.pages, "url", "page_id")
