@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from shelfline.sources.storage import materialise
 
 K = 20
-SHARD_ROWS, QUERY_ROWS = 16_384, 4_096
+SHARD_ROWS, QUERY_ROWS = 16_384, 16_384
 #: Links of a node on upper levels (twice as many on the lowest), search widths.
 LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16, 64, 200
 #: Nodes inserted, and queries searched, at once.
@@ -265,7 +265,11 @@ def _loaded(row: pd.Series, dtype: str) -> tuple[np.ndarray, np.ndarray, Graph]:
 
 def search_index(index: DataFrame, queries: DataFrame, k: int, width: int = SEARCH_WIDTH, query_rows: int = QUERY_ROWS, dtype: str = "float32") -> DataFrame:
     """``query``, ``node``, ``score``: per query and shard the ``k`` nearest found.
-    ``queries``: ``query``, ``vector``, ``size``; a block of them visits every shard."""
+    ``queries``: ``query``, ``vector``, ``size``; a block of them visits every shard.
+
+    A block meets a copy of each shard. It has as many queries as a shard has vectors, so
+    these copies shuffle about as many bytes as the queries' own visits, which no split
+    of the work avoids: queries x shards vectors."""
     blocks = max(1, -(-queries.count() // query_rows))
     shards = F.broadcast(index.select(F.col("size").alias("of"), F.col("shard").alias("visit")))  # two numbers per shard
     graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

@@ -2,16 +2,19 @@
 
 White space ends a token in the given tokenizer and is dropped, so a text may be cut
 at any ASCII white space without changing its count: the chunks between are the safe
-pieces. Chunks are encoded in library batches balanced by bytes, each distinct chunk
+pieces. A digit is a token of its own, so a long chunk is cut beside ASCII digits as
+well, where the other side is an ASCII letter or digit. Chunks are encoded in library batches balanced by bytes, each distinct chunk
 of a task once; a bounded memo keeps the lengths, and only they leave the task.
 
-Defined results: a null text has no bytes and no tokens; a text of one very long
-chunk is encoded whole; rows are counted one by one, repeated or not.
+Defined results: a null text has no bytes and no tokens; a long run without white space
+or such digits is encoded whole; rows are counted one by one, repeated or not.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,14 +26,34 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Bytes of texts counted together, and bytes of chunks per call of the library.
 TEXT_BYTES, CALL_BYTES = 4 << 20, 256 << 10
+#: Bytes from which on a chunk is cut beside digits, and the least bytes of its parts.
+LONG_CHUNK, PART = 64 << 10, 16 << 10
+BESIDE_DIGIT = re.compile(rb"(?<=[0-9])(?=[0-9A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
 #: Distinct chunks a task remembers, and the longest chunk that is remembered.
 MEMO, MEMO_CHUNK = 400_000, 64
 
 
+def parts(chunk: bytes) -> Iterator[bytes]:
+    """A long chunk in parts whose counts add up to its own."""
+    start = 0
+    for cut in BESIDE_DIGIT.finditer(chunk):
+        if cut.start() - start >= PART:
+            yield chunk[start : cut.start()]
+            start = cut.start()
+    yield chunk[start:]
+
+
+def chunks_of(text: bytes) -> list[bytes]:
+    chunks = text.split()  # bytes: ASCII white space
+    if len(text) >= LONG_CHUNK and max(map(len, chunks), default=0) >= LONG_CHUNK:
+        return list(chain.from_iterable(parts(c) if len(c) >= LONG_CHUNK else (c,) for c in chunks))
+    return chunks
+
+
 def lengths(texts: Iterator[bytes], encode, memo: dict[bytes, int]) -> Iterator[int]:
     """Tokens of each text. ``encode`` gives the lengths of a list of chunks."""
     for run in by_bytes(texts, TEXT_BYTES):
-        split = [text.split() for text in run]  # bytes: ASCII white space
+        split = [chunks_of(text) for text in run]
         if len(memo) > MEMO:
             memo.clear()
         new = {chunk for chunks in split for chunk in chunks if chunk not in memo}

@@ -1,13 +1,13 @@
 """URL filters from dated lists, DataFrame functions only.
 
-List entries carry a date, an action (add or remove), a kind and a key. Their history
+List entries carry a date or a time, an action (add or remove), a kind and a key. Their history
 becomes validity intervals ``[from, to)`` per kind, key and category. A capture is
 looked up under every key its URL answers to (its host, the domains above it, the path
 prefixes of its host) and is judged by the entries that were active when it was
 fetched, not by the latest list.
 
-Entries of a day are folded to the last action first, so a key has at most one row per
-day before its window, and one row with its intervals after it. Captures join that one
+Entries of a moment are folded to the last action first, so a key has at most one row per
+moment before its window, and one row with its intervals after it. Captures join that one
 row by equality: a host with a third of all captures never multiplies rows, and its
 side can be split.
 
@@ -51,14 +51,16 @@ def keys_of(url: Column) -> Column:
 
 def validity(entries: DataFrame) -> DataFrame:
     """A row per ``kind`` and ``key`` with ``active``: its intervals (``category``,
-    ``from``, ``to``; ``to`` null while listed). ``entries``: ``day``, ``seq`` (order
-    within the list), ``kind``, ``key``, ``category``, ``action``."""
-    known = entries.where("day IS NOT NULL AND kind IS NOT NULL AND key IS NOT NULL")
-    daily = known.groupBy("kind", "key", "category", "day").agg(F.max_by("action", "seq").alias("action"))
-    per_entry = "OVER (PARTITION BY kind, key, category ORDER BY day)"
-    changes = daily.withColumn("before", F.expr(f"coalesce(lag(action) {per_entry}, 'remove')")).where("action <> before")
-    spans = changes.withColumn("to", F.expr(f"lead(day) {per_entry}")).where("action = 'add'")
-    return spans.groupBy("kind", "key").agg(F.sort_array(F.collect_list(F.struct("category", F.col("day").alias("from"), "to"))).alias("active"))
+    ``from``, ``to``; ``to`` null while listed). ``entries``: ``at`` (a timestamp; a
+    date is its first moment), ``seq`` (order within the list), ``kind``, ``key``,
+    ``category``, ``action``."""
+    dated = entries.withColumn("at", F.col("at").cast("timestamp"))
+    known = dated.where("at IS NOT NULL AND kind IS NOT NULL AND key IS NOT NULL")
+    states = known.groupBy("kind", "key", "category", "at").agg(F.max_by("action", "seq").alias("action"))
+    per_entry = "OVER (PARTITION BY kind, key, category ORDER BY at)"
+    changes = states.withColumn("before", F.expr(f"coalesce(lag(action) {per_entry}, 'remove')")).where("action <> before")
+    spans = changes.withColumn("to", F.expr(f"lead(at) {per_entry}")).where("action = 'add'")
+    return spans.groupBy("kind", "key").agg(F.sort_array(F.collect_list(F.struct("category", F.col("at").alias("from"), "to"))).alias("active"))
 
 
 def _capture_key(identity: str, url: str, fetched: str) -> list[Column]:
@@ -72,9 +74,8 @@ def _same_capture(left: DataFrame, right: DataFrame) -> Column:
 def active_rules(captures: DataFrame, entries: DataFrame, identity: str = "page_id", url: str = "url", fetched: str = "fetched") -> DataFrame:
     """Captures that were listed when fetched, with their ``rules`` (kind:key:category, sorted)."""
     spread = captures.select(*_capture_key(identity, url, fetched)).select("*", F.inline(keys_of(F.col("__url"))))
-    day = F.to_date("__at")
-    # Intervals start and end at the beginning of a day.
-    now = F.filter("active", lambda a: (a["from"] <= day) & (a["to"].isNull() | (day < a["to"])))
+    at = F.col("__at").cast("timestamp")
+    now = F.filter("active", lambda a: (a["from"] <= at) & (a["to"].isNull() | (at < a["to"])))
     return (
         spread.join(validity(entries), ["kind", "key"])
         .select("__id", "__url", "__at", "kind", "key", F.explode(now).alias("entry"))
@@ -116,13 +117,19 @@ def captures_of(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.timestamp_seconds(F.lit(1_704_067_200) + second).alias("fetched"))
 
 
+def _utc(ts: Column) -> Column:
+    """A timestamp without a zone as the moment it names in UTC, whatever the session's zone."""
+    day = F.date_diff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86_400
+    return F.timestamp_seconds(day + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.extract(F.lit("SECOND"), ts))
+
+
 def entries_of(events: DataFrame, pages: DataFrame) -> DataFrame:
     """A dated list: each event names a page; its type decides what of the page's URL
     is listed, an ``error`` takes the host off the list."""
     n = pages.agg(F.max("page_id").alias("last")).first()["last"]
     n = 1 if n is None else n + 1
     chosen = events.select(
-        F.to_date("ts").alias("day"), F.col("event_id").alias("seq"), F.pmod(F.col("event_id"), F.lit(n)).alias("page_id"), "event_type",
+        _utc(F.col("ts")).alias("at"), F.col("event_id").alias("seq"), F.pmod(F.col("event_id"), F.lit(n)).alias("page_id"), "event_type",
         F.concat(F.lit("c"), F.pmod("user_id", F.lit(3)).cast("string")).alias("category"),
     )
     labels = F.split(host_of(F.col("url")), r"\.", -1)
@@ -131,4 +138,4 @@ def entries_of(events: DataFrame, pages: DataFrame) -> DataFrame:
     kind = F.when(F.col("event_type") == "signup", "domain").when(F.col("event_type") == "purchase", "prefix").otherwise("host")
     key = F.when(kind == "domain", domain).when(kind == "prefix", prefix).otherwise(host_of(F.col("url")))
     action = F.when(F.col("event_type") == "error", "remove").otherwise("add")
-    return chosen.join(pages.select("page_id", "url"), "page_id").select("day", "seq", kind.alias("kind"), key.alias("key"), "category", action.alias("action"))
+    return chosen.join(pages.select("page_id", "url"), "page_id").select("at", "seq", kind.alias("kind"), key.alias("key"), "category", action.alias("action"))

@@ -22,6 +22,13 @@ def test_equals_the_library(spark, tokenizer):
     assert got == sorted((i, len((x or "").encode()), n[i], n[i] > 2048) for i, x in enumerate(TEXTS) for _ in range(2))
 
 
+@pytest.mark.parametrize("text", ["a1" * 60_000, "ab,c7'S9x-" * 20_000, "é1́2b" * 30_000, "x" * 70_000 + "12" + "y" * 70_000, "1" * 100_000])
+def test_long_chunks_are_cut_beside_digits(tokenizer, text):
+    pieces = t.chunks_of(text.encode())
+    assert b"".join(pieces) == text.encode() and len(pieces) > 1
+    assert sum(len(tokenizer.encode(p.decode(), add_special_tokens=False).ids) for p in pieces) == len(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
 def test_memo_is_bounded_and_long_chunks_are_not_kept(monkeypatch):
     monkeypatch.setattr(t, "MEMO", 2)
     monkeypatch.setattr(t, "TEXT_BYTES", 4)

@@ -6,7 +6,7 @@ from shelfline.llm import url_lists as u
 
 D = lambda n: dt.date(2024, 1, n)
 T = lambda n, h=12: dt.datetime(2024, 1, n, h)
-ENTRY = "day date, seq long, kind string, key string, category string, action string"
+ENTRY = "at date, seq long, kind string, key string, category string, action string"
 CAPTURE = "page_id long, url string, fetched timestamp, rules int"
 
 
@@ -38,6 +38,25 @@ def test_as_of(spark, entries, url, at, rules):
     assert all(r["blocked"] == bool(rules) and r["n_active"] == len(rules) for r in got)
 
 
+def test_entries_hold_from_their_time_of_day(spark):
+    rows = [(T(2, 18), 1, "host", "a.example.com", "ads", "add"), (T(4, 6), 2, "host", "a.example.com", "ads", "remove")]
+    entries = spark.createDataFrame(rows, ENTRY.replace("at date", "at timestamp"))
+    times = [T(2, 9), T(2, 18), T(3, 0), T(4, 5), T(4, 6), T(4, 20)]
+    frame = spark.createDataFrame([(i, "http://a.example.com/", at, 0) for i, at in enumerate(times)], CAPTURE)
+    assert {r["page_id"]: r["blocked"] for r in u.evaluate(frame, entries).collect()} == dict(enumerate([False, True, True, True, False, False]))
+
+
+def test_times_without_a_zone_are_utc(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            frame = spark.sql("SELECT timestamp_ntz'2024-01-02 03:04:05.25' AS ts")
+            assert frame.select(F.unix_micros(u._utc(F.col("ts")))).first()[0] == 1_704_164_645_250_000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_allowed_and_empty(spark, entries):
     frame = spark.createDataFrame([(1, "http://a.example.com/", T(3), 0), (1, "http://a.example.com/", T(6), 0), (2, None, T(3), 0)], CAPTURE)
     left = u.allowed(frame, entries)
