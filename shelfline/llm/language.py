@@ -48,7 +48,8 @@ SMOOTH, UNKNOWN = 0.05, 1e-7
 MEMO_CELLS, CELLS, RUN = 1_600_000, 200_000, 4_000_000
 #: What \w matches beside letters, decimals and the underscore: numbers such as a half or a Roman four.
 NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
+NUMBER = re.compile(f"[{NUMBERS}]")
+LETTERS = re.compile(r"[^\W\d_]+")
 #: The same for Spark: a text with a letter.
 LETTER = r"\p{L}"
 #: Slots that ids are hashed to, of which a language's sample takes a share.
@@ -59,7 +60,10 @@ UNDETERMINED = "und"
 def words_of(text: str | None) -> list[str]:
     """Runs of letters in lower case, long ones in parts; the parts after the first are
     no word starts and say so by a mark."""
-    runs = LETTERS.findall((text or "").lower())
+    text = (text or "").lower()
+    if not text.isascii():
+        text = NUMBER.sub(" ", text)
+    runs = LETTERS.findall(text)
     if len(max(runs, key=len, default="")) < LONGEST:
         return runs
     parts = ((run[i : i + LONGEST - 1], i) for run in runs for i in range(0, len(run), LONGEST - 1))

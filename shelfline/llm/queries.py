@@ -193,7 +193,7 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     ),
     part AS (SELECT *, string_split(host, '.') AS labels, string_split(path, '/') AS steps FROM page),
     entry AS (
-        SELECT e.ts AS at, e.event_id AS seq, 'c' || (e.user_id % 3) AS category,
+        SELECT e.ts AS moment, e.event_id AS seq, 'c' || (e.user_id % 3) AS category,
                CASE e.event_type WHEN 'signup' THEN 'domain' WHEN 'purchase' THEN 'prefix' ELSE 'host' END AS kind,
                CASE e.event_type
                    WHEN 'signup' THEN array_to_string(list_slice(p.labels, greatest(len(p.labels) - 2, 1), len(p.labels)), '.')
@@ -203,11 +203,11 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
         FROM events e JOIN part p ON p.page_id = e.event_id % (SELECT max(page_id) + 1 FROM pages)
     ),
     -- the state a moment ends with, valid until the next one at which the list names the key
-    state AS (SELECT kind, key, category, at, arg_max(action, seq) AS action FROM entry WHERE key IS NOT NULL GROUP BY ALL),
+    listed AS (SELECT kind, key, category, moment, arg_max(action, seq) AS action FROM entry WHERE key IS NOT NULL GROUP BY ALL),
     cell AS (
-        SELECT kind, key, category, action, at AS since,
-               lead(at) OVER (PARTITION BY kind, key, category ORDER BY at) AS until
-        FROM state
+        SELECT kind, key, category, action, moment AS since,
+               lead(moment) OVER (PARTITION BY kind, key, category ORDER BY moment) AS until
+        FROM listed
     ),
     answer AS (
         SELECT page_id, 'host' AS kind, host AS key FROM part WHERE host IS NOT NULL
