@@ -61,9 +61,9 @@ def words_of(text: str | None) -> list[str]:
     """Runs of letters in lower case, long ones in parts; the parts after the first are
     no word starts and say so by a mark."""
     text = (text or "").lower()
-    if not text.isascii():
-        text = NUMBER.sub(" ", text)
     runs = LETTERS.findall(text)
+    if runs and not "".join(runs).isalpha():  # a quick look; the pattern of numbers is slow
+        runs = LETTERS.findall(NUMBER.sub(" ", text))
     if len(max(runs, key=len, default="")) < LONGEST:
         return runs
     parts = ((run[i : i + LONGEST - 1], i) for run in runs for i in range(0, len(run), LONGEST - 1))
