@@ -6,8 +6,9 @@ looked up under every key its URL answers to (its host, the domains above it, th
 prefixes of its host) and is judged by the entries that were active when it was
 fetched, not by the latest list.
 
-Entries of a moment are folded to the last action first, so a key has at most one row per
-moment before its window, and one row with its intervals after it. Captures join that one
+Entries of a moment are folded to the last action first, then those of a day to its
+changes, so a key has at most one row per day before its window, and one row with its
+intervals after it. Captures join that one
 row by equality: a host with a third of all captures never multiplies rows, and its
 side can be split.
 
@@ -57,10 +58,24 @@ def validity(entries: DataFrame) -> DataFrame:
     dated = entries.withColumn("at", F.col("at").cast("timestamp"))
     known = dated.where("at IS NOT NULL AND kind IS NOT NULL AND key IS NOT NULL")
     states = known.groupBy("kind", "key", "category", "at").agg(F.max_by("action", "seq").alias("action"))
-    per_entry = "OVER (PARTITION BY kind, key, category ORDER BY at)"
-    changes = states.withColumn("before", F.expr(f"coalesce(lag(action) {per_entry}, 'remove')")).where("action <> before")
-    spans = changes.withColumn("to", F.expr(f"lead(at) {per_entry}")).where("action = 'add'")
-    return spans.groupBy("kind", "key").agg(F.sort_array(F.collect_list(F.struct("category", F.col("at").alias("from"), "to"))).alias("active"))
+    # The changes of a day first, then days against each other: a key that much of the
+    # list is about is dealt out by its days, and a window has a row per day of it.
+    per_day = states.groupBy("kind", "key", "category", F.to_date("at").alias("day")).agg(
+        F.sort_array(F.collect_list(F.struct("at", "action"))).alias("all")
+    )
+    changed = F.filter("all", lambda x, i: (i == 0) | (x["action"] != F.get("all", i - 1)["action"]))
+    over = "OVER (PARTITION BY kind, key, category ORDER BY day)"
+    before = F.expr(f"coalesce(lag(element_at(all, -1).action) {over}, 'remove')")
+    days = per_day.withColumn("changes", changed).withColumn("before", before)
+    same = F.col("changes")[0]["action"] == F.col("before")
+    days = days.withColumn("changes", F.when(same, F.expr("slice(changes, 2, size(changes))")).otherwise(F.col("changes")))
+    days = days.where("size(changes) > 0").withColumn("next", F.expr(f"lead(changes[0].at) {over}"))
+    spans = F.transform(
+        "changes",
+        lambda x, i: F.struct("category", x["at"].alias("from"), F.coalesce(F.get("changes", i + 1)["at"], F.col("next")).alias("to"), x["action"].alias("action")),
+    )
+    listed = days.select("kind", "key", F.explode(F.filter(spans, lambda x: x["action"] == "add")).alias("span"))
+    return listed.groupBy("kind", "key").agg(F.sort_array(F.collect_list(F.struct("span.category", "span.from", "span.to"))).alias("active"))
 
 
 def _capture_key(identity: str, url: str, fetched: str) -> list[Column]:
