@@ -49,38 +49,73 @@ def _units_where(flag: str | Column) -> Column:
 
 # -- facts ---------------------------------------------------------------------------
 
-def door_facts(lines: DataFrame, items: DataFrame, as_of: date) -> DataFrame:
-    """Volume, points of distribution and order dates per door.
-
-    Lines first collapse to door x item with the units of every window side by side;
-    items become rows, so a point of distribution is a row with sales and no distinct
-    count is needed.
-    """
+def _fact_windows(as_of: date) -> dict[str, Column]:
     day = F.col("sale_date")
     after = lambda n: day > F.lit(days_before(as_of, n))
-    windows = {
+    return {
         "ytd": day >= F.lit(date(as_of.year, 1, 1)),
         "l30": after(30),
         "p30": after(60) & ~after(30),
         "l90": after(90),
         "p90": after(180) & ~after(90),
     }
-    grain = depletion_by(lines.filter(day <= F.lit(as_of)), items, ["acct_code"], windows)
-    pods = lambda c: F.count_if(F.col(c) > 0)
-    return grain.groupBy(F.col("acct_code").alias("vip_id")).agg(
-        F.min("first_sale").alias("first_order_date"),
-        F.max("last_sale").alias("most_recent_order_date"),
-        F.sum("units").alias("qty_lifetime"),
-        F.sum("ytd").alias("qty_ytd"),
-        F.sum("l30").alias("qty_last_30_days"),
-        F.sum("p30").alias("qty_previous_30_days"),
-        F.sum("l90").alias("qty_last_90_days"),
-        F.sum("p90").alias("qty_previous_90_days"),
+
+
+def _door_fact_columns(wanted: Column | None = None) -> list[Column]:
+    """Aggregates per door over rows per item, of which only ``wanted`` count."""
+    own = lambda c: F.col(c) if wanted is None else F.when(wanted, F.col(c))
+    pods = lambda c: F.count_if(own(c) > 0)
+    return [
+        F.min(own("first_sale")).alias("first_order_date"),
+        F.max(own("last_sale")).alias("most_recent_order_date"),
+        F.sum(own("units")).alias("qty_lifetime"),
+        F.sum(own("ytd")).alias("qty_ytd"),
+        F.sum(own("l30")).alias("qty_last_30_days"),
+        F.sum(own("p30")).alias("qty_previous_30_days"),
+        F.sum(own("l90")).alias("qty_last_90_days"),
+        F.sum(own("p90")).alias("qty_previous_90_days"),
         pods("units").alias("pod_lifetime"),
         pods("ytd").alias("pod_ytd"),
         pods("l30").alias("pod_last_30"),
         pods("p30").alias("pod_previous_30"),
-    )
+    ]
+
+
+def door_facts(lines: DataFrame, items: DataFrame, as_of: date) -> DataFrame:
+    """Volume, points of distribution and order dates per door.
+
+    Lines first collapse to door x item with the units of every window side by side;
+    items become rows, so a point of distribution is a row with sales and no distinct
+    count is needed.
+    """
+    grain = depletion_by(lines.filter(F.col("sale_date") <= F.lit(as_of)), items, ["acct_code"], _fact_windows(as_of))
+    return grain.groupBy(F.col("acct_code").alias("vip_id")).agg(*_door_fact_columns())
+
+
+def door_facts_with_primary(lines: DataFrame, items: DataFrame, distributors: DataFrame, as_of: date) -> DataFrame:
+    """``door_facts`` and ``primary_distributor`` from one pass over the lines.
+
+    Lines collapse to door x distributor x item. Each of these rows counts once for its
+    item and once for its distributor, and both kinds fold side by side: a door of many
+    distributors has one row per item again, and one per distributor, before its totals.
+    """
+    windows = _fact_windows(as_of)
+    sold = lines.filter(F.col("sale_date") <= F.lit(as_of))
+    grain = depletion_by(sold, items, ["acct_code", "dist_code"], windows)
+    kept = ["units", *windows, "first_sale", "last_sale"]
+    nothing = [F.lit(None).cast(grain.schema[c].dataType).alias(c) for c in kept[1:]]
+    rows = F.array(
+        F.struct(F.lit(True).alias("of_item"), F.col("item_code").alias("code"), *kept),
+        F.struct(F.lit(False).alias("of_item"), F.col("dist_code").alias("code"), "units", *nothing),
+    )
+    folded = grain.select("acct_code", F.inline(rows)).groupBy("acct_code", "of_item", "code").agg(
+        *[F.sum(c).alias(c) for c in ("units", *windows)], F.min("first_sale").alias("first_sale"), F.max("last_sale").alias("last_sale")
+    )
+    of_item = F.col("of_item")
+    most = F.max_by(F.when(~of_item, F.col("code")), F.when(~of_item, F.struct("units", "code")))
+    facts = folded.groupBy(F.col("acct_code").alias("vip_id")).agg(*_door_fact_columns(of_item), most.alias("code"))
+    names = distributors.select(F.col("distributor_code").alias("code"), F.col("distributor_name").alias("primary_distributor_name"))
+    return facts.join(names, "code", "left").drop("code")
 
 
 def primary_distributor(lines: DataFrame, items: DataFrame, distributors: DataFrame, as_of: date) -> DataFrame:

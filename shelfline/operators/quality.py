@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shelfline.functions.columns import percent
+from shelfline.sources.storage import scratch_path
 
 
 def is_populated(c: str) -> Column:
@@ -40,6 +41,50 @@ def all_checks_pass(kpis: DataFrame) -> DataFrame:
     )
 
 
+class GuardFailed(ValueError):
+    """KPIs were published whose prior is broken; ``report`` has the counts."""
+
+    def __init__(self, report: dict):
+        super().__init__(f"{report['broken']} of {report['checks']} KPIs have a value but no prior, the first is {report['first_broken']}")
+        self.report = report
+
+
+def guarded(kpis: DataFrame) -> tuple[DataFrame, Observation]:
+    """Q103: ``kpis`` as they are, with the guard counted by whatever job reads them.
+
+    The observation has ``checks``, ``broken`` and ``first_broken`` (the least name, or
+    NULL) once an action on the frame is through; ``get`` waits for it. Spark counts a
+    row again if a lost executor's shuffle stage is run again, so observe where rows
+    leave the job, as ``publish_guarded`` does, and not below a shuffle.
+    """
+    observation = Observation()
+    marked = check_symmetry(kpis)
+    watched = marked.observe(
+        observation,
+        F.count(F.lit(1)).alias("checks"),
+        F.count_if("is_broken").alias("broken"),
+        F.min(F.when(F.col("is_broken"), F.col("name"))).alias("first_broken"),
+    )
+    return watched.drop("is_broken"), observation
+
+
+def publish_guarded(kpis: DataFrame, path: str | None = None, strict: bool = False) -> tuple[DataFrame, dict]:
+    """Q103: writes ``kpis`` to ``path`` (default: the shared folder) and guards them in
+    the same job; the written table and the report, which also has ``passed``.
+
+    A ``strict`` caller gets ``GuardFailed`` and the folder is left for inspection. An
+    empty table passes with no checks.
+    """
+    watched, observation = guarded(kpis)
+    path = path or scratch_path(kpis.sparkSession, "guarded-kpis")
+    watched.write.parquet(path)
+    report = dict(observation.get)
+    report["passed"] = report["broken"] == 0
+    if strict and not report["passed"]:
+        raise GuardFailed(report)
+    return kpis.sparkSession.read.schema(watched.schema).parquet(path), report
+
+
 def _matched_codes(mapping: DataFrame) -> DataFrame:
     """Codes mapped to an account or a parent account."""
     mapped = mapping.filter(F.col("account_id").isNotNull() | F.col("parent_account_id").isNotNull())

@@ -30,8 +30,13 @@ ENTITY = ["entity_name", "entity_type"]
 PHRASE_BUCKETS, FULLEST = 1 << 20, 64
 
 
+def _day(mentions: DataFrame) -> Column:
+    """Day of a mention: a column of the clustered layout, whose files are skipped by it."""
+    return F.col("harvested_day") if "harvested_day" in mentions.columns else F.col("harvested_at").cast("date")
+
+
 def _daily(mentions: DataFrame, as_of: date, days: int, types: Sequence[str] | None) -> DataFrame:
-    day = F.col("harvested_at").cast("date")
+    day = _day(mentions)
     window = mentions.filter(
         (day > F.lit(days_before(as_of, days))) & (day <= F.lit(as_of)) & in_list("entity_type", types)
     )
@@ -236,7 +241,7 @@ def sources_for(
     """Q101: latest mentions of one entity with display title, engine and snippet."""
     kept = mentions.filter(
         (F.col("entity_name") == entity)
-        & (F.col("harvested_at").cast("date") >= F.lit(days_before(as_of, days)))
+        & (_day(mentions) >= F.lit(days_before(as_of, days)))
     )
     newest = kept.orderBy(F.col("harvested_at").desc(), "url").limit(n)
     engine = F.coalesce("source_engine", F.lit("web"))

@@ -80,10 +80,11 @@ def _facts(t):
 
 
 def _sheet(t, with_primary=False):
-    primary = None
     if with_primary:
-        primary = acc.primary_distributor(sold_lines(t), items(t), roles.distributor(t), AS_OF)
-    return acc.door_fact_sheet(roles.door(t), _facts(t), AS_OF, primary)
+        facts = acc.door_facts_with_primary(sold_lines(t), items(t), roles.distributor(t), AS_OF)
+    else:
+        facts = _facts(t)
+    return acc.door_fact_sheet(roles.door(t), facts, AS_OF)
 
 
 def _chain_doors(t):

@@ -12,7 +12,8 @@ from shelfline.plans.accounts import SHEET_CTES, _kpi_sql, scorecard_kpis
 from shelfline.plans.inputs import AS_OF, items, sold_lines
 from shelfline.plans.inputs import EVENTS_AS_OF as TODAY
 from shelfline.plans.registry import query
-from shelfline.sources import files, roles
+from shelfline.sources import clustered, files, roles
+from shelfline.sources.storage import scratch_path
 
 FLAVORS, BRANDS = ["flavor", "ingredient"], ["brand"]
 EVERYTHING = ["brand", "ingredient", "flavor", "category"]
@@ -150,6 +151,40 @@ def _(t):
     return tr.sources_for(roles.text_mention(t), "en", TODAY)
 
 
+#: Files of the clustered layout in the queries; a load job takes one per few hundred MB.
+CLUSTERED_FILES = 8
+
+
+def _clustered(t, rows, name):
+    """The layout, written once as a load job would."""
+    return clustered.write_clustered(rows, scratch_path(t.spark, name), CLUSTERED_FILES)
+
+
+@query("Q95_trending_flavors_on_clustered", _trending_sql(FLAVORS), rounded=GROWTH_ROUNDED)
+def _(t):
+    return tr.trending(_clustered(t, _mentions(t), "clustered-mentions"), TODAY, FLAVORS)
+
+
+@query(
+    "Q101_sources_on_clustered",
+    """SELECT upper(source_engine[1]) || source_engine[2:] AS engine_label, url, title, left(snippet, 240) AS snippet, harvested_at
+FROM text_mention WHERE entity_name = 'en' AND CAST(harvested_at AS DATE) >= DATE '2024-01-31' - 14
+ORDER BY harvested_at DESC, url LIMIT 5""",
+)
+def _(t):
+    return tr.sources_for(_clustered(t, roles.text_mention(t), "clustered-texts"), "en", TODAY)
+
+
+@query(
+    "Q101_mentions_at_addresses",
+    """SELECT entity_name, entity_type, source_engine, url, harvested_at FROM mention
+WHERE url IN ('https://example.org/m/7', 'https://example.org/m/400', 'https://example.org/m/none')""",
+)
+def _(t):
+    wanted = ["https://example.org/m/7", "https://example.org/m/400", "https://example.org/m/none"]
+    return clustered.mentions_at(_clustered(t, _mentions(t), "clustered-mentions"), wanted).drop(clustered.DAY)
+
+
 @query(
     "Q102_growth_display",
     f"""SELECT *, CASE WHEN abs(growth_rate - recent_7d) < 0.5 THEN 'mentions' ELSE 'percent' END AS display_kind,
@@ -251,6 +286,19 @@ def _(t):
     return dq.all_checks_pass(_door_kpis(t))
 
 
+@query(
+    "Q103_published_with_guard",
+    f"""WITH {SHEET_CTES}, k AS ({DOOR_KPIS}), g AS (SELECT count(*) AS checks, count(*) FILTER (WHERE bad) AS broken,
+  min(name) FILTER (WHERE bad) AS first_broken FROM (SELECT *, NOT allow_missing_prior AND current <> 0 AND prior = 0 AS bad FROM k))
+SELECT name, current, prior, checks, broken, first_broken, broken = 0 AS passed FROM k, g""",
+)
+def _(t):
+    published, report = dq.publish_guarded(_door_kpis(t))
+    counts = {c: F.lit(report[c]).cast("long") for c in ("checks", "broken")}
+    found = {"first_broken": F.lit(report["first_broken"]).cast("string"), "passed": F.lit(report["passed"])}
+    return published.select("name", "current", "prior").withColumns(counts | found)
+
+
 def _code_accounts(t):
     states = roles.distributor_state(t).withColumnRenamed("distributor_id", "code")
     names = roles.distributor(t).selectExpr("distributor_code AS code", "distributor_name AS account_name")

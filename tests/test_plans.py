@@ -90,3 +90,8 @@ def test_lines_of_the_flagship(tables):
     # Sell-through and order lines read the line items once each, the revenue total a third time.
     assert scans(tables, "Q07_inventory_health", "lineitem") <= 3
     assert scans(tables, "Q07_inventory_health", "customer") <= 1
+
+
+def test_the_door_sheet_reads_the_lines_once(tables):
+    assert scans(tables, "Q67_door_fact_sheet", "lineitem") == 1
+    assert scans(tables, "Q67_door_fact_sheet", "orders") == 1
