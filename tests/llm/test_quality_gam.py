@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from shelfline.llm import quality_gam as q
 
 
@@ -57,3 +58,96 @@ def test_labels_of_held_out_rows_and_other_columns_do_not_matter(spark):
     one = q.classify(docs, spark.createDataFrame([(i, y) for i, _, y in data], shape)).collect()
     two = q.classify(docs, spark.createDataFrame([(i, flip(i, y)) for i, _, y in data], shape)).collect()
     assert sorted(one) == sorted(two)
+
+
+def naive_fit(x, y, weight):
+    """The same model by plain loops over rows, bins and every possible cut."""
+    n, width = x.shape
+    gain = lambda g, h: g * g / (h + q.SHRINK)
+    value = lambda g, h: g / (h + q.SHRINK)
+    base = np.log((weight * y).sum() / (weight * (1 - y)).sum())
+    margin = [base] * n
+
+    def binned(count):
+        edges = [sorted(set(np.quantile(x[:, f], np.linspace(0, 1, count + 1)[1:-1]))) for f in range(width)]
+        return [len(e) + 1 for e in edges], [[sum(e <= v for e in edges[f]) for v in x[:, f]] for f in range(width)]
+
+    def sums(cells):
+        out = {}
+        for i, cell in enumerate(cells):
+            p = 1 / (1 + np.exp(-margin[i]))
+            g, h = out.get(cell, (0.0, 0.0))
+            out[cell] = (g + weight[i] * (y[i] - p), h + weight[i] * p * (1 - p))
+        return out
+
+    def total(held, cells):
+        return tuple(sum(held.get(c, (0.0, 0.0))[k] for c in cells) for k in (0, 1))
+
+    def best_cut(held, runs):
+        """The cut of one of the runs of cells that gains most, as (gain, run, place)."""
+        found = (0.0, None, None)
+        for r, run in enumerate(runs):
+            for at in range(1, len(run)):
+                won = gain(*total(held, run[:at])) + gain(*total(held, run[at:])) - gain(*total(held, run))
+                if won > found[0] + 1e-12:
+                    found = (won, r, at)
+        return found
+
+    wide, bins = binned(q.BINS)
+    tables = [[0.0] * w for w in wide]
+    for _ in range(q.ROUNDS):
+        for f in range(width):
+            held, runs = sums(bins[f]), [list(range(wide[f]))]
+            for _cut in range(2):
+                _won, r, at = best_cut(held, runs)
+                if r is not None:
+                    runs[r : r + 1] = [runs[r][:at], runs[r][at:]]
+            step = {c: q.RATE * value(*total(held, run)) for run in runs for c in run}
+            tables[f] = [t + step[c] for c, t in enumerate(tables[f])]
+            margin = [m + step[c] for m, c in zip(margin, bins[f])]
+
+    wide, bins = binned(q.PAIR_BINS)
+
+    def pair_tree(f, g):
+        held, best = sums(list(zip(bins[f], bins[g]))), (-1.0, None)
+        for at in range(1, wide[f]):
+            leaves = []
+            for side in (range(at), range(at, wide[f])):
+                columns = {d: total(held, [(c, d) for c in side]) for d in range(wide[g])}
+                _won, r, cut = best_cut(columns, [list(range(wide[g]))])
+                cut = wide[g] if r is None else cut
+                leaves += [[(c, d) for c in side for d in range(cut)], [(c, d) for c in side for d in range(cut, wide[g])]]
+            score = sum(gain(*total(held, leaf)) for leaf in leaves)
+            if score > best[0] + 1e-12:
+                best = (score, leaves)
+        values = {cell: value(*total(held, leaf)) for leaf in best[1] for cell in leaf}
+        return values, best[0] - gain(*total(held, held))
+
+    every = [(f, g) for f in range(width) for g in range(f)]
+    pairs = sorted(every, key=lambda p: -pair_tree(*p)[1])[: q.PAIRS]
+    pair_tables = [np.zeros((wide[f], wide[g])) for f, g in pairs]
+    for _ in range(q.PAIR_ROUNDS):
+        for (f, g), entries in zip(pairs, pair_tables):
+            values, _won = pair_tree(f, g)
+            for cell, v in values.items():
+                entries[cell] += q.RATE * v
+            margin = [m + q.RATE * values[cell] for m, cell in zip(margin, zip(bins[f], bins[g]))]
+    return tables, pairs, pair_tables, 1 / (1 + np.exp(-np.array(margin)))
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_boosting_equals_plain_loops(monkeypatch, seed):
+    for name, value in (("FEATURES", list(range(4))), ("ROUNDS", 4), ("PAIR_ROUNDS", 3), ("PAIRS", 2), ("BINS", 6), ("PAIR_BINS", 4)):
+        monkeypatch.setattr(q, name, value)
+    r = np.random.default_rng(seed)
+    x = r.random((90, 4))
+    # Ties in a feature, and one that is constant.
+    x[:, 2], x[:, 3] = np.floor(x[:, 2] * 3), 1.0
+    y = ((x[:, 0] > 0.4) ^ (x[:, 2] > 1) ^ (r.random(90) < 0.1)).astype(float)
+    weight = r.integers(1, 4, 90).astype(float)
+    model = q.fit(x, y, weight)
+    tables, pairs, pair_tables, scores = naive_fit(x, y, weight)
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(model.tables, tables, strict=True))
+    assert model.pairs == pairs
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(model.pair_tables, pair_tables, strict=True))
+    assert np.allclose(model.scores(x), scores, atol=1e-9)
