@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.operators import inventory as inv
-from shelfline.sources import roles
+from shelfline.sources import footers, roles
 from shelfline.sources.roles import Tables
 
 AS_OF = date(2001, 8, 1)
@@ -18,6 +18,8 @@ WEEKS = 12
 WINDOW_START = AS_OF - timedelta(days=DAYS)
 TREND_START = AS_OF - timedelta(days=7 * WEEKS)
 SALES_START = date(2000, 8, 1)
+#: Days before the last shipment in which the last sale is looked for first.
+LOOK_BACK = 35
 
 
 def sold_lines(t: Tables, since: date | None = None, with_account: bool = True) -> DataFrame:
@@ -26,8 +28,17 @@ def sold_lines(t: Tables, since: date | None = None, with_account: bool = True)
 
 def latest_sale(t: Tables) -> date | None:
     """Date of the last sale: one row, read from the line items alone when the plan is
-    built, so that windows that end there reach the scan as literals."""
-    return sold_lines(t, with_account=False).agg(F.max("sale_date")).first()[0]
+    built, so that windows that end there reach the scan as literals.
+
+    File statistics tell the last shipping date, though not whether it was a sale: the
+    sales of the ``LOOK_BACK`` days before it are read, and all only if there are none."""
+    shipped = footers.greatest(t.spark, f"{t.folder}/lineitem.parquet", "l_shipdate")
+    hint = [shipped.date() - timedelta(days=LOOK_BACK)] if shipped else []
+    for since in [*hint, None]:
+        last = sold_lines(t, since, with_account=False).agg(F.max("sale_date")).first()[0]
+        if last is not None:
+            break
+    return last
 
 
 def items(t: Tables) -> DataFrame:

@@ -18,7 +18,7 @@ from shelfline.plans import inputs
 from shelfline.plans.accounts import SHEET_CTES, _sheet
 from shelfline.plans.inputs import AS_OF
 from shelfline.plans.registry import query
-from shelfline.sources import files, roles, storage
+from shelfline.sources import files, footers, roles, storage
 
 CENTS = "CAST(sum(CAST({0} AS DECIMAL(18,2))) AS DOUBLE)"
 
@@ -116,6 +116,24 @@ def _(t):
     return acc.data_through(_sheet(t), inputs.sold_lines(t, with_account=False))
 
 
+@query(
+    "S09_data_through_by_footers",
+    """SELECT 'lineitem' AS fact, count(*) AS row_count, min(l_shipdate) AS first_moment, max(l_shipdate) AS last_moment FROM lineitem
+       UNION ALL SELECT 'orders', count(*), min(o_orderdate), max(o_orderdate) FROM orders
+       UNION ALL SELECT 'events', count(*), min(ts), max(ts) FROM events""",
+)
+def _(t):
+    def through(table, column):
+        found = footers.bounds(t.spark, f"{t.folder}/{table}.parquet", [column])
+        return found.select(
+            F.lit(table).alias("fact"), F.col("rows").alias("row_count"),
+            F.col(f"{column}_min").alias("first_moment"), F.col(f"{column}_max").alias("last_moment"),
+        )
+
+    lines, orders = through("lineitem", "l_shipdate"), through("orders", "o_orderdate")
+    return lines.unionByName(orders).unionByName(through("events", "ts"))
+
+
 # -- projections and predicates --------------------------------------------------------
 
 @query("P01_projection", "SELECT c_name AS customer, c_custkey AS id, c_mktsegment AS segment FROM customer")
