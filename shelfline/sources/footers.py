@@ -21,7 +21,19 @@ ORDERED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType)
 SOURCES = "spark.sql.sources.useV1SourceList"
 
 
+#: The session of the running application; starting one takes longer than reading footers.
+_sessions: dict[str, SparkSession] = {}
+
+
 def _footer_session(spark: SparkSession) -> SparkSession:
+    application = spark.sparkContext.applicationId
+    if application not in _sessions:
+        _sessions.clear()
+        _sessions[application] = _new_session(spark)
+    return _sessions[application]
+
+
+def _new_session(spark: SparkSession) -> SparkSession:
     session = spark.newSession()
     first = [s for s in session.conf.get(SOURCES).split(",") if s.strip() != "parquet"]
     session.conf.set(SOURCES, ",".join(first))
