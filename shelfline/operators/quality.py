@@ -135,6 +135,9 @@ def duplicate_groups(records: DataFrame, name: str, code: str) -> DataFrame:
 
 #: Characters of a gram, and the least similarity of two sets of grams in per cent.
 GRAM, NEAR_PERCENT = 3, 80
+#: Numbers of 64 bits in the bit map of a name's grams, and tasks of the join on grams:
+#: its rows are few bytes and much work, so sizes do not tell how to deal them.
+BIT_WORDS, GRAM_TASKS = 4, 200
 
 
 def name_grams(key: Column, size: int = GRAM) -> Column:
@@ -144,14 +147,28 @@ def name_grams(key: Column, size: int = GRAM) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substring(padded, i, F.lit(size))))
 
 
+def gram_bits(grams: str) -> Column:
+    """Bit map of a set of grams: each sets one of the bits of ``BIT_WORDS`` numbers."""
+    bit = F.transform(F.col(grams), lambda g: F.pmod(F.xxhash64(g), F.lit(64 * BIT_WORDS)))
+    one = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(b, F.lit(64)).cast("int"))
+
+    def word(i: int) -> Column:
+        own = F.filter(bit, lambda b: F.floor(b / 64) == i)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda bits, b: bits.bitwiseOR(one(b)))
+
+    return F.struct(*[word(i).alias(f"b{i}") for i in range(BIT_WORDS)])
+
+
 def near_names(records: DataFrame, name: str, code: str, percent: int = NEAR_PERCENT, size: int = GRAM) -> DataFrame:
     """Q105: pairs of different normalised names with a Jaccard similarity of their
     grams of ``percent`` or more, with copies and first code of either.
 
     A name counts once however many records share it. Its grams are ordered by how many
-    names hold them, rarest first; two names that similar share one of the first
-    n - ceil(percent * n) + 1 of them, so only these are joined, between names whose
-    sizes allow the similarity. Whole sets are compared for these candidates alone.
+    names hold them, rarest first. Of two names that similar the smaller one, of n grams,
+    shares 2p / (100 + p) of its own, and the larger one p per cent: one of the first grams
+    that this leaves is common to both, so only these are joined. A bit map of the grams
+    differs in no more bits than the sets do in grams, which drops nearly all other pairs
+    inside the join; what is left once per pair is compared by whole sets.
     """
     names = records.groupBy(normalised_name(name).alias("key")).agg(
         F.count(F.lit(1)).alias("copies"), F.min(code).alias("first_code")
@@ -164,13 +181,27 @@ def near_names(records: DataFrame, name: str, code: str, percent: int = NEAR_PER
     )
     # Grams of one name come first in the order and match nothing: they only use up the prefix.
     n, shared = F.size("grams"), F.size("shared")
-    needed = F.ceil(F.lit(percent) * n / 100)
-    sized = names.join(ranked, "key").withColumn("prefix", (shared - needed + 1).cast("int")).filter("prefix > 0")
-    index = sized.select("key", n.alias("n"), F.explode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("g")).select("key", "n", "g.gram")
-    a = index.select(F.col("key").alias("left_key"), F.col("n").alias("left_n"), "gram")
-    b = index.select(F.col("key").alias("right_key"), F.col("n").alias("right_n"), "gram")
-    possible = (F.col("left_n") * 100 >= F.col("right_n") * percent) & (F.col("right_n") * 100 >= F.col("left_n") * percent)
-    pairs = a.join(b, "gram").filter((F.col("left_key") < F.col("right_key")) & possible).select("left_key", "right_key").distinct()
+    prefix = lambda needed: (shared - needed + 1).cast("int")
+    as_larger, as_smaller = F.ceil(F.lit(percent) * n / 100), F.ceil(F.lit(2 * percent) * n / (100 + percent))
+    sized = names.join(ranked, "key").select(
+        "key", n.alias("n"), gram_bits("grams").alias("bits"), "shared",
+        prefix(as_larger).alias("as_larger"), prefix(as_smaller).alias("as_smaller"),
+    ).filter("as_larger > 0")
+    first = F.slice("shared", F.lit(1), F.col("as_larger"))
+    index = sized.select("key", "n", "bits", "as_smaller", F.posexplode(first).alias("at", "g")).select("*", "g.gram").repartition(GRAM_TASKS, "gram")
+    row = lambda s: F.struct("n", "key", "bits").alias(s)
+    small = index.filter("at < as_smaller").select("gram", row("small"))
+    large = index.select("gram", row("large"))
+    differ = sum((F.bit_count(F.col(f"small.bits.b{i}").bitwiseXOR(F.col(f"large.bits.b{i}"))) for i in range(BIT_WORDS)), F.lit(0))
+    # |A| + |B| less twice the least overlap, p / (100 + p) of the sum
+    possible = (F.col("small.n") * 100 >= F.col("large.n") * percent) & (
+        differ * (100 + percent) <= (F.col("small.n") + F.col("large.n")) * (100 - percent)
+    )
+    ordered = F.struct("small.n", "small.key") < F.struct("large.n", "large.key")
+    found = small.join(large, "gram").filter(possible & ordered)
+    pairs = found.select(
+        F.least("small.key", "large.key").alias("left_key"), F.greatest("small.key", "large.key").alias("right_key")
+    ).distinct()
     side = lambda s: names.select(*[F.col(c).alias(f"{s}_{c}") for c in ("key", "copies", "first_code", "grams")])
     whole = pairs.join(side("left"), "left_key").join(side("right"), "right_key")
     overlap = F.size(F.array_intersect("left_grams", "right_grams"))

@@ -85,3 +85,30 @@ def test_three_models(spark):
         assert [row["lr"], row["es"], row["mat"]] == pytest.approx(expected, abs=1e-9)
         assert row["ensemble"] == pytest.approx(np.mean(expected), abs=1e-9)
         assert row["last_time"] == monday + timedelta(weeks=len(v) - 1)
+
+
+def made_rows(df):
+    """The most rows that one operator of the plan made, after running it."""
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df.collect()
+        todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    while todo:
+        node = todo.pop()
+        made = node.metrics().get("numOutputRows")
+        most = max(most, made.get().value() if made.isDefined() else 0)
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_near_names_drops_unlike_pairs_inside_the_join(spark):
+    r = random.Random(9)
+    names = [f"https shop example com en {r.randint(1, 10**6)} page 2 ref x" for _ in range(400)]
+    got = dq.near_names(spark.createDataFrame(list(enumerate(names)), "id long, name string"), "name", "id")
+    assert made_rows(got) < 20_000  # 400 names of some 45 grams; pairs of names are 79,800
+    found = {(x["left_key"], x["right_key"]) for x in got.collect()}
+    assert found == {(a, b) for a, b, *_ in brute_force(names, 80)} and found
