@@ -21,7 +21,8 @@ from shelfline.functions.dates import (
     trailing_months,
 )
 from shelfline.functions.joins import grand_total, members_of, top_groups
-from shelfline.operators.inventory import depletion_by
+from shelfline.operators.inventory import depletion_by, in_units, sums_by
+from shelfline.sources.storage import materialise
 
 # Fixed values.
 ACTIVE_DAYS, AT_RISK_DAYS = 90, 180
@@ -225,35 +226,41 @@ def active_doors(sheet: DataFrame, days: int = ACTIVE_DAYS) -> DataFrame:
 
 
 def chain_sku_wide(
-    lines: DataFrame, items: DataFrame, doors: DataFrame, distributors: DataFrame, as_of: date
+    lines: DataFrame, items: DataFrame, doors: DataFrame, distributors: DataFrame, as_of: date, named: bool = True
 ) -> DataFrame:
     """Q69: one row per chain door, SKU and distributor with twelve month columns.
 
-    ``ttm_current`` is their sum, ``ttm_prior`` the twelve months before them.
+    ``ttm_current`` is their sum, ``ttm_prior`` the twelve months before them. Lines of
+    other outlets go first, by a join on the outlet that also deals the lines to their
+    fold and to the outlets' attributes. The items come last: reports per SKU fold where
+    that join has put the rows. Reports without distributors leave out their names (not
+    ``named``), for which all rows would move once more; a code that the master repeats
+    repeats its rows all the same.
     """
     months = trailing_months(as_of)
-    sold = lines.filter(F.col("sale_date") <= F.lit(as_of)).withColumn("month", month_start("sale_date"))
-    grain = depletion_by(sold, items, ["acct_code", "dist_code", "month"])
-    month = F.col("month")
-    wide = grain.groupBy("acct_code", "dist_code", "item_code", "item_desc").agg(
-        *[_units_where(month == F.lit(m)).alias(month_column(m)) for m in months],
-        _units_where(month >= F.lit(months[0])).alias("ttm_current"),
-        _units_where(
-            (month >= F.lit(shift_months(months[0], -12))) & (month < F.lit(months[0]))
-        ).alias("ttm_prior"),
-        F.sum("units").alias("total_units_all_time"),
-    )
+    month = month_start("sale_date")
+    windows = {month_column(m): month == F.lit(m) for m in months}
+    windows["ttm_current"] = month >= F.lit(months[0])
+    windows["ttm_prior"] = (month >= F.lit(shift_months(months[0], -12))) & (month < F.lit(months[0]))
     in_chain = doors.filter("chain_code IS NOT NULL").select(
         "chain_code", "chain_name", "vip_id", "store_name",
         F.col("city").alias("store_city"), F.col("state").alias("store_state"),
     )
-    names = distributors.select(F.col("distributor_code").alias("dist_code"), "distributor_name")
-    located = wide.join(in_chain, F.col("acct_code") == F.col("vip_id"))
-    named = located.join(names, "dist_code", "left")
-    return named.select(
+    sold = lines.filter(F.col("sale_date") <= F.lit(as_of))
+    sold = sold.join(in_chain.select(F.col("vip_id").alias("acct_code")), "acct_code", "left_semi")
+    located = sums_by(sold, ["acct_code", "dist_code"], windows).join(in_chain, F.col("acct_code") == F.col("vip_id"))
+    code = F.col("distributor_code").alias("dist_code")
+    if named:
+        located = located.join(distributors.select(code, "distributor_name"), "dist_code", "left")
+    else:
+        repeated = distributors.groupBy(code).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+        counted = located.join(F.broadcast(repeated), "dist_code", "left")
+        copies = F.array_repeat(F.lit(True), F.coalesce("copies", F.lit(1)).cast("int"))
+        located = counted.withColumn("copies", F.explode(copies))
+    return in_units(located, items, list(windows)).select(
         "chain_code", "chain_name", "vip_id", "store_name", "store_city", "store_state",
-        "distributor_name", "item_code", F.coalesce("item_desc", "item_code").alias("item_name"),
-        *[month_column(m) for m in months], "ttm_current", "ttm_prior", "total_units_all_time",
+        *(["distributor_name"] if named else []), "item_code", F.coalesce("item_desc", "item_code").alias("item_name"),
+        *windows, F.col("units").alias("total_units_all_time"),
     )
 
 
@@ -652,10 +659,13 @@ def _leading_skus(skus: DataFrame, n: int) -> DataFrame:
 def sku_state_cells(skus: DataFrame, n_skus: int = 10, n_states: int = 20) -> DataFrame:
     """Q77: volume of the top SKUs in the top states, empty cells 0.
 
-    States rank by the total of those SKUs. Long form; a chart pivots it.
+    States rank by the total of those SKUs. Long form; a chart pivots it. The SKUs fold
+    to their states once, for the leaders and their cells.
     """
-    leaders = _leading_skus(skus, n_skus)
-    cells = members_of(skus, leaders, "item_name").groupBy("store_state", "item_name").agg(
+    folded = skus.groupBy("item_code", "item_name", "store_state").agg(F.sum("ttm_current").alias("ttm_current"))
+    folded = materialise(folded, "sku-states")
+    leaders = _leading_skus(folded, n_skus)
+    cells = members_of(folded, leaders, "item_name").groupBy("store_state", "item_name").agg(
         F.sum("ttm_current").alias("volume")
     )
     states = top_groups(cells.filter("store_state IS NOT NULL"), "store_state", F.sum("volume"), n_states)
@@ -672,8 +682,10 @@ def _by_month(one_row: DataFrame, months: Sequence[str], value: str) -> DataFram
 
 
 def monthly_sku_trend(skus: DataFrame, months: Sequence[str], n: int = 5) -> DataFrame:
-    """Q77: monthly volume of the top SKUs."""
-    sums = members_of(skus, _leading_skus(skus, n), "item_name").groupBy("item_name").agg(
+    """Q77: monthly volume of the top SKUs, which fold once for leaders and months."""
+    folded = skus.groupBy("item_code", "item_name").agg(*[F.sum(c).alias(c) for c in ("ttm_current", *months)])
+    folded = materialise(folded, "sku-months")
+    sums = members_of(folded, _leading_skus(folded, n), "item_name").groupBy("item_name").agg(
         *[F.sum(m).alias(m) for m in months]
     )
     return _by_month(sums, months, "volume")
@@ -696,14 +708,28 @@ def sku_movement(skus: DataFrame, current: str, previous: str, n: int = 10) -> D
 def distribution_breadth(skus: DataFrame, months: Sequence[str]) -> DataFrame:
     """Q79: distinct SKUs and doors with sales, and volume, per month.
 
-    Each key folds to one flag per month before counting, which replaces two distinct
-    counts per month column.
+    Every row counts once for its SKU and once for its door, and both kinds fold side by
+    side: to a bit per month with sales, which replaces two distinct counts per month
+    column, and for SKUs to the volumes as well.
     """
-
-    def active(key: str, name: str) -> DataFrame:
-        flags = skus.groupBy(key).agg(*[F.bool_or(F.col(m) > 0).alias(m) for m in months])
-        flags = flags.filter(F.col(key).isNotNull())
-        return _by_month(flags.agg(*[F.count_if(m).alias(m) for m in months]), months, name)
-
-    volume = _by_month(skus.agg(*[F.sum(m).alias(m) for m in months]), months, "volume")
-    return active("item_code", "skus").join(active("vip_id", "doors"), "month").join(volume, "month")
+    sold = sum((F.when(F.col(m) > 0, 1 << i).otherwise(0) for i, m in enumerate(months)), F.lit(0)).alias("sold")
+    nothing = [F.lit(None).cast(skus.schema[m].dataType).alias(m) for m in months]
+    kinds = F.array(
+        F.struct(F.lit(True).alias("of_item"), F.col("item_code").cast("string").alias("code"), sold, *months),
+        F.struct(F.lit(False).alias("of_item"), F.col("vip_id").cast("string").alias("code"), sold, *nothing),
+    )
+    folded = skus.select(F.inline(kinds)).groupBy("of_item", "code").agg(
+        F.bit_or("sold").alias("sold"), *[F.sum(m).alias(m) for m in months]
+    )
+    known = lambda kind, i: kind & F.col("code").isNotNull() & (F.col("sold").bitwiseAND(1 << i) != 0)
+    of_item = F.col("of_item")
+    rows = [
+        F.struct(
+            F.lit(m).alias("month"),
+            F.count_if(known(of_item, i)).alias("skus"),
+            F.count_if(known(~of_item, i)).alias("doors"),
+            F.sum(m).alias("volume"),
+        )
+        for i, m in enumerate(months)
+    ]
+    return folded.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))

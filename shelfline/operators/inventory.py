@@ -146,6 +146,11 @@ def depletion_by(
     the lines that meet each condition, from the same pass: 0 where there is none, or
     NULL if not ``empty_windows``. ``lines`` may be a daily summary of them.
     """
+    return in_units(sums_by(lines, keys, windows), items, list(windows or {}), empty_windows)
+
+
+def sums_by(lines: DataFrame, keys: Sequence, windows: Mapping[str, Column] | None = None) -> DataFrame:
+    """The first half of ``depletion_by``: boxed and single quantities per ``keys`` x item."""
     each = F.col("uom") == UOM_EACH
     conditions = {"units": None, **(windows or {})}
 
@@ -153,20 +158,25 @@ def depletion_by(
         wanted = own if condition is None else condition & own
         return F.sum(F.when(wanted, F.col("qty")))
 
-    grouped = lines.groupBy(*keys, "item_code").agg(
+    return lines.groupBy(*keys, "item_code").agg(
         *[summed(w, ~F.coalesce(each, F.lit(False))).alias(f"_{n}_boxed") for n, w in conditions.items()],
         *[summed(w, F.coalesce(each, F.lit(False))).alias(f"_{n}_each") for n, w in conditions.items()],
         line_count(lines).alias("lines"),
         F.min("sale_date").alias("first_sale"),
         F.max("sale_date").alias("last_sale"),
     )
+
+
+def in_units(sums: DataFrame, items: DataFrame, windows: Sequence[str] = (), empty_windows: bool = True) -> DataFrame:
+    """The second half: the item look-up, and ``units`` for the two kinds of quantity."""
+    conditions = ["units", *windows]
     size = F.coalesce("units_per_case", F.lit(DEFAULT_UNITS_PER_CASE))
-    joined = grouped.join(items, "item_code", "left")
+    joined = sums.join(items, "item_code", "left")
     units = {
         n: zero_if_null(f"_{n}_boxed") * size + zero_if_null(f"_{n}_each") for n in conditions
     }
     if not empty_windows:
-        some = {n: F.coalesce(f"_{n}_boxed", f"_{n}_each").isNotNull() for n in windows or {}}
+        some = {n: F.coalesce(f"_{n}_boxed", f"_{n}_each").isNotNull() for n in windows}
         units |= {n: F.when(some[n], units[n]) for n in some}
     spent = [f"_{n}_{part}" for n in conditions for part in ("boxed", "each")]
     return joined.withColumns(units).drop(*spent)

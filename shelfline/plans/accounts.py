@@ -95,6 +95,11 @@ def _skus(t):
     return acc.chain_sku_wide(sold_lines(t), items(t), roles.door(t), roles.distributor(t), AS_OF)
 
 
+def _sku_cells(t):
+    """``_skus`` for reports without distributors."""
+    return acc.chain_sku_wide(sold_lines(t), items(t), roles.door(t), roles.distributor(t), AS_OF, named=False)
+
+
 def _universe(t):
     end = latest_sale(t) or AS_OF
     return acc.universe_totals(sold_lines(t, acc.universe_since(end)), items(t), end)
@@ -276,7 +281,7 @@ FROM (SELECT item_code, item_name, count(DISTINCT vip_id) AS doors, CAST(sum(ttm
 
 @query("Q76_sku_summary", f"WITH {WIDE_CTE} {SKU_SUMMARY}", rounded=["growth_pct"])
 def _(t):
-    return acc.sku_summary(_skus(t))
+    return acc.sku_summary(_sku_cells(t))
 
 
 def _leaders(n: int) -> str:
@@ -293,7 +298,7 @@ SELECT st.store_state, lead.item_name, coalesce(volume, 0) AS volume
 FROM st CROSS JOIN lead LEFT JOIN cells ON cells.store_state = st.store_state AND cells.item_name = lead.item_name""",
 )
 def _(t):
-    return acc.sku_state_cells(_skus(t))
+    return acc.sku_state_cells(_sku_cells(t))
 
 
 @query(
@@ -303,7 +308,7 @@ def _(t):
 SELECT * FROM m UNPIVOT (volume FOR month IN ({', '.join(MONTHS)}))""",
 )
 def _(t):
-    return acc.monthly_sku_trend(_skus(t), MONTHS)
+    return acc.monthly_sku_trend(_sku_cells(t), MONTHS)
 
 
 @query(
@@ -315,7 +320,7 @@ SELECT *, 'gained' AS direction FROM (SELECT * FROM m WHERE door_delta > 0 ORDER
 UNION ALL SELECT *, 'lost' FROM (SELECT * FROM m WHERE door_delta < 0 ORDER BY door_delta DESC, item_code LIMIT 10)""",
 )
 def _(t):
-    return acc.sku_movement(_skus(t), "jul_01", "jun_01")
+    return acc.sku_movement(_sku_cells(t), "jul_01", "jun_01")
 
 
 @query(
@@ -328,7 +333,7 @@ def _(t):
     ),
 )
 def _(t):
-    return acc.distribution_breadth(_skus(t), MONTHS)
+    return acc.distribution_breadth(_sku_cells(t), MONTHS)
 
 
 @query(
