@@ -18,6 +18,9 @@ from shelfline.sources.storage import scratch_path
 #: the larger fact is a few hundred MB.
 KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
 BUCKETS = 64
+#: Bytes of the larger fact's files that a bucket is meant to hold: its rows are several
+#: times that in memory, where one task sorts them.
+BUCKET_BYTES = 16 << 20
 
 
 class BucketedTables(Tables):
@@ -39,6 +42,17 @@ class BucketedTables(Tables):
             self.spark.sql(f"DROP TABLE IF EXISTS `{name}`")
 
 
+def buckets_for(tables: Tables, least: int) -> int:
+    """Buckets that stay of one size as the facts grow, ``least`` or more."""
+    hadoop = tables.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    sizes = []
+    for table in KEYS:
+        path = hadoop(f"{tables.folder}/{table}.parquet")
+        store = path.getFileSystem(tables.spark.sparkContext._jsc.hadoopConfiguration())
+        sizes.append(store.getContentSummary(path).getLength())
+    return max(least, -(-max(sizes) // BUCKET_BYTES))
+
+
 def write_bucketed(tables: Tables, buckets: int = BUCKETS, prefix: str | None = None, folder: str | None = None) -> BucketedTables:
     """Writes the facts bucketed under ``folder`` (default: the shared folder) as catalog
     tables with names that start with ``prefix``. One exchange each, once, spares one in
