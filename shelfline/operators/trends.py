@@ -28,6 +28,9 @@ SNIPPET_LENGTH = 240
 ENTITY = ["entity_name", "entity_type"]
 #: Counters of the bounded phrase count, and the fullest of them per row of the answer that set its bar.
 PHRASE_BUCKETS, FULLEST = 1 << 20, 64
+#: Bytes of texts whose phrases one task counts: each word begins two phrases, so the
+#: counts of a task take some tens of times that.
+TEXT_BYTES = 8 << 20
 
 
 def _day(mentions: DataFrame) -> Column:
@@ -174,12 +177,16 @@ def emerging_phrases(
     dictionary (column ``phrase``); ratio (recent + 1) / (prior + 1)."""
     day = F.col("harvested_at").cast("date")
     window = texts.filter((day > F.lit(days_before(as_of, 2 * days))) & (day <= F.lit(as_of)))
-    # Each text becomes thousands of phrases: texts are dealt out by their address first,
-    # so that neither the files' splits nor copies of a text decide who does that work.
-    dated = window.withColumn("recent", day > F.lit(days_before(as_of, days))).repartition("url")
-    counted = phrase_rows(dated, "snippet", "recent").groupBy("ngram").agg(
-        F.count_if("recent").alias("f_recent"), F.count_if(~F.col("recent")).alias("f_prior")
-    )
+    # Each text becomes thousands of phrases: texts are dealt out by their address, to as
+    # many tasks as their bytes need, so that neither the files' splits nor copies of a text
+    # decide who does that work. A task counts its own phrases before they are dealt out.
+    size = window.agg(F.sum(F.octet_length("snippet"))).first()[0] or 0
+    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, -(-size // TEXT_BYTES))
+    part = F.pmod(F.xxhash64("url"), F.lit(tasks)).cast("int")
+    dated = window.withColumns({"recent": day > F.lit(days_before(as_of, days)), "part": part}).repartitionById(tasks, "part")
+    counts = {"f_recent": F.count_if("recent"), "f_prior": F.count_if(~F.col("recent"))}
+    own = phrase_rows(dated, "snippet", "recent", "part").groupBy("part", "ngram").agg(*[c.alias(n) for n, c in counts.items()])
+    counted = own.repartition(tasks, "ngram").groupBy("ngram").agg(*[F.sum(n).alias(n) for n in counts])
     known = dictionary.select(F.lower(F.trim("phrase")).alias("ngram")).distinct()
     fresh = counted.filter(F.col("f_recent") >= MIN_PHRASE_COUNT).join(known, "ngram", "left_anti")
     growth = (F.col("f_recent") + 1) / (F.col("f_prior") + 1)
