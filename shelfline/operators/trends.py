@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfline.functions.columns import in_list, ratio, zero_if_null
@@ -26,8 +26,9 @@ SIGNAL_FROM = 0.5
 MIN_PHRASE_COUNT = 5
 SNIPPET_LENGTH = 240
 ENTITY = ["entity_name", "entity_type"]
-#: Counters of the bounded phrase count, and the fullest of them per row of the answer that set its bar.
-PHRASE_BUCKETS, FULLEST = 1 << 20, 64
+#: Counters of the bounded phrase count, the fullest of them per row of the answer that set its bar at
+#: least, and the part of all recent phrases that those which set it may hold besides.
+PHRASE_BUCKETS, FULLEST, BAR_SHARE = 1 << 20, 64, 0.125
 #: Bytes of texts whose phrases one task counts: each word begins two phrases, so the
 #: counts of a task take some tens of times that.
 TEXT_BYTES = 8 << 20
@@ -152,7 +153,15 @@ def words(text: str) -> Column:
 
 
 def phrase_rows(texts: DataFrame, text: str, *keep: str) -> DataFrame:
-    """One row per phrase occurrence.
+    """One row per phrase occurrence."""
+    triples = _word_triples(texts, text, *keep)
+    pair = F.concat_ws(" ", "a", "b")
+    triple = F.when(F.col("c").isNotNull(), F.concat_ws(" ", "a", "b", "c"))
+    return triples.select(*keep, F.stack(F.lit(2), pair, triple).alias("ngram")).filter("ngram IS NOT NULL")
+
+
+def _word_triples(texts: DataFrame, text: str, *keep: str) -> DataFrame:
+    """Each word with the next and, if there is one, the one after it.
 
     The word array is zipped with itself shifted by one and by two, which stays in
     generated code and needs no window over word positions.
@@ -164,10 +173,15 @@ def phrase_rows(texts: DataFrame, text: str, *keep: str) -> DataFrame:
         F.slice("w", 2, size).alias("b"),
         F.slice("w", 3, size).alias("c"),
     )
-    triples = worded.select(*keep, F.inline(shifted).alias("a", "b", "c")).filter("b IS NOT NULL")
-    pair = F.concat_ws(" ", "a", "b")
-    triple = F.when(F.col("c").isNotNull(), F.concat_ws(" ", "a", "b", "c"))
-    return triples.select(*keep, F.stack(F.lit(2), pair, triple).alias("ngram")).filter("ngram IS NOT NULL")
+    return worded.select(*keep, F.inline(shifted).alias("a", "b", "c")).filter("b IS NOT NULL")
+
+
+def _hashed_phrases(texts: DataFrame, text: str, *keep: str) -> DataFrame:
+    """One row per phrase occurrence: its words (``c`` is null in a pair) and a hash of them."""
+    pair, triple = F.xxhash64("a", "b"), F.when(F.col("c").isNotNull(), F.xxhash64("a", "b", "c"))
+    both = F.stack(F.lit(2), pair, F.lit(None).cast("string"), triple, F.col("c")).alias("hash", "third")
+    rows = _word_triples(texts, text, *keep).select(*keep, "a", "b", both).filter("hash IS NOT NULL")
+    return rows.withColumnRenamed("third", "c")
 
 
 def emerging_phrases(
@@ -201,28 +215,40 @@ def emerging_phrases_bounded(
     Pass one counts recent phrases by ``buckets`` hash values: as many numbers whatever
     the number of phrases, and never below the count of a phrase in the bucket. Pass two
     counts the phrases of the fullest buckets exactly; its n-th growth ratio is a bar
-    that the answer must reach. As a ratio is at most the recent count plus one, pass
-    three needs the phrases of those buckets only that are full enough to reach it."""
+    that the answer must reach. As a ratio is at most the recent count plus one, only
+    buckets full enough to reach the bar can hold other phrases of the answer. Pass three
+    counts those of them that pass two has not; where there are none, it is left out."""
     day = F.col("harvested_at").cast("date")
     window = texts.filter((day > F.lit(days_before(as_of, 2 * days))) & (day <= F.lit(as_of)))
     dated = window.withColumn("recent", day > F.lit(days_before(as_of, days)))
-    rows = phrase_rows(dated, "snippet", "recent").withColumn("bucket", F.pmod(F.xxhash64("ngram"), F.lit(buckets)))
+    rows = _hashed_phrases(dated, "snippet", "recent").withColumn("bucket", F.pmod("hash", F.lit(buckets))).drop("hash")
     known = dictionary.select(F.lower(F.trim("phrase")).alias("ngram")).distinct()
 
+    def first(fresh: DataFrame) -> DataFrame:
+        return fresh.orderBy(F.col("growth_ratio").desc(), "ngram").limit(n)
+
     def counted(kept: DataFrame) -> DataFrame:
         """Exact counts of the phrases of some buckets; the key set is bounded, so it is broadcast."""
         some = rows.join(F.broadcast(kept.select("bucket")), "bucket", "left_semi")
-        exact = some.groupBy("ngram").agg(F.count_if("recent").alias("f_recent"), F.count_if(~F.col("recent")).alias("f_prior"))
+        phrases = some.select("recent", F.concat_ws(" ", "a", "b", "c").alias("ngram"))
+        exact = phrases.groupBy("ngram").agg(F.count_if("recent").alias("f_recent"), F.count_if(~F.col("recent")).alias("f_prior"))
         fresh = exact.filter(F.col("f_recent") >= MIN_PHRASE_COUNT).join(known, "ngram", "left_anti")
         growth = (F.col("f_recent") + 1) / (F.col("f_prior") + 1)
-        return fresh.withColumn("growth_ratio", growth).orderBy(F.col("growth_ratio").desc(), "ngram").limit(n)
+        return first(fresh.withColumn("growth_ratio", growth))
 
     recent = rows.filter("recent").groupBy("bucket").agg(F.count(F.lit(1)).alias("most"))
     full = materialise(recent.filter(F.col("most") >= MIN_PHRASE_COUNT), "phrase-buckets")
-    best = counted(full.orderBy(F.col("most").desc(), "bucket").limit(FULLEST * n))
+    # The fullest buckets: by number, or as many more as hold a bounded part of all phrases.
+    levels = full.groupBy("most").agg(F.count(F.lit(1)).alias("held"), F.sum("most").alias("phrases"))
+    down = Window.orderBy(F.col("most").desc())
+    above = levels.select("most", "held", F.sum("held").over(down).alias("number"), F.sum("phrases").over(down).alias("part"), F.sum("phrases").over(Window.partitionBy()).alias("all"))
+    enough = (F.col("number") - F.col("held") < FULLEST * n) | (F.col("part") <= BAR_SHARE * F.col("all"))
+    floor = above.filter(enough).agg(F.min("most").alias("most")).first()["most"] or MIN_PHRASE_COUNT
+    best = materialise(counted(full.filter(F.col("most") >= F.lit(floor))), "phrases-of-full-buckets")
     bar = best.agg(F.count(F.lit(1)).alias("found"), F.min("growth_ratio").alias("ratio")).first()
     least = bar["ratio"] - 1 if bar["found"] == n else MIN_PHRASE_COUNT
-    return counted(full.filter(F.col("most") >= F.lit(least)))
+    rest = full.filter((F.col("most") < F.lit(floor)) & (F.col("most") >= F.lit(least)))
+    return first(best.unionByName(counted(rest)) if rest.limit(1).count() else best)
 
 
 # -- cards ------------------------------------------------------------------------------------

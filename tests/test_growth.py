@@ -73,3 +73,22 @@ def test_phrases_of_a_task_follow_the_texts(spark, monkeypatch):
 def test_no_texts_have_no_phrases(spark):
     rows = spark.createDataFrame([], "url string, snippet string, harvested_at timestamp")
     assert tr.emerging_phrases(rows, spark.createDataFrame([], "phrase string"), date(2024, 1, 31)).count() == 0
+
+
+def test_texts_are_not_read_a_third_time_for_buckets_already_counted(spark, monkeypatch):
+    at = {True: datetime(2024, 1, 30), False: datetime(2024, 1, 10)}
+    often = [(f"u{i}", f"top{i % 4} word " * 20, at[True]) for i in range(40)]
+    seldom = [(f"v{i}", f"some other{i % 50} words x{i % 9}", at[i % 3 > 0]) for i in range(300)]
+    stale = [(f"w{i}", "one two three four five six " * 30, at[i % 2 == 0]) for i in range(40)]
+    rows = spark.createDataFrame(often + seldom + stale, "url string, snippet string, harvested_at timestamp")
+    known = spark.createDataFrame([("word top1",)], "phrase string")
+    as_of = date(2024, 1, 31)
+    expected = list(map(tuple, tr.emerging_phrases(rows, known, as_of, 14, 5).collect()))
+    cuts = {}
+    for fullest, share in ((64, 1.0), (1, 0.0)):
+        monkeypatch.setattr(tr, "FULLEST", fullest)
+        monkeypatch.setattr(tr, "BAR_SHARE", share, raising=False)
+        found = tr.emerging_phrases_bounded(rows, known, as_of, 14, 5)
+        cuts[fullest] = "split(" in found._jdf.queryExecution().optimizedPlan().toString()
+        assert list(map(tuple, found.collect())) == expected
+    assert cuts == {64: False, 1: True}
