@@ -14,7 +14,8 @@ of a column, they are listed as pairs; otherwise the column's documents are deal
 pairs of row blocks, and a task accumulates the overlap counts of two blocks. A pair
 is discarded where its overlap is below t / (1 + t) of the summed sizes.
 
-Documents with the same set are one node throughout. A column that many documents of
+Documents with the same set are one node throughout; in the matrix, copies in several
+row blocks count once while the keys of all copies are few enough to be broadcast. A column that many documents of
 one batch share is marked as hot there: it is sent once a batch, not once a document,
 and comes last in the order of all columns, so no task gathers its documents.
 
@@ -52,6 +53,8 @@ HOT = 32
 LISTED = 64
 #: Documents in a row block of such a column.
 BLOCK = 512
+#: Documents of a row block at most, and what their positions are written as.
+OWNERS, OWNER = 1 << 16, np.uint16
 #: Documents that may be broadcast when their texts are read again (24 bytes each).
 BROADCAST_ROWS = 500_000
 #: Words whose hash a task remembers.
@@ -105,14 +108,21 @@ def _blob(values: np.ndarray) -> bytes:
 
 
 def _six(values: np.ndarray) -> bytes:
-    """48-bit numbers in six bytes each."""
-    return _blob(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+    """48-bit numbers in six bytes each: steps from one to the next, lowest bytes first. The
+    steps of sorted numbers are small, so their high bytes are runs of zeros for the shuffle's codec."""
+    steps = np.diff(values.astype("<u8"), prepend=np.uint64(0))
+    return _blob(steps.view(np.uint8).reshape(-1, 8)[:, :6].T)
 
 
 def _from_six(blob: bytes) -> np.ndarray:
     out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(6, -1).T
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64) & np.uint64((1 << 48) - 1)
+
+
+def _block_of(token: np.ndarray, blocks: int) -> np.ndarray:
+    """Column block of each column: a range of the hashes, so its columns lie close together."""
+    return ((token >> np.uint64(16)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
 
 
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -148,9 +158,11 @@ def _sets(docs: DataFrame, shingle: int, identity: str, text: str, blob: bool) -
 
 def _column_blocks(docs: DataFrame, shingle: int, percent: int, text: str, blocks: int, hot: int) -> DataFrame:
     """The incidence matrix by (row block, column block). A column is the first 48 bits
-    of an n-gram's hash. ``node``, ``least`` and ``count`` have a value per document of
-    the block, ``token`` one per entry, ``hot`` the columns marked here. Entries of hot
-    columns go to the blocks above ``blocks``, which pass them on."""
+    of an n-gram's hash, ``run`` a hash of the row block's nodes, ``owner`` a document's
+    position among them: an entry takes the same bytes however many column blocks there are.
+    ``token`` and ``owner`` have a value per entry, ``hot`` the columns marked here. Blocks above
+    ``blocks`` pass on what only the row block itself needs again: ``node`` and ``least`` of
+    its documents, and the entries of its hot columns."""
 
     def rows(run: list[bytes], hashes: WordHashes) -> Iterator[tuple]:
         nodes, least, parts = [], [], []
@@ -169,48 +181,43 @@ def _column_blocks(docs: DataFrame, shingle: int, percent: int, text: str, block
         if not parts:
             return
         token = np.concatenate(parts)
-        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        owner = np.repeat(np.arange(len(parts), dtype=OWNER), [len(p) for p in parts])
         node, least = np.array(nodes, np.int64), np.array(least, np.int64)
+        name = _node(node)
         order = np.argsort(token, kind="stable")
-        _, first, times = np.unique(token[order], return_index=True, return_counts=True)
-        many = np.zeros(len(token), bool)
-        many[order] = np.repeat(times >= hot, times)
-        marked = token[order][first[times >= hot]]
-        column = (token % np.uint64(blocks)).astype(np.int64)
-        # a hot entry travels by its document, any other by its column
-        place = np.where(many, blocks + node[owner] % blocks, column)
-        order = np.lexsort((owner, place))
-        token, owner, place = token[order], owner[order], place[order]
-        home = (marked % np.uint64(blocks)).astype(np.int64)
+        token, owner = token[order], owner[order]
+        _, first, times = np.unique(token, return_index=True, return_counts=True)
+        many = np.repeat(times >= hot, times)
+        marked = token[first[times >= hot]]
+        yield blocks + name % blocks, name, _blob(node), _blob(least), _blob(owner[many]), _six(token[many]), b""
+        token, owner = token[~many], owner[~many]
+        place, home = _block_of(token, blocks), _block_of(marked, blocks)
         for a, b in _runs(place):
-            who, count = np.unique(owner[a:b], return_counts=True)
-            here = marked[home == place[a]]
-            yield int(place[a]), _blob(node[who]), _blob(least[who]), _blob(count), _six(token[a:b]), _six(here)
+            yield int(place[a]), name, b"", b"", _blob(owner[a:b]), _six(token[a:b]), _six(marked[home == place[a]])
         for p in np.setdiff1d(home, place):
-            yield int(p), b"", b"", b"", b"", _six(marked[home == p])
+            yield int(p), name, b"", b"", b"", b"", _six(marked[home == p])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         texts = (value for batch in batches for value in utf8(batch.column(0)))
         for run in by_bytes(texts, ROW_BYTES):
-            found = list(rows(run, hashes))
-            if found:
-                columns = list(zip(*found, strict=True))
-                arrays = [pa.array(columns[0], pa.int64())] + [pa.array(c, pa.binary()) for c in columns[1:]]
-                yield pa.record_batch(arrays, names=["place", "node", "least", "count", "token", "hot"])
-
-    schema = "place long, node binary, least binary, count binary, token binary, hot binary"
+            for start in range(0, len(run), OWNERS):
+                found = list(rows(run[start : start + OWNERS], hashes))
+                if found:
+                    columns = list(zip(*found, strict=True))
+                    arrays = [pa.array(c, pa.int64()) for c in columns[:2]] + [pa.array(c, pa.binary()) for c in columns[2:]]
+                    yield pa.record_batch(arrays, names=["place", "run", "node", "least", "owner", "token", "hot"])
+
+    schema = "place long, run long, node binary, least binary, owner binary, token binary, hot binary"
     return docs.select(text).mapInArrow(task, schema)
 
 
-def _entries(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """node, least and token of every entry of the rows of a block."""
+def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(table[name].to_pylist()), kind)
 
-    def joined(name: str, kind: type) -> np.ndarray:
-        return np.frombuffer(b"".join(table[name].to_pylist()), kind)
 
-    count = joined("count", np.int64)
-    return np.repeat(joined("node", np.int64), count), np.repeat(joined("least", np.int64), count), _from_six(b"".join(table["token"].to_pylist()))
+def _tokens(table: pa.Table, name: str = "token") -> list[np.ndarray]:
+    return [_from_six(b) for b in table[name].to_pylist()] or [np.empty(0, np.uint64)]
 
 
 #: Frequency that stands for hot columns: above any that is counted.
@@ -218,59 +225,75 @@ HOTTEST = np.int32(2**31 - 1)
 
 
 def _shared(blocks_table: DataFrame, blocks: int) -> DataFrame:
-    """Entries of columns of more than one document, by document: a row per column block and ``part`` of the documents."""
+    """What a row block gets back: its entries of columns that have another entry elsewhere, with the
+    columns' frequencies, and what was passed on. Copies of a document in several row blocks count
+    each; that changes the order of columns, for all documents alike, and keeps some more."""
 
     def task(key: tuple, table: pa.Table) -> pa.Table:
-        node, least, token = _entries(table)
+        tokens = _tokens(table)
+        token = np.concatenate(tokens)
         if key[0].as_py() >= blocks:
             frequency = np.full(len(token), HOTTEST)
         else:
-            order = np.lexsort((node, token))
-            node, least, token = node[order], least[order], token[order]
-            # copies of a document in several row blocks count once
-            once = np.ones(len(token), bool)
-            once[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-            node, least, token = node[once], least[once], token[once]
-            hot = np.unique(_from_six(b"".join(table["hot"].to_pylist())))
+            hot = np.unique(np.concatenate(_tokens(table, "hot")))
             _, at, times = np.unique(token, return_inverse=True, return_counts=True)
             frequency = np.minimum(times[at], HOTTEST - 1).astype(np.int32)
             frequency[np.isin(token, hot)] = HOTTEST
-        kept = frequency > 1
-        node, least, token, frequency = node[kept], least[kept], token[kept], frequency[kept]
-        part = node % blocks
-        order = np.lexsort((node, part))
-        node, least, token, frequency, part = (x[order] for x in (node, least, token, frequency, part))
-        out = []
-        for a, b in _runs(part):
-            who, first, count = np.unique(node[a:b], return_index=True, return_counts=True)
-            out.append((int(part[a]), _blob(who), _blob(least[a:b][first]), _blob(count), _six(token[a:b]), _blob(frequency[a:b])))
+        out, start = [], 0
+        for row, own in zip(table.select(["run", "node", "least", "owner"]).to_pylist(), tokens, strict=False):
+            often = frequency[start : start + len(own)]
+            start += len(own)
+            kept = often > 1
+            if row["node"] or kept.any():
+                owner = np.frombuffer(row["owner"], OWNER)[kept]
+                out.append((row["run"], row["node"], row["least"], _blob(owner), _six(own[kept]), _blob(often[kept])))
         columns = list(zip(*out, strict=True)) or [()] * 6
         arrays = [pa.array(columns[0], pa.int64())] + [pa.array(c, pa.binary()) for c in columns[1:]]
-        return pa.table(arrays, names=["part", "node", "least", "count", "token", "frequency"])
+        return pa.table(arrays, names=["run", "node", "least", "owner", "token", "frequency"])
 
-    schema = "part long, node binary, least binary, count binary, token binary, frequency binary"
+    schema = "run long, node binary, least binary, owner binary, token binary, frequency binary"
     return blocks_table.groupBy("place").applyInArrow(task, schema)
 
 
 def _kept_columns(shared: DataFrame) -> DataFrame:
-    """``token``, ``node`` and ``least``: the rarest c - least + 1 shared columns of every
-    document with c >= least of them."""
+    """``token`` and ``node``: the rarest c - least + 1 shared columns of every document with
+    c >= least of them. A document copied to several row blocks has its rows several times."""
 
     def task(table: pa.Table) -> pa.Table:
-        node, least, token = _entries(table)
-        frequency = np.frombuffer(b"".join(table["frequency"].to_pylist()), np.int32)
-        order = np.lexsort((token, frequency, node))
-        node, least, token = node[order], least[order], token[order]
-        # a copied document may have got a hot column from several row blocks
+        # row blocks of one name have the same documents in the same order
+        heads = [(n, x) for n, x in zip(table["node"].to_pylist(), table["least"].to_pylist(), strict=True) if n]
+        nodes, needs = (np.frombuffer(blob, np.int64) for blob in heads[0])
+        owner, token = _joined(table, "owner", OWNER), np.concatenate(_tokens(table))
+        frequency = _joined(table, "frequency", np.int32)
+        order = np.lexsort((token, frequency, owner))
+        owner, token = owner[order], token[order]
         once = np.ones(len(token), bool)
-        once[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        node, least, token = node[once], least[once], token[once]
-        _, starts, count = np.unique(node, return_index=True, return_counts=True)
-        rank = np.arange(len(node)) - np.repeat(starts, count)
-        kept = rank <= np.repeat(count, count) - least
-        return pa.table({"token": token[kept].view(np.int64), "node": node[kept], "least": least[kept]})
+        once[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
+        owner, token = owner[once], token[once]
+        _, starts, count = np.unique(owner, return_index=True, return_counts=True)
+        rank = np.arange(len(owner)) - np.repeat(starts, count)
+        kept = rank <= np.repeat(count, count) - needs[owner]
+        return pa.table({"token": token[kept].view(np.int64), "node": nodes[owner[kept]]})
+
+    return shared.groupBy("run").applyInArrow(task, "token long, node long")
+
+
+def _first_copies(docs: DataFrame, rows: DataFrame, identity: str, text: str) -> DataFrame:
+    """``docs`` without rows whose set an earlier row has, if these are few enough to be broadcast."""
+    least = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("__id", "__hash")).alias("row"), F.count("*").alias("copies"))
+    again = rows.join(least.where("copies > 1"), "node").where(~F.struct("__id", "__hash").eqNullSafe(F.col("row")))
+    again = materialise(again.select("__id", "__hash").distinct(), "ngram-copies")
+    if again.count() > BROADCAST_ROWS:
+        return docs
+    return _rows_of(docs, F.broadcast(again), identity, text, "left_anti")
 
-    return shared.groupBy("part").applyInArrow(task, "token long, node long, least long")
+
+def _rows_of(docs: DataFrame, keys: DataFrame, identity: str, text: str, how: str) -> DataFrame:
+    """The rows of ``docs`` that have one of ``keys`` (``left_semi``) or none (``left_anti``)."""
+    source = docs.select(F.col(identity).cast("long").alias(identity), F.col(text).alias(text))
+    key = [c.alias(n) for c, n in zip(row_key(identity, text), ("k_id", "k_hash"), strict=True)]
+    same = F.col("k_id").eqNullSafe(F.col("__id")) & (F.col("k_hash") == F.col("__hash"))
+    return source.select(*key, identity, text).join(keys, same, how)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -382,21 +405,19 @@ def similarity_classes(
     rows = materialise(_sets(docs, shingle, identity, text, blob=False), "ngram-rows")
     entries = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     blocks = max(16, -(-entries * 8 // COLUMN_BYTES))
-    shared = _shared(_column_blocks(docs, shingle, percent, text, blocks, hot), blocks)
+    once = _first_copies(docs, rows, identity, text)
+    shared = _shared(_column_blocks(once, shingle, percent, text, blocks, hot), blocks)
     index = materialise(_kept_columns(shared), "ngram-index")
 
     # The sets of candidate documents alone are made again, from one row of each.
-    candidates = index.select("token", "node").join(index.groupBy("token").count().where("count > 1"), "token")
+    several = index.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    candidates = index.join(several.select("token"), "token").distinct()
     wanted = rows.join(candidates.select("node").distinct(), "node", "left_semi")
     one = wanted.groupBy("node").agg(F.min(F.struct("__id", "__hash")).alias("row")).select("row.*")
     one = materialise(one, "ngram-candidates")
     if one.count() <= BROADCAST_ROWS:
         one = F.broadcast(one)
-    source = docs.select(F.col(identity).cast("long").alias(identity), F.col(text).alias(text))
-    key = [c.alias(n) for c, n in zip(row_key(identity, text), ("k_id", "k_hash"), strict=True)]
-    found = source.select(*key, identity, text).join(
-        one, F.col("k_id").eqNullSafe(F.col("__id")) & (F.col("k_hash") == F.col("__hash")), "left_semi"
-    )
+    found = _rows_of(docs, one, identity, text, "left_semi")
     sets = _sets(found, shingle, identity, text, blob=True).groupBy("node").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
     sets = materialise(sets, "ngram-sets")
 

@@ -118,3 +118,25 @@ def test_block_product_equals_brute_force(seed):
             overlap = len(np.intersect1d(sets[i], sets[j]))
             if 100 * overlap >= 60 * (len(sets[i]) + len(sets[j]) - overlap):
                 assert group[i] == group[j]
+
+
+def test_an_entry_takes_the_same_bytes_in_any_number_of_blocks(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(100)], "doc_id long, text string").coalesce(1)
+    size = {}
+    for blocks in (16, 4096):
+        sent = g._column_blocks(docs, 5, 80, "text", blocks, g.HOT).collect()
+        size[blocks] = sum(len(v) for row in sent for v in row if isinstance(v, (bytes, bytearray)))
+    assert size[4096] <= 1.05 * size[16]
+
+
+def test_six_byte_numbers_come_back_in_any_order():
+    values = np.random.default_rng(1).integers(0, 1 << 48, 500).astype(np.uint64)
+    for x in (values, np.sort(values), np.repeat(values[:3], 4), values[:0]):
+        assert (g._from_six(g._six(x)) == x).all() and len(g._six(x)) == 6 * len(x)
+
+
+def test_copies_that_are_too_many_to_be_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(g, "BROADCAST_ROWS", 0)
+    rows = corpus(6, 120)
+    rows += [(i + 1000, t.upper()) for i, t in rows[:60]]
+    assert found(spark, rows, hot=3) == brute_force(rows)
